@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, sharding
+from siltstone.llm import exact_dedup, mixing, packing, passages, secrets, sharding, simhash, toxicity
 from siltstone.llm.storage import documents
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
+
+
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.Packing(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op3_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decisions(documents(spark, sf_dir)).drop("_file", "_row")
+
+
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree()
     return sharding.assign(documents(spark, sf_dir), tree, sharding.grown(tree, 24))
 
 
+def op9_passage_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), mixing.Mix())
 
 
-QUERIES = {f.__name__: f for f in (op6_hash_tree_sharding, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_mixture_packing, op3_streaming_exact_dedup, op4_compression_toxicity, op5_credential_linking,
+        op6_hash_tree_sharding, op9_passage_automata, op10_source_mixing,
+    )
+}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE: dict[str, str] = {}
