@@ -25,6 +25,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "384",
+    # else each of many small stores reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
