@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import exact_dedup, mixing, packing, passages, secrets, sharding, simhash, toxicity
+from siltstone.llm import exact_dedup, imatch, language_model, mixing, packing, passages, secrets, sharding, simhash, toxicity
 from siltstone.llm.storage import documents
 
 
@@ -34,6 +35,14 @@ def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), tree, sharding.grown(tree, 24))
 
 
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir), toxicity.remainder(F.col("doc_id"), 5) == 1)
+
+
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op9_passage_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(documents(spark, sf_dir))
 
@@ -46,7 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_mixture_packing, op3_streaming_exact_dedup, op4_compression_toxicity, op5_credential_linking,
-        op6_hash_tree_sharding, op9_passage_automata, op10_source_mixing,
+        op6_hash_tree_sharding, op7_backoff_automaton, op8_imatch_fingerprints, op9_passage_automata, op10_source_mixing,
     )
 }
 

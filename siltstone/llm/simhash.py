@@ -21,10 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
+from siltstone.llm.exact_dedup import located
 from siltstone.llm.storage import partitions, written
 
 SEED = 42
@@ -92,6 +93,16 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return out
 
 
+def block_pairs(member: str) -> Column:
+    """The pairs of blocks that a member of a group of ``blocks`` blocks is dealt to, so that any two members meet.
+
+    A group of one block is one pair; of more, a member's block meets every other block.
+    """
+    own = F.pmod(F.xxhash64(member), F.col("blocks"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    return F.filter(others, lambda p: (F.col("blocks") == 1) | (p["i"] < p["j"]))
+
+
 def buckets(nodes: DataFrame, radius: int) -> DataFrame:
     """members: lists of fingerprints, each sharing a table's key, 2 to 2 * BLOCK long; every close pair is in one.
 
@@ -102,11 +113,7 @@ def buckets(nodes: DataFrame, radius: int) -> DataFrame:
     sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     shared = rows.join(sizes, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("table", "key", "fp", "blocks")
-    # a bucket of one block is one list; of more, block b meets every other block, and lists hold two blocks each
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    meets = F.filter(others, lambda p: (F.col("blocks") == 1) | (p["i"] < p["j"]))
-    dealt = shared.select("table", "key", "fp", F.explode(meets).alias("pair"))
+    dealt = shared.select("table", "key", "fp", F.explode(block_pairs("fp")).alias("pair"))
     return dealt.groupBy("table", "key", "pair").agg(F.array_sort(F.collect_list("fp")).alias("members")).select("members").distinct()
 
 
@@ -160,3 +167,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(labelled.join(smallest, "label", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+SET_BYTES = 8 << 20
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct 32-bit hashes of the text's k-word shingles, ascending; of the whole sequence if it has fewer words."""
+    w = words(text)
+    k = min(k, len(w))
+    found = {xxhash.xxh32_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)} if w else set()
+    return np.sort(np.fromiter(found, dtype=np.uint32, count=len(found)))
+
+
+def jaccard_forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, first member of its component) of the graph that links sets of at least this Jaccard similarity."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, dtype=bool)
+    a, b = [], []
+    rest = np.arange(len(sets))
+    while len(rest):
+        root, rest, todo = rest[0], rest[1:], [rest[0]]
+        while todo and len(rest):
+            i = todo.pop()
+            like = rest[(sizes[rest] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[rest])]
+            if not len(like):
+                continue
+            own = codes[starts[i] : starts[i + 1]]
+            seen[own] = True
+            lengths = sizes[like]
+            at = np.repeat(starts[like] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            common = np.bincount(np.repeat(np.arange(len(like)), lengths), weights=seen[codes[at]], minlength=len(like))
+            seen[own] = False
+            near = common >= similarity * (sizes[i] + lengths - common) - 1e-9
+            found = like[near]
+            if len(found):
+                todo += found.tolist()
+                a.append(found)
+                b.append(np.full(len(found), root))
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+    if not a:
+        return keys[:0], keys[:0]
+    return keys[np.concatenate(a)], keys[np.concatenate(b)]
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """``docs`` with one document (smallest doc_id) of each group of near copies, all columns.
+
+    Documents are linked when their sets of ``shingle``-word shingles are as similar as ``similarity`` (Jaccard). Such
+    pairs differ in few words, so candidates come from fingerprints of the distinct words: components of links within
+    ``radius`` bits, found by covering. Within a candidate component the shingle sets themselves are compared.
+    Documents without words are one group. Nulls in doc_id are larger than any other.
+    """
+    columns = docs.columns
+    rows = located(docs)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [t.as_py() for t in b.column(3)]
+            same = pa.array([np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(t)))).astype(np.int64) for t in text], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([word_fingerprint(t) for t in text], pa.int64())], names=["doc_id", "_file", "_row", "same", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = written(rows.select("doc_id", "_file", "_row", "text").mapInArrow(sign, f"doc_id {kind}, _file string, _row long, same long, fp long"), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_file", "_row")
+    nodes = written(signed.groupBy("same").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "nodes")
+
+    labels = components(links(buckets(nodes.select("fp").distinct(), radius), radius))
+    labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("same", "first", F.coalesce("label", "fp").alias("label"))
+    labelled = written(labelled, "labelled")
+    groups = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+    candidates = written(labelled.join(groups, "label").select("label", "same", "first._file", "first._row"), "candidates")
+
+    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["label", "same", "shingles"])
+
+    texts = rows.select("_file", "_row", "text").join(candidates, ["_file", "_row"]).select("label", "same", "text")
+    sets = written(texts.mapInArrow(collect_sets, "label long, same long, shingles binary"), "shingles")
+    sizes = sets.groupBy("label").agg(F.ceil(F.sum(F.octet_length("shingles") + 64) / SET_BYTES).alias("blocks"))
+    dealt = sets.join(sizes, "label").select("label", "same", "shingles", F.explode(block_pairs("same")).alias("pair"))
+
+    def link(table: pa.Table) -> pa.Table:
+        keys = table.column("same").to_numpy()
+        by = np.argsort(keys)
+        raw = table.column("shingles")
+        a, b = jaccard_forest(keys[by], [np.frombuffer(raw[int(i)].as_py(), dtype=np.uint32) for i in by], similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    near = components(dealt.select("label", "pair.i", "pair.j", "same", "shingles").groupBy("label", "i", "j").applyInArrow(link, "a long, b long"))
+    grouped = nodes.select("same", "first").join(near.withColumnRenamed("node", "same"), "same", "left").select("same", "first", F.coalesce("label", "same").alias("group"))
+    stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
+    kept = written(stays.select("stays._file", "stays._row"), "kept")
+    return rows.join(kept, ["_file", "_row"], "left_semi").select(*columns)

@@ -1,18 +1,21 @@
 """Compression-distance classification of toxicity.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Every text is cut into windows of whole
-words; each window is compressed once with either dictionary, and the bytes that the toxic dictionary saves over the
-ordinary one, in proportion to the window, measure its toxicity. A logistic curve calibrated on labelled documents that
-were not used for the dictionaries turns a document's savings into a score.
+Two zstandard dictionaries are compared. Both end in the same base, trained on ordinary text; before it the toxic one
+has segments trained on toxic text (words around the byte runs that occur in far more toxic than ordinary documents,
+the commonest last), the ordinary one nothing, at the same distance. Every text is cut into windows of whole words; each
+window is compressed once with either, and the bytes that the toxic dictionary saves measure what only toxic text has.
+A logistic curve, calibrated on labelled documents that the measuring dictionaries have not seen and weighed as the
+labels occur, turns a document's savings into a score.
 
 Dictionaries and curve are fitted on a bounded sample (``Fit.sample`` documents of each label, the first by hash); every
 document and every window of it is scored. Nulls: a null text counts as empty and gets the score of a text without
-windows; a null doc_id is scored and counts as held out or not like the text "" does. Repeated rows get equal scores.
-Without labels of both kinds all scores are 0.5 at most. Extra columns are ignored.
+windows; a null doc_id is scored and held out or not like the text "" would be. Repeated rows get equal scores.
+Without labels of both kinds every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.storage import written
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -31,8 +36,14 @@ class Fit:
     most_bytes: int = 65536
     #: Bytes of a document used for training at most: so much of its windows, spread evenly.
     sample_bytes: int = 16384
-    dictionary_bytes: int = 65536
+    base_bytes: int = 16384
+    segment_bytes: int = 4096
     window_bytes: int = 96
+    #: A byte run counts as toxic if it is in so many and such a share of the toxic documents, and so many times likelier there.
+    run: int = 5
+    least: int = 3
+    least_share: float = 0.004
+    ratio: float = 10.0
     level: int = 3
     threshold: float = 0.7
 
@@ -69,11 +80,15 @@ def windows(text: bytes, size: int) -> list[bytes]:
 class Savings:
     """What a document's windows save with the toxic dictionary over the ordinary one."""
 
-    NAMES = 5
+    NAMES = 6
 
     def __init__(self, toxic: bytes, ordinary: bytes, fit: Fit) -> None:
-        make = lambda d: zstandard.ZstdCompressor(level=fit.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT), write_content_size=False, write_dict_id=False)
-        self.toxic, self.ordinary, self.fit = make(toxic).compress, make(ordinary).compress, fit
+        def compressor(content: bytes):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=fit.level)
+            return zstandard.ZstdCompressor(level=fit.level, dict_data=d, write_content_size=False, write_dict_id=False).compress
+
+        self.toxic, self.ordinary, self.fit = compressor(toxic), compressor(ordinary), fit
 
     def __call__(self, text: bytes) -> np.ndarray:
         parts = windows(text, self.fit.window_bytes)
@@ -81,33 +96,74 @@ class Savings:
             return np.zeros(self.NAMES)
         toxic, ordinary = self.toxic, self.ordinary
         saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in parts], dtype=np.float64)
-        saved.sort()
-        best = saved[::-1]
-        n = len(best)
-        return np.array([best[0], best[min(1, n - 1)], best[min(3, n - 1)], saved.mean(), np.maximum(saved - 2, 0).sum() / np.sqrt(n)])
-
-
-def dictionary(samples: list[bytes], fit: Fit) -> bytes:
-    return zstandard.train_dictionary(fit.dictionary_bytes, samples, level=fit.level).as_bytes()
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; classes weigh as they occur."""
+        n = len(saved)
+        best = np.sort(saved)[::-1]
+        two, four = (saved >= 2).sum(), (saved >= 4).sum()
+        return np.array([best[0], best[min(1, n - 1)], two / n, four / n, np.log1p(four), saved.mean()])
+
+
+def _runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The byte runs of a text's words (one space between and around them) as numbers, the word at each one's middle, the words."""
+    words = text.lower().split()
+    b = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
+    n = max(0, len(b) - length + 1)
+    x = np.zeros(n, dtype=np.uint64)
+    for i in range(length):
+        x = (x << np.uint64(8)) | b[i : n + i]
+    at = np.cumsum(b == 32) - 1
+    return x, at[length // 2 : n + length // 2], words
+
+
+def toxic_segments(toxic: list[bytes], ordinary: list[bytes], fit: Fit) -> bytes:
+    """Words of toxic texts that hold a run which is far commoner in toxic texts, the commonest last."""
+    found = [_runs(t, fit.run) for t in toxic]
+    a, ca = np.unique(np.concatenate([np.unique(x) for x, _, _ in found]), return_counts=True)
+    b, cb = np.unique(np.concatenate([np.unique(_runs(t, fit.run)[0]) for t in ordinary]), return_counts=True)
+    if not len(a) or not len(b):
+        return b""
+    i = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    other = np.where(b[i] == a, cb[i], 0)
+    good = a[(ca >= max(fit.least, fit.least_share * len(toxic))) & (ca / len(toxic) >= fit.ratio * (other + 0.5) / len(ordinary))]
+    if not len(good):
+        return b""
+    said: Counter[bytes] = Counter()
+    for x, at, words in found:
+        hit = good[np.minimum(np.searchsorted(good, x), len(good) - 1)] == x
+        said.update({words[k] for k in np.unique(at[hit]).tolist() if k < len(words)})
+    return b"".join(b" " + w for w, _ in sorted(said.items(), key=lambda p: (p[1], p[0])))[-fit.segment_bytes :] + b" "
+
+
+def base(ordinary: list[bytes], fit: Fit) -> bytes:
+    """The content of a dictionary trained on windows of ordinary text."""
+    samples = []
+    for t in ordinary:
+        w = windows(t, fit.window_bytes)
+        samples += w[:: max(1, -(-len(w) * fit.window_bytes // fit.sample_bytes))]
+    return zstandard.train_dictionary(fit.base_bytes, samples, level=fit.level).as_bytes()
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], fit: Fit) -> tuple[bytes, bytes]:
+    room, end = fit.segment_bytes + 1, base(ordinary, fit)
+    return toxic_segments(toxic, ordinary, fit).rjust(room, b"\0") + end, b"\0" * room + end
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton steps; the last number is the intercept."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + ridge * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w = w - step
+        w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(rows: list[tuple[bytes, int]], fit: Fit) -> Model | None:
-    """rows: (text, label), bounded by ``fit.sample`` of each label. None without both labels.
+def train(rows: list[tuple[bytes, int]], fit: Fit, occur: dict[int, int] | None = None) -> Model | None:
+    """rows: (text, label), bounded by ``fit.sample`` of each label; occur: how often each label occurs. None without both labels.
 
     Two folds: dictionaries of one fold measure the other, so the curve is calibrated on unseen text; the dictionaries
     that stay are trained on both.
@@ -115,50 +171,48 @@ def train(rows: list[tuple[bytes, int]], fit: Fit) -> Model | None:
     split = {y: [t for t, label in rows if label == y] for y in (0, 1)}
     if min(map(len, split.values())) < 8:
         return None
-
-    def cut(texts: list[bytes]) -> list[bytes]:
-        out = []
-        for t in texts:
-            w = windows(t, fit.window_bytes)
-            out += w[:: max(1, -(-len(w) * fit.window_bytes // fit.sample_bytes))]
-        return out
-
-    def pair(texts: dict[int, list[bytes]]) -> tuple[bytes, bytes]:
-        return dictionary(cut(texts[1]), fit), dictionary(cut(texts[0]), fit)
-
     try:
         x, y = [], []
         for fold in (0, 1):
-            savings = Savings(*pair({k: v[fold::2] for k, v in split.items()}), fit)
+            savings = Savings(*dictionaries(split[1][fold::2], split[0][fold::2], fit), fit)
             for label, texts in split.items():
                 x += [savings(t) for t in texts[1 - fold :: 2]]
                 y += [label] * len(texts[1 - fold :: 2])
-        toxic, ordinary = pair(split)
+        toxic, ordinary = dictionaries(split[1], split[0], fit)
     except zstandard.ZstdError:  # too little text for a dictionary
         return None
-    return Model(toxic, ordinary, tuple(_logistic(np.array(x), np.array(y))), fit)
+    weigh = {k: (occur or {}).get(k, len(v)) / len(v) for k, v in split.items()}
+    labels = np.array(y)
+    return Model(toxic, ordinary, tuple(_logistic(np.array(x), labels, np.where(labels == 1, weigh[1], weigh[0]))), fit)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit) -> list[tuple[bytes, int]]:
-    """A bounded sample of labelled rows: per label the ``fit.sample`` documents with the least hashes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
+    """A bounded sample of labelled rows (per label the ``fit.sample`` documents with the least hashes), and how many there are of each.
 
     Keys are chosen without texts; only the texts of the chosen go to the driver.
     """
     toxic = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     keys = docs.filter(usable & (F.octet_length("text") <= fit.most_bytes)).select("doc_id").distinct().join(toxic, "doc_id")
+    keys = written(keys, "labelled")
+    occur = {r["toxic"]: r["count"] for r in keys.groupBy("toxic").count().collect()}
     out = []
     for label in (0, 1):
         chosen = keys.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.sample).select("doc_id")
         texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= fit.most_bytes).join(F.broadcast(chosen), "doc_id")
         found = texts.groupBy("doc_id").agg(F.max("text").alias("text")).collect()
         out += [(r.text.encode(), label) for r in sorted(found, key=lambda r: r.doc_id)]
-    return out
+    return out, occur
+
+
+def fitted(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit) -> Model | None:
+    rows, occur = labelled_sample(docs, labels, usable, fit)
+    return train(rows, fit, occur)
 
 
 def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str = "score") -> DataFrame:
     """``keep`` and the score, as ``name``, for every row."""
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias(name))
+        return docs.select(*keep, F.lit(0.0).alias(name))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
     schema = docs.select(*keep, F.lit(0.5).alias(name)).schema
 
@@ -177,7 +231,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str =
 def classify(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:  # noqa: B008
     """doc_id, held_out, score, predicted; learns from rows whose crc32(doc_id) mod 3 is not 1."""
     held = remainder(F.col("doc_id"), 3) == 1
-    model = train(labelled_sample(docs, labels, ~held, fit), fit)
+    model = fitted(docs, labels, ~held, fit)
     scored = score(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= fit.threshold).cast("int").alias("predicted"))
 
@@ -186,5 +240,5 @@ def reject(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all columns."""
     columns = docs.columns
     held = remainder(F.col("doc_id"), 3) == 1
-    model = train(labelled_sample(docs, labels, ~held, fit), fit)
+    model = fitted(docs, labels, ~held, fit)
     return score(docs, model, keep=columns, name="_toxicity").filter(F.col("_toxicity") < fit.threshold).select(*columns)
