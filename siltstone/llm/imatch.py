@@ -2,7 +2,7 @@
 
 Document frequencies of all terms (lower-cased words) over all documents give the lexicon: the terms whose inverse
 document frequency lies in a band. A text's fingerprint has one hash of its sorted distinct lexicon terms for the whole
-lexicon and one for each randomised subset of it; subsets keep from half the terms to one in 128, so that nearly equal
+lexicon and one for each randomised subset of it; subsets keep from half the terms to one in 512, so that nearly equal
 texts agree almost everywhere and half-equal ones on some sparse subsets. Likeness is the share of agreeing hashes among
 those where either text has terms.
 
@@ -41,8 +41,8 @@ class Lexicon:
 
     least: float = 0.0005
     most: float = 0.2
-    rates: tuple[int, ...] = (2, 8, 32, 128)
-    subsets: int = 6
+    rates: tuple[int, ...] = (2, 8, 32, 128, 512)
+    subsets: int = 8
     #: Terms that may be broadcast; the band's width bounds them, this checks it.
     most_terms: int = 4_000_000
 

@@ -31,23 +31,27 @@ from siltstone.llm.storage import written
 @dataclass(frozen=True)
 class Fit:
     #: Documents of each label at most, for dictionaries and calibration together.
-    sample: int = 3000
+    sample: int = 1500
     #: Longer documents are not used for fitting.
-    most_bytes: int = 65536
+    most_bytes: int = 32768
     #: Bytes of a document used for training at most: so much of its windows, spread evenly.
     sample_bytes: int = 16384
-    base_bytes: int = 16384
-    segment_bytes: int = 4096
-    window_bytes: int = 96
+    base_bytes: int = 8192
+    segment_bytes: int = 8192
+    #: At least so many bytes of whole words; 1: each word is a window.
+    window_bytes: int = 1
     #: A byte run counts as toxic if it is in so many and such a share of the toxic documents, and so many times likelier there.
     run: int = 5
     least: int = 3
     least_share: float = 0.004
-    ratio: float = 10.0
+    ratio: float = 60.0
     level: int = 3
     threshold: float = 0.7
 
 
+FOLDS = 4
+
+
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -60,27 +64,39 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+#: Stands between the words of a window and around them: a whole word that a dictionary holds matches with both its ends.
+BETWEEN = b" \x00 "
+
+
 def windows(text: bytes, size: int) -> list[bytes]:
-    """Windows of whole words, each of about ``size`` bytes, lower-cased; a long word is a window of its own."""
-    out, start, at = [], 0, 0
-    text = text.lower()
-    n = len(text)
-    while start < n:
-        at = start + size
-        if at >= n:
-            out.append(text[start:])
-            break
-        cut = text.find(b" ", at, at + size)
-        at = cut if cut >= 0 else at + size
-        out.append(text[start:at])
-        start = at
+    """Windows of whole words, lower-cased, of at least ``size`` bytes but the last; a long word is a window of its own."""
+    words = text.lower().split()
+    if size <= 1:
+        return words
+    out, part, n = [], [], 0
+    for w in words:
+        part.append(w)
+        n += len(w) + 1
+        if n >= size:
+            out.append(b" ".join(part))
+            part, n = [], 0
+    if part:
+        out.append(b" ".join(part))
     return out
 
 
-class Savings:
-    """What a document's windows save with the toxic dictionary over the ordinary one."""
+def spread(window: bytes) -> bytes:
+    return BETWEEN + window.replace(b" ", BETWEEN) + BETWEEN
+
 
-    NAMES = 6
+#: Windows that a worker remembers at most.
+CACHE = 500_000
+
+
+class Savings(dict):
+    """What a document's windows save with the toxic dictionary over the ordinary one; equal windows are compressed once."""
+
+    NAMES = 5
 
     def __init__(self, toxic: bytes, ordinary: bytes, fit: Fit) -> None:
         def compressor(content: bytes):
@@ -88,37 +104,50 @@ class Savings:
             d.precompute_compress(level=fit.level)
             return zstandard.ZstdCompressor(level=fit.level, dict_data=d, write_content_size=False, write_dict_id=False).compress
 
+        super().__init__()
         self.toxic, self.ordinary, self.fit = compressor(toxic), compressor(ordinary), fit
 
+    def __missing__(self, window: bytes) -> int:
+        w = spread(window)
+        self[window] = saved = len(self.ordinary(w)) - len(self.toxic(w))
+        return saved
+
     def __call__(self, text: bytes) -> np.ndarray:
         parts = windows(text, self.fit.window_bytes)
         if not parts:
             return np.zeros(self.NAMES)
-        toxic, ordinary = self.toxic, self.ordinary
-        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in parts], dtype=np.float64)
-        n = len(saved)
-        best = np.sort(saved)[::-1]
-        two, four = (saved >= 2).sum(), (saved >= 4).sum()
-        return np.array([best[0], best[min(1, n - 1)], two / n, four / n, np.log1p(four), saved.mean()])
+        if len(self) > CACHE:
+            self.clear()
+        n = len(parts)
+        saved = np.fromiter(map(self.__getitem__, parts), dtype=np.float64, count=n)
+        best = np.minimum(np.sort(np.append(saved, [0, 0]))[::-1], 8)
+        three, five = (saved >= 3).sum(), (saved >= 5).sum()
+        return np.array([best[0], best[1], np.log1p(three), three / n, np.log1p(five)])
 
 
 def _runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The byte runs of a text's words (one space between and around them) as numbers, the word at each one's middle, the words."""
+    """The byte runs within a text's words (with the spaces before and after) as numbers, the word of each, the words."""
     words = text.lower().split()
     b = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
     n = max(0, len(b) - length + 1)
     x = np.zeros(n, dtype=np.uint64)
     for i in range(length):
         x = (x << np.uint64(8)) | b[i : n + i]
-    at = np.cumsum(b == 32) - 1
-    return x, at[length // 2 : n + length // 2], words
+    at = (np.cumsum(b == 32) - 1)[length // 2 : n + length // 2]
+    # a run belongs to one word, with the spaces around it at most
+    inside = np.ones(n, dtype=bool)
+    for i in range(1, length - 1):
+        inside &= b[i : n + i] != 32
+    return x[inside], at[inside], words
+
+
+Runs = tuple[np.ndarray, np.ndarray, list[bytes]]
 
 
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes], fit: Fit) -> bytes:
+def toxic_segments(toxic: list[Runs], ordinary: list[Runs], fit: Fit) -> bytes:
     """Words of toxic texts that hold a run which is far commoner in toxic texts, the commonest last."""
-    found = [_runs(t, fit.run) for t in toxic]
-    a, ca = np.unique(np.concatenate([np.unique(x) for x, _, _ in found]), return_counts=True)
-    b, cb = np.unique(np.concatenate([np.unique(_runs(t, fit.run)[0]) for t in ordinary]), return_counts=True)
+    a, ca = np.unique(np.concatenate([np.unique(x) for x, _, _ in toxic]), return_counts=True)
+    b, cb = np.unique(np.concatenate([np.unique(x) for x, _, _ in ordinary]), return_counts=True)
     if not len(a) or not len(b):
         return b""
     i = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -127,23 +156,23 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], fit: Fit) -> bytes
     if not len(good):
         return b""
     said: Counter[bytes] = Counter()
-    for x, at, words in found:
+    for x, at, words in toxic:
         hit = good[np.minimum(np.searchsorted(good, x), len(good) - 1)] == x
         said.update({words[k] for k in np.unique(at[hit]).tolist() if k < len(words)})
-    return b"".join(b" " + w for w, _ in sorted(said.items(), key=lambda p: (p[1], p[0])))[-fit.segment_bytes :] + b" "
+    return b"".join(BETWEEN + w for w, _ in sorted(said.items(), key=lambda p: (p[1], p[0])))[-fit.segment_bytes :] + BETWEEN
 
 
 def base(ordinary: list[bytes], fit: Fit) -> bytes:
-    """The content of a dictionary trained on windows of ordinary text."""
+    """The content of a dictionary trained on ordinary text."""
     samples = []
     for t in ordinary:
-        w = windows(t, fit.window_bytes)
-        samples += w[:: max(1, -(-len(w) * fit.window_bytes // fit.sample_bytes))]
+        w = windows(t, 96)
+        samples += [spread(x) for x in w[:: max(1, -(-len(w) * 96 // fit.sample_bytes))]]
     return zstandard.train_dictionary(fit.base_bytes, samples, level=fit.level).as_bytes()
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], fit: Fit) -> tuple[bytes, bytes]:
-    room, end = fit.segment_bytes + 1, base(ordinary, fit)
+def dictionaries(toxic: list[Runs], ordinary: list[Runs], end: bytes, fit: Fit) -> tuple[bytes, bytes]:
+    room = fit.segment_bytes + len(BETWEEN)
     return toxic_segments(toxic, ordinary, fit).rjust(room, b"\0") + end, b"\0" * room + end
 
 
@@ -165,22 +194,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def train(rows: list[tuple[bytes, int]], fit: Fit, occur: dict[int, int] | None = None) -> Model | None:
     """rows: (text, label), bounded by ``fit.sample`` of each label; occur: how often each label occurs. None without both labels.
 
-    Two folds: dictionaries of one fold measure the other, so the curve is calibrated on unseen text; the dictionaries
-    that stay are trained on both.
+    Dictionaries trained without a fold measure that fold, so the curve is calibrated on unseen text; the dictionaries
+    that stay are trained on all.
     """
     split = {y: [t for t, label in rows if label == y] for y in (0, 1)}
     if min(map(len, split.values())) < 8:
         return None
     try:
-        x, y = [], []
-        for fold in (0, 1):
-            savings = Savings(*dictionaries(split[1][fold::2], split[0][fold::2], fit), fit)
-            for label, texts in split.items():
-                x += [savings(t) for t in texts[1 - fold :: 2]]
-                y += [label] * len(texts[1 - fold :: 2])
-        toxic, ordinary = dictionaries(split[1], split[0], fit)
+        end = base(split[0], fit)
     except zstandard.ZstdError:  # too little text for a dictionary
         return None
+    runs = {k: [_runs(t, fit.run) for t in v] for k, v in split.items()}
+    x, y = [], []
+    for fold in range(FOLDS):
+        savings = Savings(*dictionaries(*([t for i, t in enumerate(runs[k]) if i % FOLDS != fold] for k in (1, 0)), end, fit), fit)
+        for label, texts in split.items():
+            x += [savings(t) for t in texts[fold::FOLDS]]
+            y += [label] * len(texts[fold::FOLDS])
+    toxic, ordinary = dictionaries(runs[1], runs[0], end, fit)
     weigh = {k: (occur or {}).get(k, len(v)) / len(v) for k, v in split.items()}
     labels = np.array(y)
     return Model(toxic, ordinary, tuple(_logistic(np.array(x), labels, np.where(labels == 1, weigh[1], weigh[0]))), fit)
