@@ -34,7 +34,7 @@ _WIDTH = 6
 class Smoothing:
     order: int = 2
     #: Weight of the lower order, in counts.
-    k: float = 4.0
+    k: float = 200.0
 
 
 @dataclass
