@@ -74,7 +74,7 @@ def smithsonian(records: DataFrame, code: str, name: str) -> DataFrame:
 
 def noaa(pages: DataFrame, code: str, name: str) -> DataFrame:
     """pages: html. Photo blocks with an image, a download link, the whole name in the title and an agency's credit."""
-    df = pages.select(F.posexplode(F.split("html", """(?=<div[^>]*class=["'][^"']*ngdl-photo)""")).alias("i", "block")).filter("i > 0")
+    df = pages.select(F.posexplode(F.split("html", """(?=<div[^>]*class=["'][^"']*ngdl-photo)""")).alias("i", "block")).filter(F.col("block").rlike("^<div[^>]*ngdl-photo"))
     title = text.html_text(F.regexp_extract("block", "(?s)<h\\d[^>]*>(.*?)</h\\d>", 1))
     credit = text.html_text(F.regexp_extract("block", """(?s)<[^>]*class=["'][^"']*credit[^>]*>(.*?)</""", 1))
     image = text.attribute(F.regexp_extract("block", "(?i)<img[^>]*>", 0), "src")
