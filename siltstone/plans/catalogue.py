@@ -385,9 +385,9 @@ def threshold_sweep(s: SparkSession, d: str) -> DataFrame:
     return metrics.sweep(_best(s, d), _SWEEP)
 
 
-@query("SELECT label AS class, n, 1 / sqrt(n) / avg(1 / sqrt(n)) OVER () AS weight FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+@query("SELECT label AS class, n, round(1 / sqrt(n) / avg(1 / sqrt(n)) OVER (), 9) AS weight FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
 def class_weights(s: SparkSession, d: str) -> DataFrame:
-    return metrics.class_weights(v.table(s, d, "embeddings").groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n")))
+    return metrics.class_weights(v.table(s, d, "embeddings").groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"))).withColumn("weight", F.round("weight", 9))
 
 
 @query(sql("""SELECT 'review_without_item' AS "check", count(*) AS n FROM review WHERE item_id NOT IN (SELECT item_id FROM item) UNION ALL SELECT 'item_without_category', count(*) FROM item WHERE category_id NOT IN (SELECT category_id FROM category)
