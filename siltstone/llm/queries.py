@@ -59,5 +59,15 @@ QUERIES = {
     )
 }
 
-#: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL for those that SQL can express; the others are tested against plain versions.
+ORACLE: dict[str, str] = {
+    "op3_streaming_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_passage_automata": r"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs),
+        repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM starts) QUALIFY count(*) OVER (PARTITION BY s) > 1),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM repeated),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS s FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+}
