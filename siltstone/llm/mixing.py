@@ -126,9 +126,10 @@ def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     Blocks are taken as often as any other of the source, or once more, so only the documents at the place where a
     source's last round ends are taken in part. Documents without words stay once.
     """
-    rows = sized(docs, *[c for c in docs.columns if c not in ("doc_id", "source")])
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_document"))
+    rows = sized(whole, "_document")
     sources = written(targets(rows, mix), "targets")
-    t = written(taken(rows, sources, mix), "taken")
+    t = written(taken(rows.drop("_document"), sources, mix), "taken")
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.coalesce("taken", F.lit(0)) / F.col("size"))).cast("int")
     out = rows.join(t, "uid", "left").withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_document.*")

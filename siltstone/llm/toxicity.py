@@ -31,7 +31,7 @@ from siltstone.llm.storage import written
 @dataclass(frozen=True)
 class Fit:
     #: Documents of each label at most, for dictionaries and calibration together.
-    sample: int = 1500
+    sample: int = 1000
     #: Longer documents are not used for fitting.
     most_bytes: int = 32768
     #: Bytes of a document used for training at most: so much of its windows, spread evenly.
@@ -133,7 +133,7 @@ def _runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]
     x = np.zeros(n, dtype=np.uint64)
     for i in range(length):
         x = (x << np.uint64(8)) | b[i : n + i]
-    at = (np.cumsum(b == 32) - 1)[length // 2 : n + length // 2]
+    at = (np.cumsum(b == 32, dtype=np.int32) - 1)[length // 2 : n + length // 2]
     # a run belongs to one word, with the spaces around it at most
     inside = np.ones(n, dtype=bool)
     for i in range(1, length - 1):
