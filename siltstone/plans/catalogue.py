@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores, text, urls
-from siltstone.operators import classify, counts, latest, metrics, progress, sync
+from siltstone.operators import classify, counts, latest, metrics, progress, sync, transitions
 from siltstone.plans import views as v
 from siltstone.plans.views import sql
 
@@ -413,3 +413,73 @@ _SOURCES = [f"src{i}" for i in (3, 0, 11, 7, 5, 19, 2, 8)]
 def quota_fill(s: SparkSession, d: str) -> DataFrame:
     rows = v.table(s, d, "documents").select(F.col("doc_id").alias("row"), F.col("lang").alias("category"), "source")
     return counts.quota_fill(rows, "category", "source", "row", _SOURCES, 60).select("category", "source", "row", "taken_as")
+
+
+# state transitions: the commands are derived from the review tables
+
+
+@query(sql("SELECT m.member, i.item_id FROM (SELECT member, row_number() OVER (ORDER BY member) AS n FROM range(6) r(member) WHERE member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL AND item_id < 30)) m JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM item JOIN category USING (category_id) WHERE item.active AND category.active AND open_member IS NULL AND item_id NOT IN (SELECT item_id FROM current_review)) i USING (n)"))
+def pool_assignment(s: SparkSession, d: str) -> DataFrame:
+    busy = v.item(s, d).filter("open_member IS NOT NULL AND item_id < 30").select(F.col("open_member").alias("member"))
+    idle = s.range(v.MEMBERS).withColumnRenamed("id", "member").join(busy, "member", "left_anti")
+    return transitions.assign_next(progress.eligible(v.item(s, d), v.category(s, d), v.current_review(s, d)), idle)
+
+
+_COMMANDS = "commands AS (SELECT review_id AS seq, member, item_id, 'k' || CAST(item_id % 50 AS VARCHAR) AS command_key, decision AS digest FROM review)"
+_ANSWERED = "answered AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'APPLIED' WHEN digest = first_value(digest) OVER w THEN 'REPEATED' ELSE 'CONFLICT' END AS first FROM commands WINDOW w AS (PARTITION BY member, command_key ORDER BY seq))"
+
+
+@query(sql("SELECT seq, CASE WHEN first <> 'APPLIED' THEN first WHEN NOT ok THEN 'NOT_ASSIGNED' WHEN row_number() OVER (PARTITION BY item_id, ok ORDER BY seq) > 1 THEN 'ALREADY_DECIDED' ELSE 'APPLIED' END AS outcome FROM (SELECT a.*, first = 'APPLIED' AND open_member IS NOT DISTINCT FROM member AS ok FROM answered a LEFT JOIN item USING (item_id))", _COMMANDS, _ANSWERED))
+def submit_decisions(s: SparkSession, d: str) -> DataFrame:
+    commands = v.review(s, d).select(F.col("review_id").alias("seq"), "member", "item_id", F.concat(F.lit("k"), (F.col("item_id") % 50).cast("string")).alias("command_key"), F.col("decision").alias("digest"))
+    return transitions.decide(commands, v.item(s, d)).select("seq", "outcome")
+
+
+@query(sql("SELECT item_id AS key, CASE WHEN item_id % 4 = 1 AND item_id % 3 = 1 THEN 2 ELSE item_id % 3 END AS version, CASE WHEN item_id % 4 = 1 AND item_id % 3 = 1 THEN 'edited' ELSE decision END AS decision, CASE WHEN item_id % 4 <> 1 THEN 'UNCHANGED' WHEN item_id % 3 = 1 THEN 'EDITED' ELSE 'CONFLICT' END AS outcome FROM current_review"))
+def edit_reviews(s: SparkSession, d: str) -> DataFrame:
+    state = v.current_review(s, d).select(F.col("item_id").alias("key"), (F.col("item_id") % 3).alias("version"), "decision")
+    edits = state.filter("key % 4 = 1").select("key", F.lit(1).cast("long").alias("expected"), F.lit("edited").alias("decision"))
+    return transitions.edit(state, edits, ["decision"])
+
+
+@query(sql("SELECT r.item_id, r.member, NOT EXISTS (SELECT 1 FROM review x WHERE x.item_id = r.item_id AND x.member = r.member) AND r.member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL AND item_id < 25) AS allowed FROM (SELECT item_id, (member + 1) % 6 AS member FROM current_review) r"))
+def reopen_targets(s: SparkSession, d: str) -> DataFrame:
+    requests = v.current_review(s, d).select("item_id", ((F.col("member") + 1) % v.MEMBERS).alias("member"))
+    return transitions.reopen_targets(v.review(s, d), requests, v.item(s, d).filter("item_id < 25"))
+
+
+@query(sql("SELECT count(*) AS matched, count(*) FILTER (active) AS disabled, count(open_member) AS released, (SELECT count(*) FROM item WHERE active AND source <> 'BUILDING') AS left_active FROM item WHERE source = 'BUILDING'"))
+def bulk_disable(s: SparkSession, d: str) -> DataFrame:
+    after, summary = transitions.bulk_disable(v.item(s, d), F.col("source") == "BUILDING")
+    return summary.crossJoin(after.agg(F.count_if("active").alias("left_active")))  # one row each
+
+
+@query(sql("SELECT item_id, CASE WHEN n_regionkey IN (3, 4) THEN 2 ELSE 1 END AS version FROM item JOIN nation ON n_nationkey = category_id"))
+def category_toggle(s: SparkSession, d: str) -> DataFrame:
+    before = v.category(s, d)
+    after = before.withColumn("active", F.col("active") != F.col("sort_order").isin(3, 4))
+    return transitions.toggle_category(v.item(s, d).withColumn("version", F.lit(1)), before, after)
+
+
+@query(sql("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'MACHINERY' ELSE source END AS source, CASE WHEN item_id % 5 = 0 AND source <> 'MACHINERY' THEN 4 ELSE 3 END AS version, item_id % 5 = 0 AND source <> 'MACHINERY' AS changed FROM item"))
+def item_patch(s: SparkSession, d: str) -> DataFrame:
+    rows = v.item(s, d).select("item_id", "source", F.lit(3).alias("version"))
+    return transitions.patch(rows, rows.filter("item_id % 5 = 0").select("item_id", F.lit("MACHINERY").alias("source")), "item_id", ["source"])
+
+
+@query(sql("SELECT o.item_id, o.version, o.path, CASE WHEN r.item_id IS NULL THEN 'ADDED' WHEN o.path = r.path THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM (SELECT * FROM versioned WHERE NOT succeeded) o LEFT JOIN (SELECT * FROM versioned WHERE succeeded) r USING (item_id, version)", _VERSIONED))
+def record_results(s: SparkSession, d: str) -> DataFrame:
+    rows = _versioned(s, d)
+    return transitions.record(rows.filter("succeeded"), rows.filter("NOT succeeded"), ["item_id", "version"], ["path"])
+
+
+@query(sql("SELECT r.item_id FROM (SELECT * FROM versioned WHERE succeeded) r LEFT JOIN (SELECT item_id, path, action FROM versioned WHERE succeeded AND item_id % 3 > 0) c USING (item_id) WHERE CASE WHEN r.action = 'REMOVE' THEN c.item_id IS NOT NULL ELSE c.item_id IS NULL OR c.path <> r.path END", _VERSIONED))
+def index_consistency(s: SparkSession, d: str) -> DataFrame:
+    rows = _versioned(s, d).filter("succeeded")
+    return transitions.inconsistent(rows, rows.filter("item_id % 3 > 0").select("item_id", "path"), ["path"])
+
+
+@query(sql("SELECT review_id AS batch_id, CASE WHEN decision = 'UNSURE' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '1997-06-01' THEN 'expired' WHEN decision = 'UNSURE' THEN 'pending' ELSE 'completed' END AS status FROM review"))
+def batch_status(s: SparkSession, d: str) -> DataFrame:
+    batches = v.review(s, d).select(F.col("review_id").alias("batch_id"), F.when(F.col("decision") == "UNSURE", "pending").otherwise("completed").alias("status"), (F.col("created_at") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    return transitions.effective_status(batches, F.lit("1997-06-01").cast("timestamp_ntz")).select("batch_id", "status")
