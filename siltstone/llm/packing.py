@@ -13,12 +13,14 @@ packed each. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import tokenizers
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,9 +29,6 @@ from pyspark.sql import functions as F
 from siltstone.llm import positions
 from siltstone.llm.storage import written
 
-#: Pieces that one worker remembers at most.
-CACHE = 500_000
-
 
 @dataclass(frozen=True)
 class Packing:
@@ -41,46 +40,47 @@ class Packing:
     shares: dict[str | None, float] = field(default_factory=dict)
 
 
+#: Fixed value: how byte-level tokenizer files of this kind split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(definition: str) -> dict[bytes, int] | None:
+    """The byte strings and ids of a tokenizer file, if it is a byte-level one that merges in the order of its ids; else None."""
+    d = json.loads(definition)
+    model, before = d["model"], d["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or d["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocabulary, special = model["vocab"], {t["content"] for t in d["added_tokens"] or []}
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, equal to encoding each text at once.
+    """The ids that the tokenizer file gives texts (special tokens' strings are ordinary text), then the end token.
 
-    A byte-level pre-tokenizer never joins characters across a single space between two others, so such pieces, each
-    with its leading space, are encoded once and remembered. A text with other runs of white space is encoded whole.
+    A byte-level file is run by tiktoken, which merges several times faster; any other by tokenizers.
     """
 
     def __init__(self, definition: str, end_token: int) -> None:
-        self.tokenizer = tokenizers.Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.end = np.array([end_token], dtype="<u4").tobytes()
-        self.later: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > CACHE:
-            self.later.clear()
-        if len(self.first) > CACHE:
-            self.first.clear()
-        later, first = self.later, self.first
-        split = [t.split(" ") for t in texts]
-        unknown = set().union(*split).difference(later)
-        odd = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
-        # what stands first in a text has no space before it
-        starts = {p[0] for p in split}.difference(first) - odd
-        unknown -= odd
-        later.update(zip(unknown, self._encode([" " + p for p in unknown]), strict=True))
-        first.update(zip(starts, self._encode(list(starts)), strict=True))
-        whole = [i for i, p in enumerate(split) if odd and not odd.isdisjoint(p)]
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids + self.end
-        for i in set(range(len(texts))).difference(whole):
-            p = split[i]
-            out[i] = first[p[0]] + b"".join([later[x] for x in p[1:]]) + self.end
-        return out
+        self.end = end_token
+        ranks = byte_ranks(definition)
+        self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        if not self.fast:
+            self.slow = tokenizers.Tokenizer.from_str(definition)
+            self.slow.encode_special_tokens = True
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast:
+            found = map(self.fast.encode_ordinary, texts)
+        else:
+            found = (e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False))
+        return [np.array([*ids, self.end], dtype="<u4") for ids in found]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -110,9 +110,8 @@ def encoded(docs: DataFrame, packing: Packing) -> DataFrame:
             for start in range(0, big.num_rows, 256):
                 b = big.slice(start, 256)
                 ids = encode([t or "" for t in b.column(4).to_pylist()])
-                n = [len(x) // 4 for x in ids]
-                if not wide:
-                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
+                n = [len(x) for x in ids]
+                ids = [(x if wide else x.astype("<u2")).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
     return written(rows.mapInArrow(run, schema), "tokens")
