@@ -24,7 +24,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "384",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     # else each of many small stores reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

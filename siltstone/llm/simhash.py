@@ -112,6 +112,8 @@ def buckets(nodes: DataFrame, radius: int) -> DataFrame:
     rows = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("table", "key"))
     sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    # never broadcast: it grows with the number of close pairs
+    sizes = written(sizes, "bucket-sizes").hint("merge")
     shared = rows.join(sizes, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("table", "key", "fp", "blocks")
     dealt = shared.select("table", "key", "fp", F.explode(block_pairs("fp")).alias("pair"))
     return dealt.groupBy("table", "key", "pair").agg(F.array_sort(F.collect_list("fp")).alias("members")).select("members").distinct()
@@ -226,9 +228,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [t.as_py() for t in b.column(3)]
-            same = pa.array([np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(t)))).astype(np.int64) for t in text], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([word_fingerprint(t) for t in text], pa.int64())], names=["doc_id", "_file", "_row", "same", "fp"])
+            found = np.zeros((b.num_rows, 2), dtype=np.int64)
+            for i, t in enumerate(b.column(3)):
+                text = t.as_py()
+                found[i] = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(text)))).astype(np.int64), word_fingerprint(text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "_file", "_row", "same", "fp"])
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = written(rows.select("doc_id", "_file", "_row", "text").mapInArrow(sign, f"doc_id {kind}, _file string, _row long, same long, fp long"), "signatures")
@@ -245,6 +250,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
         for b in batches:
             sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["label", "same", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     texts = rows.select("_file", "_row", "text").join(candidates, ["_file", "_row"]).select("label", "same", "text")
     sets = written(texts.mapInArrow(collect_sets, "label long, same long, shingles binary"), "shingles")

@@ -90,7 +90,7 @@ def spread(window: bytes) -> bytes:
 
 
 #: Windows that a worker remembers at most.
-CACHE = 500_000
+CACHE = 150_000
 
 
 class Savings(dict):
@@ -255,6 +255,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str =
             x = np.array([savings((t.as_py() or "").encode()) for t in text]).reshape(len(text), Savings.NAMES)
             p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*b.schema.names[:-1], name])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, schema)
 
