@@ -57,7 +57,7 @@ def lexicon(docs: DataFrame, shape: Lexicon) -> np.ndarray:
     shards = max(partitions(docs.sparkSession), -(-n // 20_000))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, size, number = bl.Vocabulary(), 0, 0
+        seen, size = bl.Vocabulary(), 0
         counts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -74,7 +74,7 @@ def lexicon(docs: DataFrame, shape: Lexicon) -> np.ndarray:
                 size += len(text)
                 if size > CHUNK_BYTES:
                     yield flush()
-                    seen, size, number, counts = bl.Vocabulary(), 0, number + 1, []
+                    seen, size, counts = bl.Vocabulary(), 0, []
         if seen:
             yield flush()
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def padded(block: bl.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[by
 
 def grams(block: bl.Block, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
     """The m-grams of a block for m = 1 .. order, whether each place is a document's first, and each place's document."""
-    import xxhash
-
     ids, first, doc, words = padded(block)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     out = [_keyed(h, np.full(len(h), -1), np.full(len(h), -1), np.arange(len(h)), ids)]
