@@ -16,6 +16,7 @@ its component are null. Repeated rows share a component. An empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def text_key(text: str | None) -> int:
+    """Hash of the text's words, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(text)))).astype(np.int64))
+
+
 def _majority(hashes: Iterator[int], n: int) -> int:
     """Bits set in over half of n hashes, as a signed long."""
     counts = np.zeros(64, dtype=np.int64)
@@ -177,9 +183,147 @@ SET_BYTES = 8 << 20
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct 32-bit hashes of the text's k-word shingles, ascending; of the whole sequence if it has fewer words."""
     w = words(text)
+    if not w:
+        return np.zeros(0, dtype=np.uint32)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     k = min(k, len(w))
-    found = {xxhash.xxh32_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)} if w else set()
-    return np.sort(np.fromiter(found, dtype=np.uint32, count=len(found)))
+    first = np.concatenate(([0], ends[: len(w) - k] + 1)).tolist()
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, ends[k - 1 :].tolist(), strict=True)), dtype=np.uint32, count=len(first)))
+
+
+#: The most frequent shingles are looked for in so many documents.
+SAMPLE = 5000
+#: A shingle in such a share of the sampled documents, and in so many, is common.
+COMMON_SHARE, COMMON_LEAST = 0.01, 20
+#: Shingles counted in one group, on average.
+GROUP_SHINGLES = 1 << 18
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """So many shingles, the first in an order that all sets share, hold a common one if two sets are similar."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def common_shingles(rows: DataFrame, n: int, shingle: int) -> dict[int, int]:
+    """shingle: its number of documents in a sample by hash, for those that are common there.
+
+    At most 1 / COMMON_SHARE times the mean number of shingles of a document. They are only put last in the order of
+    shingles, so the sample changes how many candidates there are, never which pairs are found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).astype(np.int64))], names=["shingle"])
+
+    every = max(1, n // SAMPLE)
+    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(every)) == 0).select("text")
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    least = max(COMMON_LEAST, int(COMMON_SHARE * n / every))
+    return {r["shingle"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
+
+
+def prefix_edges(rows: DataFrame, n: int, n_words: int, shingle: int, similarity: float) -> DataFrame:
+    """a, b: texts (their ``same`` hashes) that share a shingle of their prefixes, as stars; every similar pair is in a component.
+
+    Shingles are ordered by the number of texts that have them, common ones (``common_shingles``) last, then by hash. Those
+    that a single text has are first and lead to no candidate, so only texts most of whose shingles occur elsewhere do.
+    Shingles are counted in groups by hash, sent as arrays with the texts they are of.
+    """
+    spark = rows.sparkSession
+    common = common_shingles(rows, n, shingle)
+    ordered = np.array(sorted(common, key=lambda h: (common[h], h)), dtype=np.uint32)
+    by_hash = np.argsort(ordered)
+    sent = spark.sparkContext.broadcast((ordered, by_hash, ordered[by_hash]))  # bounded, see common_shingles
+    bits = min(16, max(6, (n_words // GROUP_SHINGLES).bit_length()))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered, by_hash, hashes = sent.value
+        names = ["part", "shingles", "texts", "sizes", "of"]
+
+        def rows_of(parts: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *[pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in range(1, 5)]], names=names)
+
+        for b in batches:
+            for start in range(0, b.num_rows, 2048):
+                cold, texts, sizes, last = [], [], [], []
+                for t in b.column(0).slice(start, 2048):
+                    text = t.as_py()
+                    found = shingle_set(text, shingle)
+                    if not len(found):
+                        continue
+                    same = text_key(text)
+                    rest = found
+                    if len(hashes):
+                        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                        hit = hashes[at] == found
+                        rest = found[~hit]
+                        take = prefix_length(len(found), similarity) - len(rest)
+                        if take > 0:
+                            last.append((-1, ordered[np.sort(by_hash[at[hit]])[:take]], np.array([same], dtype=np.int64), np.zeros(0), np.zeros(0)))
+                    cold.append(rest)
+                    texts.append(same)
+                    sizes.append((len(found), len(rest)))
+                if last:
+                    yield rows_of(last)
+                if not cold:
+                    continue
+                of = np.repeat(np.arange(len(cold), dtype=np.uint16), [len(x) for x in cold])
+                flat = np.concatenate(cold)
+                by = np.argsort(flat, kind="stable")
+                flat, of = flat[by], of[by]
+                ends = np.searchsorted(flat >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
+                texts, sizes = np.array(texts, dtype=np.int64), np.array(sizes, dtype=np.int32)
+                parts = []
+                for part in np.flatnonzero(np.diff(ends)).tolist():
+                    x, y = int(ends[part]), int(ends[part + 1])
+                    used, local = np.unique(of[x:y], return_inverse=True)
+                    parts.append((part, flat[x:y], texts[used], sizes[used], local.astype(np.uint16)))
+                    if len(parts) == 256:
+                        yield rows_of(parts)
+                        parts = []
+                if parts:
+                    yield rows_of(parts)
+        pa.default_memory_pool().release_unused()
+
+    def repeated(table: pa.Table) -> pa.Table:
+        """The group's shingles that several texts have, a row for each of their texts."""
+        read = lambda name, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in table.column(name)]
+        texts, of, sizes = read("texts", np.int64), read("of", np.uint16), read("sizes", np.int32)
+        h = np.concatenate(read("shingles", np.uint32))
+        text = np.concatenate([t[i] for t, i in zip(texts, of, strict=True)])
+        size = np.concatenate([s.reshape(-1, 2)[i] for s, i in zip(sizes, of, strict=True)])
+        by = np.lexsort((text, h))
+        h, text, size = h[by], text[by], size[by]
+        new = np.ones(len(h), dtype=bool)  # a text in several rows counts once
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        h, text, size = h[new], text[new], size[new]
+        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
+        many = counts[at] > 1
+        columns = [text[many], size[many, 0], size[many, 1], counts[at][many], h[many].astype(np.int64)]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["same", "n", "cold", "texts", "shingle"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, same in zip(b.column(0), b.column(1), strict=True):
+                h = np.frombuffer(h.as_py(), dtype=np.uint32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), np.frombuffer(same.as_py(), dtype=np.int64)[0])), pa.array(h)], names=["same", "shingle"])
+
+    dealt = written(rows.select("text").mapInArrow(deal, "part int, shingles binary, texts binary, sizes binary, of binary"), "prefix-parts")
+    shared = dealt.filter("part >= 0").groupBy("part").applyInArrow(repeated, "same long, n int, cold int, texts int, shingle long")
+    # the shingles that only this text has come first
+    held = shared.groupBy("same", "n", "cold").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("held"))
+    take = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("cold") - F.size("held"))
+    rare = held.filter(take > 0).select("same", F.explode(F.slice(F.col("held.shingle"), F.lit(1), take.cast("int"))).alias("shingle"))
+    rare = written(rare, "prefixes")
+    firsts = rare.groupBy("shingle").agg(F.min("same").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle", "b")
+    stars = rare.join(firsts, "shingle").select(F.col("same").alias("a"), "b")
+    hot = written(dealt.filter("part < 0").select("shingles", "texts").mapInArrow(unpack, "same long, shingle long").distinct(), "common-prefixes")
+    firsts = hot.groupBy("shingle").agg(F.min("same").alias("b"))
+    stars = stars.unionAll(hot.join(F.broadcast(firsts), "shingle").select(F.col("same").alias("a"), "b"))
+    return stars.filter("a <> b").distinct()
 
 
 def jaccard_forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +362,10 @@ def jaccard_forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float)
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
     """``docs`` with one document (smallest doc_id) of each group of near copies, all columns.
 
-    Documents are linked when their sets of ``shingle``-word shingles are as similar as ``similarity`` (Jaccard). Such
-    pairs differ in few words, so candidates come from fingerprints of the distinct words: components of links within
-    ``radius`` bits, found by covering. Within a candidate component the shingle sets themselves are compared.
+    Documents are linked when their sets of ``shingle``-word shingles are as similar as ``similarity`` (Jaccard). Candidates
+    are components over two kinds of links: prefixes of the shingle sets (``prefix_edges``), which miss no pair, and
+    fingerprints of the distinct words within ``radius`` bits, found by covering. Within a candidate component the shingle
+    sets themselves are compared.
     Documents without words are one group. Nulls in doc_id are larger than any other.
     """
     columns = docs.columns
@@ -228,23 +373,26 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.zeros((b.num_rows, 2), dtype=np.int64)
+            found = np.zeros((b.num_rows, 3), dtype=np.int64)
             for i, t in enumerate(b.column(3)):
                 text = t.as_py()
-                found[i] = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(text)))).astype(np.int64), word_fingerprint(text)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "_file", "_row", "same", "fp"])
+                found[i] = text_key(text), word_fingerprint(text), len(words(text))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(found[:, i]) for i in range(3)]], names=["doc_id", "_file", "_row", "same", "fp", "words"])
         pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.select("doc_id", "_file", "_row", "text").mapInArrow(sign, f"doc_id {kind}, _file string, _row long, same long, fp long"), "signatures")
+    signed = written(rows.select("doc_id", "_file", "_row", "text").mapInArrow(sign, f"doc_id {kind}, _file string, _row long, same long, fp long, words long"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_file", "_row")
     nodes = written(signed.groupBy("same").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "nodes")
 
     labels = components(links(buckets(nodes.select("fp").distinct(), radius), radius))
-    labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("same", "first", F.coalesce("label", "fp").alias("label"))
-    labelled = written(labelled, "labelled")
-    groups = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
-    candidates = written(labelled.join(groups, "label").select("label", "same", "first._file", "first._row"), "candidates")
+    labelled = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("label", "fp").alias("label")), "labelled")
+    groups = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("b")).filter("n > 1").select("label", "b")
+    total = signed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    edges = labelled.join(groups, "label").select(F.col("same").alias("a"), "b").unionAll(prefix_edges(rows, total["n"], total["words"], shingle, similarity))
+    joined = components(edges)
+    joined = joined.unionAll(joined.select("label", "label").distinct()).withColumnRenamed("node", "same")
+    candidates = written(nodes.join(joined, "same").select("label", "same", "first._file", "first._row"), "candidates")
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
