@@ -2,13 +2,13 @@
 
 A scan of every whole text finds base spans (assignments, access identifiers, long hexadecimal runs), which always
 count, and weak candidates, which look like parts of a credential but are common in ordinary text: short access
-identifiers, mixed-case key material and endpoints. Scopes are a text's blocks between blank lines, further cut where a
-block has more than ``SCOPE_CHARS``. An interval join puts each part (base or weak) into the scope that contains its
-start; a weak candidate is reported only if its scope also holds complementary parts: key material needs an identifier
-or an endpoint together with one more kind, an identifier needs key material, an endpoint needs both.
+identifiers, mixed-case key material and endpoints. The scope of a weak candidate is what starts ``SCOPE_CHARS`` or less
+before or after its start, with one gap of blank lines between at most. An interval join puts each part (base or weak)
+into the scopes that contain its start; a weak candidate is reported only if its scope also holds complementary parts:
+key material needs an identifier or an endpoint, an identifier needs key material, an endpoint needs both.
 
-Texts are joined by content, so equal texts are linked once however many rows hold them, and a part joins one scope:
-nothing grows with the square of a text or a group. Nulls: a null text counts as empty. Repeated rows get equal spans.
+Texts are joined by content, so equal texts are linked once however many rows hold them, and a scope holds no more parts
+than fit into its length: nothing grows with the square of a text or a group. Nulls: a null text counts as empty. Repeated rows get equal spans.
 An empty table gives an empty result. Extra columns are ignored. Positions are code points, ends exclusive.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ KINDS = ("assign", "access", "hex", "identifier", "material", "endpoint")
 #: What a span can be in a credential. An assignment and a hexadecimal run can be key material.
 ROLE = {"assign": "material", "access": "identifier", "hex": "material", "identifier": "identifier", "material": "material", "endpoint": "endpoint"}
 SCOPE_CHARS = 2000
+BLANK = re.compile(r"\n(?:[\x20\t\r]*\n)+")
 #: Width of the bins of the interval join.
 BIN = 4096
 
@@ -78,13 +80,13 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     return free
 
 
-def scopes(text: str) -> list[tuple[int, int]]:
-    """Blocks between blank lines, cut at ``SCOPE_CHARS``; they cover the text."""
-    out, start = [], 0
-    cuts = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
-    for end in [*cuts, len(text)]:
-        out += [(a, min(end, a + SCOPE_CHARS)) for a in range(start, end, SCOPE_CHARS)]
-        start = end
+def scopes(text: str, weak: list[Span]) -> list[tuple[int, int]]:
+    """The scope of each weak candidate: within ``SCOPE_CHARS`` of its start, in its block or the one before or after."""
+    cuts = [0, *(m.end() for m in BLANK.finditer(text)), len(text)]
+    out = []
+    for start, _, _ in weak:
+        i = bisect_right(cuts, start)  # its block ends at cuts[i]
+        out.append((max(cuts[max(0, i - 2)], start - SCOPE_CHARS), min(cuts[min(i + 1, len(cuts) - 1)], start + SCOPE_CHARS + 1)))
     return out
 
 
@@ -92,17 +94,17 @@ def written_as(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_FOUND = "text_key binary, n_assign long, n_access long, n_hex long, base_sha256 string, base string, weak array<struct<kind:string,start:long,end:long>>, parts array<struct<kind:string,start:long>>, scopes array<struct<scope_start:long,scope_end:long>>"
+_FOUND = "text_key binary, n_assign long, n_access long, n_hex long, base_sha256 string, base string, weak array<struct<kind:string,start:long,end:long,scope_start:long,scope_end:long>>, parts array<struct<kind:string,start:long>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and what one pass over each whole text finds; parts and scopes only where there are weak candidates."""
+    """doc_id and what one pass over each whole text finds; parts only where there are weak candidates."""
     schema = docs.select("doc_id").schema
     for field in docs.sparkSession.createDataFrame([], _FOUND).schema:
         schema = schema.add(field)
     arrow = [
-        pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
-        pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64())])), pa.list_(pa.struct([("scope_start", pa.int64()), ("scope_end", pa.int64())])),
+        pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
+        pa.list_(pa.struct([("kind", pa.string()), *[(name, pa.int64()) for name in ("start", "end", "scope_start", "scope_end")]])), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64())])),
     ]
 
     def one(text: str) -> tuple:
@@ -111,8 +113,8 @@ def scan(docs: DataFrame) -> DataFrame:
         said, n = written_as(base), [sum(k == i for _, k, _ in base) for i in range(3)]
         key = hashlib.blake2b(text.encode(), digest_size=16).digest() if weak else None
         parts = [{"kind": KINDS[k], "start": a} for a, k, _ in sorted(base + weak)] if weak else []
-        inside = [{"scope_start": a, "scope_end": b} for a, b in scopes(text)] if weak else []
-        return key, *n, hashlib.sha256(said.encode()).hexdigest(), said, [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in weak], parts, inside
+        scoped = [{"kind": KINDS[k], "start": a, "end": b, "scope_start": x, "scope_end": y} for (a, k, b), (x, y) in zip(weak, scopes(text, weak), strict=True)] if weak else []
+        return key, *n, hashlib.sha256(said.encode()).hexdigest(), said, scoped, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,25 +127,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def linked(found: DataFrame) -> DataFrame:
     """text_key, added: the weak candidates whose scope holds complementary parts, one row a text that has any."""
-    texts = found.filter(F.size("weak") > 0).groupBy("text_key").agg(F.first("weak").alias("weak"), F.first("parts").alias("parts"), F.first("scopes").alias("scopes"))
+    texts = found.filter(F.size("weak") > 0).groupBy("text_key").agg(F.first("weak").alias("weak"), F.first("parts").alias("parts"))
     texts = written(texts, "weak-texts")
     roles = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
     bin_of = lambda c: F.floor(F.col(c) / BIN)
     parts = texts.select("text_key", F.inline("parts")).select("text_key", "start", roles[F.col("kind")].alias("role"), bin_of("start").alias("bin"))
-    spans = texts.select("text_key", F.inline("scopes")).withColumn("bin", F.explode(F.sequence(bin_of("scope_start"), F.floor((F.col("scope_end") - 1) / BIN))))
+    weak = texts.select("text_key", F.inline("weak")).withColumnRenamed("start", "at").withColumn("bin", F.explode(F.sequence(bin_of("scope_start"), F.floor((F.col("scope_end") - 1) / BIN))))
     within = (F.col("start") >= F.col("scope_start")) & (F.col("start") < F.col("scope_end"))
     has = lambda role: F.max(F.col("role") == role).alias(role)
-    held = spans.join(parts, ["text_key", "bin"]).filter(within).groupBy("text_key", "scope_start", "scope_end").agg(has("identifier"), has("material"), has("endpoint"))
-    held = held.filter((F.col("identifier").cast("int") + F.col("material").cast("int") + F.col("endpoint").cast("int")) >= 2)
-    held = held.withColumn("bin", F.explode(F.sequence(bin_of("scope_start"), F.floor((F.col("scope_end") - 1) / BIN))))
-    weak = texts.select("text_key", F.inline("weak")).withColumn("bin", bin_of("start"))
+    held = weak.join(parts, ["text_key", "bin"]).filter(within).groupBy("text_key", "at", "kind", "end").agg(has("identifier"), has("material"), has("endpoint"))
     enough = (
         F.when(F.col("kind") == "identifier", F.col("material"))
         .when(F.col("kind") == "material", F.col("identifier") | F.col("endpoint"))
         .otherwise(F.col("identifier") & F.col("material"))
     )
-    reported = weak.join(held, ["text_key", "bin"]).filter(within & enough)
-    return reported.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    return held.filter(enough).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), "kind", "end"))).alias("added"))
 
 
 def find(docs: DataFrame) -> DataFrame:
