@@ -7,7 +7,8 @@ once are hits: their full text is compared with the text at the kept row's locat
 collision) are grouped by their text instead.
 
 Nulls: a null text counts as empty; a null doc_id is less than any other. Of rows with the same largest doc_id and
-text, the last by file and row stays. An empty table gives an empty result. Extra columns are ignored.
+text, the last by file and row stays. An empty table gives an empty result. Extra columns are ignored, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.storage import new_path, written
+from siltstone.llm import skew
+from siltstone.llm.storage import new_path, scope, unused, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,19 +36,40 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and row of each document as _file, _row; a frame that isn't read from files is written first."""
-    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    try:
-        return docs.select("*", *at)
-    except AnalysisException:
-        return written(docs, "documents").select("*", *at)
+def filed(docs: DataFrame) -> DataFrame:
+    """``docs`` as a frame that is read from files: written first if it isn't, or if its columns hide the files' metadata."""
+    if "_metadata" not in [c.lower() for c in docs.columns]:
+        try:
+            docs.select("_metadata.file_path")
+        except AnalysisException:
+            pass
+        else:
+            return docs
+    return written(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), "documents")
+
+
+def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``docs``, read from files, with the file and row of each document."""
+    return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
 
+def keys(docs: DataFrame, names: list[str], *columns: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` read from files, and its ``columns`` with _file and _row. names: what ``docs`` calls its columns."""
+    docs = filed(docs)
+    return docs, docs.select(*[F.col(f"`{docs.columns[names.index(c)]}`").alias(c) for c in columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
-def digest_log(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, digest, _file, _row, text_sha256 of each row."""
+
+def rows_at(docs: DataFrame, names: list[str], places: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` (read from files) joined with ``places`` (_file, _row) by ``how``; columns are called ``names`` again."""
+    file, row = unused("_file", docs.columns), unused("_row", docs.columns)
+    joined = located(docs, file, row).join(places.select(F.col("_file").alias(file), F.col("_row").alias(row)), [file, row], how)
+    return joined.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+
+
+def digest_log(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, digest, _file, _row, text_sha256 of rows with doc_id, text, _file, _row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return located(docs).select("doc_id", digest(text).alias("digest"), "_file", "_row", F.sha2(text, 256).alias("text_sha256"))
+    return rows.select("doc_id", digest(text).alias("digest"), "_file", "_row", F.sha2(text, 256).alias("text_sha256"))
 
 
 def deduplicate_stream(stream: DataFrame, checkpoint: str, out: str):
@@ -83,27 +106,45 @@ def stream_states(spark: SparkSession, log: DataFrame, path: str, files_per_epoc
 
 def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_epoch: int = 512) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, _file, _row for every row."""
-    spark = docs.sparkSession
-    docs = located(docs)
-    path = new_path(spark, "digests")
-    digest_log(docs.drop("_file", "_row"), digest).write.parquet(path)
-    log = spark.read.parquet(path)
-    states = written(stream_states(spark, log, path, files_per_epoch), "states")
+    return _decisions(keys(docs, docs.columns, "doc_id", "text")[1], digest, files_per_epoch)
 
-    # full bytes of hits: rows with a digest of several rows, against the row that stays
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(digest(text).alias("digest"), "doc_id", "_file", "_row", text.alias("text"))
-    hits = written(rows.join(states.filter("group_size > 1"), "digest").withColumn("kept", _at_keep()).drop("keep", "group_size"), "hits")
-    firsts = hits.filter("kept").select("digest", F.col("text").alias("kept_text"))
-    differ = written(hits.filter("NOT kept").join(firsts, "digest").filter("text <> kept_text").drop("kept_text", "kept"), "collisions")
 
-    out = log.join(states, "digest").withColumn("kept", _at_keep())
-    out = out.select("doc_id", "keep.doc_id", "group_size", "kept", "text_sha256", "_file", "_row", "digest").toDF("doc_id", "keep_id", "group_size", "kept", "text_sha256", "_file", "_row", "digest")
+def _decisions(rows: DataFrame, digest: Callable[[Column], Column], files_per_epoch: int) -> DataFrame:
+    spark = rows.sparkSession
+    path = new_path(spark, "digests")
+    digest_log(rows, digest).write.parquet(path)
+    log = spark.read.parquet(path)
+    with scope(spark):
+        states = written(stream_states(spark, log, path, files_per_epoch), "states", outlive=True)
+        hot = skew.hot_keys(log, "digest", outlive=True)
+        differ = written(_collisions(rows, states, digest, hot), "collisions", outlive=True)
+    out = skew.join(log, states, "digest", hot).withColumn("kept", _at_keep())
+    out = out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256", "_file", "_row", "digest")
     if not differ.isEmpty():
         out = _split_collisions(out, differ)
     return out.drop("digest")
 
 
+def _collisions(rows: DataFrame, states: DataFrame, digest: Callable[[Column], Column], hot: DataFrame) -> DataFrame:
+    """digest, doc_id, _file, _row, text of the hits whose full bytes differ from the row that stays.
+
+    The texts that stay for hot digests are broadcast: each is in one row of 1000 at least, so together they are no longer
+    than 1000 texts of mean length. Other hits meet the text that stays in a shuffle.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = rows.select(digest(text).alias("digest"), "doc_id", "_file", "_row", text.alias("text"))
+    several = states.filter("group_size > 1").select("digest", "keep")
+    out = []
+    for few in (True, False):
+        if few:
+            hits = hashed.join(F.broadcast(several.join(F.broadcast(hot), "digest", "left_semi")), "digest")
+        else:
+            hits = hashed.join(F.broadcast(hot), "digest", "left_anti").join(several, "digest")
+        firsts = hits.filter(_at_keep()).select("digest", F.col("text").alias("kept_text"))
+        out.append(hits.filter(~_at_keep()).join(F.broadcast(firsts) if few else firsts, "digest").filter("text <> kept_text"))
+    return out[0].unionAll(out[1]).select("digest", "doc_id", "_file", "_row", "text")
+
+
 def _at_keep() -> Column:
     return (F.col("_file") == F.col("keep._file")) & (F.col("_row") == F.col("keep._row"))
 
@@ -123,7 +164,8 @@ def _split_collisions(out: DataFrame, differ: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns."""
-    columns = docs.columns
-    docs = located(docs)
-    dropped = written(decisions(docs.drop("_file", "_row")).filter("NOT kept").select("_file", "_row"), "dropped")
-    return docs.join(dropped, ["_file", "_row"], "left_anti").select(*columns)
+    names = docs.columns
+    docs, rows = keys(docs, names, "doc_id", "text")
+    with scope(docs.sparkSession):
+        dropped = written(_decisions(rows, sha256, 512).filter("NOT kept").select("_file", "_row"), "dropped", outlive=True)
+    return rows_at(docs, names, dropped, "left_anti")

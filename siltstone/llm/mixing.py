@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import positions
-from siltstone.llm.storage import written
+from siltstone.llm.exact_dedup import keys, rows_at
+from siltstone.llm.storage import scope, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The golden ratio's fractional part, and that of 2^20 times it: i = a * 2^20 + b keeps the point exact to 1e-9.
@@ -71,7 +72,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     ranges = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * _BINS).cast("int"), F.least(F.floor(F.col("hi") * _BINS), F.lit(_BINS - 1)).cast("int"))))
     points = spark.range(slots).select(F.col("id").alias("slot"), golden(F.col("id")).alias("point")).withColumn("bin", F.floor(F.col("point") * _BINS).cast("int"))
     picked = points.join(ranges, "bin").filter("point >= lo AND point < hi")
-    picked = picked.select("slot", "source", F.floor(F.col("slot") * F.lit(float(positions.BUCKETS) / max(1, slots))).cast("int").alias("chunk"))
+    picked = picked.select("slot", "source", F.floor(F.col("slot") * F.lit(float(1 << positions.bits_for(slots)) / max(1, slots))).cast("int").alias("chunk"))
     return positions.running(written(picked, "slots"), ["source"], "chunk", ["slot"], F.lit(1).cast("long"), "rank").select("slot", "source", "rank")
 
 
@@ -86,7 +87,8 @@ def stream(rows: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     # one rank more than "most" rounds of blocks would repeat a document too often
     slots = slots.join(sources.select(F.col("source").alias("_s"), F.ceil(F.col("source_size") / b).alias("blocks")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("rank") < mix.most * F.col("blocks"))
     slots = slots.select("slot", F.col("source").alias("_s"), (F.col("rank") % F.col("blocks")).alias("_b"))
-    at = positions.running(rows.filter("size > 0").withColumn("_bucket", positions.hash_bucket(F.col("h"))), ["source"], "_bucket", ["h", "uid"], F.col("size"), "at")
+    bits = positions.bits_for(rows.count())
+    at = positions.running(rows.filter("size > 0").withColumn("_bucket", positions.hash_bucket(F.col("h"), bits)), ["source"], "_bucket", ["h", "uid"], F.col("size"), "at")
     end = F.col("at") + F.col("size")
     pieces = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((end - 1) / b))))
     pieces = pieces.select("uid", "source", "block", F.greatest(F.col("block") * b - F.col("at"), F.lit(0)).alias("start"), (F.least(end, (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)).alias("words"))
@@ -94,22 +96,23 @@ def stream(rows: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
 
 
 def sized(docs: DataFrame, *keep: str) -> DataFrame:
-    """uid, doc_id, source, size, h for every row, written once."""
+    """uid, doc_id, source, size, h and ``keep`` for every row, written once."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", *keep, size.alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    return written(rows, "sized")
+    return written(rows, "sized", outlive=True)
 
 
 def taken(rows: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     """uid, taken: how many words of each document the mix takes, repeats counted; documents not taken are absent."""
-    return stream(rows, sources, mix).groupBy("uid").agg(F.sum("words").alias("taken"))
+    return written(stream(rows, sources, mix).groupBy("uid").agg(F.sum("words").alias("taken")), "taken", outlive=True)
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every document."""
-    rows = sized(docs)
-    sources = written(targets(rows, mix), "targets")
-    t = written(taken(rows, sources, mix), "taken")
+    with scope(docs.sparkSession):
+        rows = sized(docs)
+        sources = written(targets(rows, mix), "targets", outlive=True)
+        t = taken(rows, sources, mix)
     s = sources.select(F.col("source").alias("_s"), "source_size", "target")
     out = rows.join(t, "uid", "left").join(F.broadcast(s) if _small(sources) else s, F.col("source").eqNullSafe(F.col("_s")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
@@ -121,15 +124,25 @@ def _small(sources: DataFrame, most: int = 100_000) -> bool:
 
 
 def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The documents of the mix, whole: each as many times as the mix takes it, to the nearest number.
+    """The documents of the mix, whole: each as many times as the mix begins it.
 
-    Blocks are taken as often as any other of the source, or once more, so only the documents at the place where a
-    source's last round ends are taken in part. Documents without words stay once.
+    A source's blocks are taken in order, round after round, so only the document at which its last round ends is taken
+    in part; it counts whole, and each source has its target to within a document. Documents without words stay once.
+    Rows come in no particular order; repeated rows are mixed each. Extra columns may have any names.
     """
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_document"))
-    rows = sized(whole, "_document")
-    sources = written(targets(rows, mix), "targets")
-    t = written(taken(rows.drop("_document"), sources, mix), "taken")
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.coalesce("taken", F.lit(0)) / F.col("size"))).cast("int")
-    out = rows.join(t, "uid", "left").withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_document.*")
+    names = docs.columns
+    docs, rows = keys(docs, names, "doc_id", "source", "text")
+    with scope(docs.sparkSession):
+        with scope(docs.sparkSession):
+            rows = sized(rows, "_file", "_row")
+            sources = written(targets(rows, mix), "targets")
+            t = taken(rows, sources, mix)
+        with_taken = rows.join(t, "uid", "left")
+        # a source too small for a block of its own, of which no slot took any, begins its first document
+        missed = with_taken.filter("size > 0").groupBy("source").agg(F.max("taken").alias("most"), F.min(F.struct("h", "uid")).alias("first"))
+        missed = missed.filter("most IS NULL").select(F.col("first.uid").alias("uid"), F.lit(1).alias("begun"))
+        times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.coalesce("taken", "begun", F.lit(0)) / F.col("size"))).cast("int")
+        times = with_taken.join(missed, "uid", "left").select("_file", "_row", times.alias("times"))
+        times = written(times.filter("times > 0"), "times", outlive=True)
+    times = times.select("_file", "_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return rows_at(docs, names, times, "inner")

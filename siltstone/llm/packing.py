@@ -1,26 +1,28 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents in hashed order, cut into packets of at most ``packet_tokens``. A round gives
-every source its quantum (its target share of ``sequence_tokens``) on top of what it carried over, and a source sends
-packets while they fit what it has; the rest is carried on, across sequences and partitions alike. So a packet that ends
-at token e of its queue leaves in round ceil(e / quantum): prefix sums replace the loop, whatever the number of rows.
-Packets in order of round, source and queue form one stream, cut every ``sequence_tokens``; what is left at the end goes
-to sequences of falling powers of two, so nothing is padded.
-
-Nulls: a null text is empty and has the end token alone; null sources form one queue, ordered last. Repeated rows are
-packed each. An empty table gives an empty result. Extra columns are ignored.
+Each source is a queue of its documents in hashed order. A round fills one window: every source gets its quantum, its
+target share of ``sequence_tokens``, on top of what it carried over, sends as many whole tokens as it has (in units of
+``least_tokens`` if its quantum is smaller) and carries the rest on, across windows and partitions alike. So after k
+rounds a source with quantum q has sent floor(k * q) tokens, whatever the documents, and every cut and every place in the
+stream is computed from the quanta alone. Rounds follow each other in one stream that is cut every ``sequence_tokens``;
+what is left at the end goes to sequences of falling powers of two, so nothing is padded.
+
+Nulls: a null text is empty and has the end token alone; null sources form one queue, ordered last. Of more sources than
+a window has tokens several share a queue, by hash. Repeated rows are packed each. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 import tokenizers
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,52 +37,73 @@ class Packing:
     tokenizer: str
     end_token: int = 1
     sequence_tokens: int = 2048
-    packet_tokens: int = 512
+    #: A source whose quantum is smaller sends so many tokens every few rounds.
+    least_tokens: int = 16
     #: Target shares by source; by default each source's share of all tokens.
     shares: dict[str | None, float] = field(default_factory=dict)
 
 
-#: Fixed value: how byte-level tokenizer files of this kind split a text before merging.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space between two characters that no tokenizer takes for white space.
+BOUNDARY = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+#: Pieces that a worker remembers at most, and the longest that it does.
+CACHE, CACHED_CHARS = 200_000, 40
+PART_CHARS = 1 << 20
 
 
-def byte_ranks(definition: str) -> dict[bytes, int] | None:
-    """The byte strings and ids of a tokenizer file, if it is a byte-level one that merges in the order of its ids; else None."""
+def splits_at_spaces(definition: str) -> bool:
+    """Whether a tokenizer file gives a text the ids of its parts, cut before each ``BOUNDARY``.
+
+    So it is for byte-level files with their usual split: there a space before a word always begins a part, and nothing is
+    done to the whole text.
+    """
     d = json.loads(definition)
-    model, before = d["model"], d["pre_tokenizer"] or {}
-    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or d["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-        return None
-    # printable bytes stand for themselves, the others for the characters from 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    vocabulary, special = model["vocab"], {t["content"] for t in d["added_tokens"] or []}
-    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if made != sorted(made):
-        return None
-    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    before = d["pre_tokenizer"] or {}
+    plain = not d["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    added = d["added_tokens"] or []
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added) and not d["model"].get("dropout")
 
 
-class Encoder:
-    """The ids that the tokenizer file gives texts (special tokens' strings are ordinary text), then the end token.
+def parts(text: str) -> Iterator[str]:
+    """A text cut at boundaries about every PART_CHARS characters."""
+    start = 0
+    while len(text) - start > PART_CHARS and (m := BOUNDARY.search(text, start + PART_CHARS)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
 
-    A byte-level file is run by tiktoken, which merges several times faster; any other by tokenizers.
-    """
+
+class Encoder:
+    """The ids that the tokenizer file gives texts, then the end token. Words that come again are encoded once where that is the same."""
 
     def __init__(self, definition: str, end_token: int) -> None:
-        self.end = end_token
-        ranks = byte_ranks(definition)
-        self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
-        if not self.fast:
-            self.slow = tokenizers.Tokenizer.from_str(definition)
-            self.slow.encode_special_tokens = True
+        self.end = np.array([end_token], dtype="<u4").tobytes()
+        self.tokenizer = tokenizers.Tokenizer.from_str(definition)
+        self.by_piece = splits_at_spaces(definition)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.fast:
-            found = map(self.fast.encode_ordinary, texts)
-        else:
-            found = (e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False))
-        return [np.array([*ids, self.end], dtype="<u4") for ids in found]
+        if not self.by_piece:
+            return [np.frombuffer(ids + self.end, dtype="<u4") for ids in self._ids(texts)]
+        return [np.frombuffer(b"".join([self._by_piece(part) for part in parts(t)]) + self.end, dtype="<u4") for t in texts]
+
+    def _by_piece(self, text: str) -> bytes:
+        pieces = BOUNDARY.split(text)
+        known = self.known
+        new = [p for p in set(pieces) if p not in known]
+        if new:
+            if len(known) > CACHE:
+                known = self.known = {}
+                new = list(set(pieces))
+            ids = dict(zip(new, self._ids(new), strict=True))
+            if all(len(p) <= CACHED_CHARS for p in new):
+                known.update(ids)
+            else:
+                known.update(p for p in ids.items() if len(p[0]) <= CACHED_CHARS)
+                return b"".join([known.get(p) or ids.get(p, b"") for p in pieces])
+        return b"".join([known[p] for p in pieces])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -117,29 +140,84 @@ def encoded(docs: DataFrame, packing: Packing) -> DataFrame:
     return written(rows.mapInArrow(run, schema), "tokens")
 
 
-def rounds(tokens: DataFrame, packing: Packing) -> DataFrame:
-    """uid, start, length, round, source, at: the packets, with their place in the source's queue and their round."""
-    queues = tokens.groupBy("source").agg(F.sum("n").alias("queue_tokens"))
-    share = F.col("queue_tokens") / F.sum("queue_tokens").over(positions.Window.partitionBy())
-    for source, given in packing.shares.items():
-        share = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(given))).otherwise(share)
-    queues = written(queues.select(F.col("source").alias("_s"), (share * packing.sequence_tokens).alias("quantum")), "queues")
-    small = queues.count() <= 100_000
-    at = positions.running(tokens.select("uid", "source", "n", "h", positions.hash_bucket(F.col("h")).alias("_bucket")), ["source"], "_bucket", ["h", "uid"], F.col("n"), "at")
-    at = at.join(F.broadcast(queues) if small else queues, F.col("source").eqNullSafe(F.col("_s")))
-    p = packing.packet_tokens
-    packets = at.withColumn("start", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {p}), i -> i * {p})")))
-    packets = packets.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(p))).withColumn("at", F.col("at") + F.col("start"))
-    return packets.select("uid", "start", "length", "source", "at", F.ceil((F.col("at") + F.col("length")) / F.col("quantum")).alias("round"))
-
-
-def streamed(packets: DataFrame) -> DataFrame:
-    """uid, start, length, at: the packets with their place in the stream."""
-    packets = written(packets, "packets")
-    last = packets.agg(F.max("round")).first()[0] or 0
-    bucket = F.floor(F.col("round") * F.lit(positions.BUCKETS / (last + 1))).cast("int")
-    placed = packets.withColumnRenamed("at", "queued").withColumn("_bucket", bucket)
-    return positions.running(placed, [], "_bucket", ["round", F.col("source").asc_nulls_last(), "queued", "uid"], F.col("length"), "at", few_groups=True).select("uid", "start", "length", "at")
+@dataclass(frozen=True)
+class Quanta:
+    """What each queue sends: quantum and unit in 2^-16 tokens and tokens, and the queue's length."""
+
+    quantum: np.ndarray
+    unit: np.ndarray
+    tokens: np.ndarray
+
+    def sent(self, rounds: np.ndarray, queue: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tokens that queues have sent after so many rounds; everything once they were given as many as they have."""
+        q, u, n = self.quantum[queue], self.unit[queue], self.tokens[queue]
+        given = np.minimum(rounds, -(-(n << 16) // q)) * q >> 16
+        return np.where(given >= n, n, given // u * u)
+
+    def round_of(self, token: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """The first round after which a queue has sent more than ``token`` tokens."""
+        q, u, n = self.quantum[queue], self.unit[queue], self.tokens[queue]
+        least = np.minimum((token // u + 1) * u, n)
+        return -(-(least << 16) // q)
+
+
+def packets(quanta: Quanta, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The packets of documents at places of their queues: document, start in it, length, place in the stream; by document and start."""
+    first, last = quanta.round_of(at, queue), quanta.round_of(at + n - 1, queue)
+    unit = quanta.unit[queue]
+    # one step a round, or a unit where a round sends less
+    steps = np.where(unit > 1, (at + n - 1) // unit - at // unit, last - first) + 1
+    doc = np.repeat(np.arange(len(n)), steps)
+    step = np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps)
+    s = queue[doc]
+    by_unit = unit[doc] > 1
+    begin = np.where(by_unit, (at[doc] // unit[doc] + step) * unit[doc], 0)
+    k = np.where(by_unit, quanta.round_of(np.minimum(np.maximum(begin, at[doc]), (at + n)[doc] - 1), s), first[doc] + step)
+    before = quanta.sent(k - 1, s)
+    begin = np.where(by_unit, begin, before)
+    end = np.where(by_unit, begin + unit[doc], quanta.sent(k, s))
+    begin, end = np.maximum(begin, at[doc]), np.minimum(end, (at + n)[doc])
+    some = end > begin
+    doc, s, k, begin, end, before = doc[some], s[some], k[some], begin[some], end[some], before[some]
+    return doc, begin - at[doc], end - begin, _round_starts(quanta, k, s) + begin - before
+
+
+def _round_starts(quanta: Quanta, k: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The place in the stream where queue s begins in round k: after all earlier rounds, and earlier queues of this one."""
+    distinct, at = np.unique(k, return_inverse=True)
+    by = np.argsort(at, kind="stable")
+    out = np.zeros(len(k), dtype=np.int64)
+    some = max(1, (1 << 20) // max(1, len(quanta.tokens)))
+    ordered = at[by]
+    for start in range(0, len(distinct), some):
+        rounds = distinct[start : start + some, None]
+        before, after = quanta.sent(rounds - 1), quanta.sent(rounds)
+        places = before.sum(axis=1)[:, None] + np.cumsum(after - before, axis=1) - (after - before)
+        x, y = np.searchsorted(ordered, [start, start + len(rounds)])
+        rows = by[x:y]
+        out[rows] = places[at[rows] - start, s[rows]]
+    return out
+
+
+def queued(tokens: DataFrame, packing: Packing) -> tuple[DataFrame, Quanta]:
+    """``tokens`` with queue and at (the tokens before a document in its queue), and what the queues send."""
+    sources = tokens.groupBy("source").agg(F.sum("n").alias("n"))
+    most = packing.sequence_tokens
+    if tokens.select("source").distinct().count() > most:
+        sources = tokens.groupBy((F.pmod(F.xxhash64("source"), F.lit(most))).cast("string").alias("source")).agg(F.sum("n").alias("n"))
+        tokens = tokens.withColumn("source_", F.pmod(F.xxhash64("source"), F.lit(most)).cast("string"))
+    else:
+        tokens = tokens.withColumn("source_", F.col("source"))
+    found = sources.orderBy(F.col("source").asc_nulls_last()).collect()  # at most a window's tokens
+    total = sum(r["n"] for r in found)
+    shares = np.array([packing.shares.get(r["source"], r["n"] / total) for r in found])
+    quantum = np.maximum(1, (shares / max(1e-300, shares.sum()) * most * 65536).astype(np.int64))
+    unit = np.where(quantum >= packing.least_tokens << 16, 1, packing.least_tokens)
+    quanta = Quanta(quantum, unit, np.array([r["n"] for r in found], dtype=np.int64))
+    numbers = tokens.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(found)], f"_s {tokens.schema['source_'].dataType.simpleString()}, queue int")
+    bits = positions.bits_for(tokens.count())
+    rows = tokens.join(F.broadcast(numbers), F.col("source_").eqNullSafe(F.col("_s"))).drop("_s", "source_").withColumn("_bucket", positions.hash_bucket(F.col("h"), bits))
+    return positions.running(rows, ["queue"], "_bucket", ["h", "uid"], F.col("n"), "at", buckets=len(found) << bits, nulls=False), quanta
 
 
 def tail_sizes(rest: int) -> list[int]:
@@ -147,52 +225,57 @@ def tail_sizes(rest: int) -> list[int]:
     return [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]
 
 
+def pieces(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tail: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """document, start, length, sequence, offset: packets cut where sequences end; what meets again is one piece."""
+    doc, start, length, place = found
+    full = int(tail[0]) // size
+
+    def sequence(p: np.ndarray) -> np.ndarray:
+        return np.where(p < tail[0], p // size, full + np.searchsorted(tail, p, side="right") - 1)
+
+    first, last = sequence(place), sequence(place + length - 1)
+    parts = last - first + 1
+    row = np.repeat(np.arange(len(doc)), parts)
+    s = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begins = np.where(s < full, s * size, tail[np.maximum(s - full, 0)])
+    ends = np.where(s < full, (s + 1) * size, tail[np.minimum(np.maximum(s - full, -1) + 1, len(tail) - 1)])
+    low, high = np.maximum(place[row], begins), np.minimum((place + length)[row], ends)
+    start = start[row] + low - place[row]
+    doc, length, offset = doc[row], high - low, low - begins
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1]) | (start[1:] != (start + length)[:-1]) | (offset[1:] != (offset + length)[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], start[at], np.add.reduceat(length, at) if len(at) else length, s[at], offset[at]
+
+
 def pack(docs: DataFrame, packing: Packing) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source for every piece."""
     tokens = encoded(docs, packing)
     total = tokens.agg(F.sum("n")).first()[0] or 0
     size = packing.sequence_tokens
     full = total // size
-    # where the sequences after the last full one begin
+    # where the sequences after the last full one begin, and the end of the last
     tail = np.cumsum([full * size, *tail_sizes(total - full * size)])
-    placed = streamed(rounds(tokens, packing)).groupBy(F.col("uid").alias("_uid")).agg(F.array_sort(F.collect_list(F.struct("start", "length", "at"))).alias("packets"))
-    joined = tokens.join(placed, F.col("uid") == F.col("_uid")).select("doc_id", "source", "n", "ids", F.col("packets.start").alias("starts"), F.col("packets.length").alias("lengths"), F.col("packets.at").alias("places"))
-    out = joined.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], "source").schema
-
-    def sequence(at: int) -> tuple[int, int, int]:
-        """The sequence at a place of the stream, its first place, and the next one's."""
-        if at < tail[0]:
-            s = at // size
-            return s, s * size, s * size + size
-        k = int(np.searchsorted(tail, at, side="right")) - 1
-        return full + k, int(tail[k]), int(tail[k + 1])
-
-    def pieces(n: int, raw: bytes, starts: list[int], lengths: list[int], places: list[int]) -> Iterator[tuple]:
-        ids = raw if len(raw) == 4 * n else np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
-        open_ = None  # a piece that the next packet may continue
-        for start, length, at in zip(starts, lengths, places, strict=True):
-            while length:
-                s, begins, ends = sequence(at)
-                here = min(length, ends - at)
-                if open_ and open_[2] == s and open_[3] + open_[1] == at - begins and open_[0] + open_[1] == start:
-                    open_ = (open_[0], open_[1] + here, s, open_[3])
-                else:
-                    if open_:
-                        yield open_, zlib.crc32(ids[4 * open_[0] : 4 * (open_[0] + open_[1])])
-                    open_ = (start, here, s, at - begins)
-                start, at, length = start + here, at + here, length - here
-        if open_:
-            yield open_, zlib.crc32(ids[4 * open_[0] : 4 * (open_[0] + open_[1])])
+    placed, quanta = queued(tokens, packing)
+    rows = placed.select("doc_id", "source", "queue", "at", "n", "ids")
+    out = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], "source").schema
+    sent = docs.sparkSession.sparkContext.broadcast(quanta)  # three numbers for each of at most ``size`` queues
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, found = [], []
-            for i, (n, raw, *rest) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
-                for (start, length, s, offset), crc in pieces(n, raw, *rest):
-                    row.append(i)
-                    found.append((start, length, crc, n, s, offset))
-            at = pa.array(row, pa.int64())
-            numbers = np.array(found, dtype=np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(numbers[:, k]) for k in range(6)), b.column(1).take(at)], names=out.names)
-
-    return joined.mapInArrow(run, out)
+        quanta = sent.value
+        for big in batches:
+            for i in range(0, big.num_rows, 1024):
+                b = big.slice(i, 1024)
+                queue, at, n = (b.column(k).to_numpy() for k in (2, 3, 4))
+                doc, start, length, s, offset = pieces(packets(quanta, queue, at, n), tail, size)
+                crc = np.zeros(len(doc), dtype=np.int64)
+                edges = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                for d, raw in enumerate(b.column(5)):
+                    raw = raw.as_py()
+                    ids = memoryview(raw if len(raw) == 4 * n[d] else np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes())
+                    x, y = edges[d], edges[d + 1]
+                    crc[x:y] = [zlib.crc32(ids[4 * p : 4 * (p + w)]) for p, w in zip(start[x:y].tolist(), length[x:y].tolist(), strict=True)]
+                take = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], s, offset)), b.column(1).take(take)], names=out.names)
+
+    return rows.mapInArrow(run, out)

@@ -63,6 +63,9 @@ def assign(docs: DataFrame, tree: Tree, grown_tree: Tree) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; law ``key``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place(F.col("doc_id"), tree).alias("shard"), place(F.col("doc_id"), grown_tree).alias("grown_shard"))
-    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("_bucket", positions.hash_bucket(F.col("_h")))
-    placed = positions.running(written(rows, "sharded"), ["shard"], "_bucket", ["_h", "doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "slot", few_groups=True)
+    rows = written(rows.withColumn("_h", F.xxhash64("doc_id", "text_crc32", "size")), "sharded")
+    bits = positions.bits_for(rows.count())
+    rows = rows.withColumn("_bucket", positions.hash_bucket(F.col("_h"), bits))
+    shards = sum(len(rack) for racks in tree.values() for rack in racks.values())
+    placed = positions.running(rows, ["shard"], "_bucket", ["_h", "doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "slot", buckets=shards << bits, nulls=False)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm import skew
 from siltstone.llm.components import components
-from siltstone.llm.exact_dedup import located
-from siltstone.llm.storage import partitions, written
+from siltstone.llm.exact_dedup import keys, rows_at
+from siltstone.llm.storage import partitions, scope, written
 
 SEED = 42
 BLOCK = 2048
@@ -39,9 +40,9 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def text_key(text: str | None) -> int:
-    """Hash of the text's words, as a signed long."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(text)))).astype(np.int64))
+def text_key(w: list[bytes]) -> int:
+    """Hash of a text's words, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(w))).astype(np.int64))
 
 
 def _majority(hashes: Iterator[int], n: int) -> int:
@@ -66,9 +67,8 @@ def shingle_fingerprint(text: str | None, k: int) -> int:
     return _majority((digest(joined[a:b], SEED) for a, b in zip(first, ends[k - 1 :].tolist(), strict=True)), len(first))
 
 
-def word_fingerprint(text: str | None) -> int:
-    """SimHash of the text's distinct words."""
-    w = set(words(text))
+def word_fingerprint(w: set[bytes]) -> int:
+    """SimHash of a text's distinct words."""
     return _majority((xxhash.xxh64_intdigest(x, SEED) for x in w), len(w)) if w else 0
 
 
@@ -115,6 +115,7 @@ def buckets(nodes: DataFrame, radius: int) -> DataFrame:
     nodes: fp, distinct.
     """
     tables = masks(radius)
+    nodes = nodes.repartition(partitions(nodes.sparkSession))  # few bytes, but each row becomes many
     rows = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("table", "key"))
     sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -163,26 +164,34 @@ def links(lists: DataFrame, radius: int) -> DataFrame:
     return lists.repartition(partitions(lists.sparkSession)).mapInArrow(run, "a long, b long")
 
 
+def named_components(nodes: DataFrame, labels: DataFrame, name: str, least: str, out: str) -> DataFrame:
+    """``name`` and ``out``, the smallest ``least`` of its component, for the nodes that have links.
+
+    nodes: ``name``, ``least``; labels: as ``components`` gives them. A label of a third of all nodes is no hot key here.
+    """
+    members = written(labels.unionAll(labels.select("label", "label").distinct()), "members")
+    smallest = written(members.join(nodes.withColumnRenamed(name, "node"), "node").groupBy("label").agg(F.min(least).alias(out)), "smallest")
+    return skew.join(members, smallest, "label", skew.hot_keys(members, "label")).select(F.col("node").alias(name), out)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest doc_id reachable over links) for every row."""
-    prints = written(fingerprints(docs.select("doc_id", "text"), lambda t: shingle_fingerprint(t, shingle), ["doc_id"]), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(buckets(nodes.select("fp"), radius), radius))
-    labelled = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked")), "labelled")
-    # the smallest doc_id of each component that has links
-    roots = labelled.filter("linked").select("label").distinct()
-    grouped = labelled.join(roots, "label", "left_semi")
-    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(labelled.join(smallest, "label", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scope(docs.sparkSession):
+        prints = written(fingerprints(docs.select("doc_id", "text"), lambda t: shingle_fingerprint(t, shingle), ["doc_id"]), "fingerprints", outlive=True)
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        labels = components(links(buckets(nodes.select("fp"), radius), radius))
+        named = named_components(nodes, labels, "fp", "least", "component_id").withColumnRenamed("fp", "_fp")
+        named = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+        named = written(named, "components", outlive=True)
+        hot = skew.hot_keys(prints, "fp", outlive=True)
+    return skew.join(prints, named, "fp", hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 SET_BYTES = 8 << 20
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct 32-bit hashes of the text's k-word shingles, ascending; of the whole sequence if it has fewer words."""
-    w = words(text)
+def shingle_set(w: list[bytes], k: int) -> np.ndarray:
+    """The distinct 32-bit hashes of a text's k-word shingles, ascending; of the whole sequence if it has fewer words."""
     if not w:
         return np.zeros(0, dtype=np.uint32)
     joined = b" ".join(w)
@@ -216,7 +225,7 @@ def common_shingles(rows: DataFrame, n: int, shingle: int) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).astype(np.int64))], names=["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words(t.as_py()), shingle).astype(np.int64))], names=["shingle"])
 
     every = max(1, n // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(every)) == 0).select("text")
@@ -250,11 +259,11 @@ def prefix_edges(rows: DataFrame, n: int, n_words: int, shingle: int, similarity
             for start in range(0, b.num_rows, 2048):
                 cold, texts, sizes, last = [], [], [], []
                 for t in b.column(0).slice(start, 2048):
-                    text = t.as_py()
-                    found = shingle_set(text, shingle)
+                    w = words(t.as_py())
+                    found = shingle_set(w, shingle)
                     if not len(found):
                         continue
-                    same = text_key(text)
+                    same = text_key(w)
                     rest = found
                     if len(hashes):
                         at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
@@ -359,61 +368,80 @@ def jaccard_forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float)
     return keys[np.concatenate(a)], keys[np.concatenate(b)]
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """``docs`` with one document (smallest doc_id) of each group of near copies, all columns.
 
     Documents are linked when their sets of ``shingle``-word shingles are as similar as ``similarity`` (Jaccard). Candidates
-    are components over two kinds of links: prefixes of the shingle sets (``prefix_edges``), which miss no pair, and
-    fingerprints of the distinct words within ``radius`` bits, found by covering. Within a candidate component the shingle
-    sets themselves are compared.
-    Documents without words are one group. Nulls in doc_id are larger than any other.
+    are components over two kinds of links: fingerprints of the distinct words within ``radius`` bits, found by covering,
+    and, as no radius holds all similar pairs, prefixes of the shingle sets (``prefix_edges``), which miss none. Within a
+    candidate component the shingle sets themselves are compared.
+    Documents without words are one group. Nulls in doc_id are larger than any other. Of rows with one doc_id and the same
+    words the first by file and row stays.
     """
-    columns = docs.columns
-    rows = located(docs)
+    names = docs.columns
+    docs, rows = keys(docs, names, "doc_id", "text")
+    with scope(docs.sparkSession):
+        kept = written(_kept(rows, shingle, similarity, radius), "kept", outlive=True)
+    return rows_at(docs, names, kept, "left_semi")
+
+
+def _kept(rows: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """_file, _row of the rows that stay."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.zeros((b.num_rows, 3), dtype=np.int64)
             for i, t in enumerate(b.column(3)):
-                text = t.as_py()
-                found[i] = text_key(text), word_fingerprint(text), len(words(text))
+                w = words(t.as_py())
+                found[i] = text_key(w), word_fingerprint(set(w)), len(w)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(found[:, i]) for i in range(3)]], names=["doc_id", "_file", "_row", "same", "fp", "words"])
         pa.default_memory_pool().release_unused()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     signed = written(rows.select("doc_id", "_file", "_row", "text").mapInArrow(sign, f"doc_id {kind}, _file string, _row long, same long, fp long, words long"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_file", "_row")
     nodes = written(signed.groupBy("same").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "nodes")
-
-    labels = components(links(buckets(nodes.select("fp").distinct(), radius), radius))
-    labelled = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("label", "fp").alias("label")), "labelled")
-    groups = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("b")).filter("n > 1").select("label", "b")
     total = signed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    edges = labelled.join(groups, "label").select(F.col("same").alias("a"), "b").unionAll(prefix_edges(rows, total["n"], total["words"], shingle, similarity))
+
+    edges = star_edges(nodes, radius).unionAll(prefix_edges(rows, total["n"], total["words"], shingle, similarity))
     joined = components(edges)
     joined = joined.unionAll(joined.select("label", "label").distinct()).withColumnRenamed("node", "same")
     candidates = written(nodes.join(joined, "same").select("label", "same", "first._file", "first._row"), "candidates")
+    near = components(similar(rows, candidates, shingle, similarity))
+    grouped = nodes.select("same", "first").join(near.withColumnRenamed("node", "same"), "same", "left").select("first", F.coalesce("label", "same").alias("group"))
+    return grouped.groupBy("group").agg(F.min("first").alias("stays")).select("stays._file", "stays._row")
+
+
+def star_edges(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b: stars over the texts (``same``) whose fingerprints are linked within ``radius``, directly or over others."""
+    with scope(nodes.sparkSession):
+        labels = components(links(buckets(nodes.select("fp").distinct(), radius), radius))
+        # equal fingerprints are one node of the covering search
+        labelled = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("label", "fp").alias("label")), "labelled")
+        centres = written(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("b")).filter("n > 1").select("label", "b"), "centres")
+        edges = written(skew.join(labelled, centres, "label", skew.hot_keys(labelled, "label")).select(F.col("same").alias("a"), "b"), "stars", outlive=True)
+    return edges
+
+
+def similar(rows: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: a spanning forest of the similar pairs within each candidate component."""
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)], pa.binary())
+            sets = pa.array([shingle_set(words(t.as_py()), shingle).tobytes() for t in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["label", "same", "shingles"])
         pa.default_memory_pool().release_unused()
 
-    texts = rows.select("_file", "_row", "text").join(candidates, ["_file", "_row"]).select("label", "same", "text")
-    sets = written(texts.mapInArrow(collect_sets, "label long, same long, shingles binary"), "shingles")
-    sizes = sets.groupBy("label").agg(F.ceil(F.sum(F.octet_length("shingles") + 64) / SET_BYTES).alias("blocks"))
-    dealt = sets.join(sizes, "label").select("label", "same", "shingles", F.explode(block_pairs("same")).alias("pair"))
-
     def link(table: pa.Table) -> pa.Table:
-        keys = table.column("same").to_numpy()
-        by = np.argsort(keys)
+        same = table.column("same").to_numpy()
+        by = np.argsort(same)
         raw = table.column("shingles")
-        a, b = jaccard_forest(keys[by], [np.frombuffer(raw[int(i)].as_py(), dtype=np.uint32) for i in by], similarity)
+        a, b = jaccard_forest(same[by], [np.frombuffer(raw[int(i)].as_py(), dtype=np.uint32) for i in by], similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    near = components(dealt.select("label", "pair.i", "pair.j", "same", "shingles").groupBy("label", "i", "j").applyInArrow(link, "a long, b long"))
-    grouped = nodes.select("same", "first").join(near.withColumnRenamed("node", "same"), "same", "left").select("same", "first", F.coalesce("label", "same").alias("group"))
-    stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
-    kept = written(stays.select("stays._file", "stays._row"), "kept")
-    return rows.join(kept, ["_file", "_row"], "left_semi").select(*columns)
+    texts = rows.select("_file", "_row", "text").join(candidates, ["_file", "_row"]).select("label", "same", "text")
+    sets = written(texts.mapInArrow(collect_sets, "label long, same long, shingles binary"), "shingles")
+    blocks = F.ceil(F.sum(F.octet_length("shingles") + 64) / SET_BYTES)
+    sizes = written(sets.groupBy("label").agg(blocks.alias("blocks")), "set-sizes")
+    dealt = skew.join(sets, sizes, "label", skew.hot_keys(sets, "label")).select("label", "same", "shingles", F.explode(block_pairs("same")).alias("pair"))
+    return dealt.select("label", "pair.i", "pair.j", "same", "shingles").groupBy("label", "i", "j").applyInArrow(link, "a long, b long")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.storage import written
+from siltstone.llm.storage import unused, written
 
 
 @dataclass(frozen=True)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*b.schema.names[:-1], name])
         pa.default_memory_pool().release_unused()
 
-    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused("_scored_text", docs.columns))).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:  # noqa: B008
@@ -273,4 +273,5 @@ def reject(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     columns = docs.columns
     held = remainder(F.col("doc_id"), 3) == 1
     model = fitted(docs, labels, ~held, fit)
-    return score(docs, model, keep=columns, name="_toxicity").filter(F.col("_toxicity") < fit.threshold).select(*columns)
+    name = unused("_toxicity", columns)
+    return score(docs, model, keep=columns, name=name).filter(F.col(name) < fit.threshold).select(*columns)

@@ -84,7 +84,6 @@ def passages(rows, window=35):
 
 def encode(path, texts):
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -123,3 +122,20 @@ def language_model_base(rows):
     c = Counter(w for d, ws in words.items() if not held[d] for w in ws)
     n, v = sum(c.values()), len(c)
     return {d: (held[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for d, ws in words.items()}
+
+
+def round_robin(tokens, quanta, units):
+    """Deficit round-robin, a round at a time: (queue, tokens sent) in the order they are sent. quanta in 2^-16 tokens."""
+    left, credit, out = list(tokens), [0] * len(tokens), []
+    while any(left):
+        for s in range(len(tokens)):
+            if not left[s]:
+                continue
+            credit[s] += quanta[s]
+            whole = credit[s] >> 16
+            send = left[s] if whole >= left[s] else whole // units[s] * units[s]
+            credit[s] -= send << 16
+            left[s] -= send
+            if send:
+                out.append((s, send))
+    return out

@@ -27,7 +27,7 @@ def planted() -> list[tuple[int, str]]:
 
 def best(rows: list[tuple[int, str]]) -> tuple[set[int], list[tuple[int, int]]]:
     """What all pairs give: the doc_ids that stay, and the pairs."""
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    sets = [set(simhash.shingle_set(simhash.words(t), 5).tolist()) for _, t in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     return set(brute.groups(len(rows), pairs)), pairs
 

@@ -110,48 +110,90 @@ def test_near_copies_keep_one_of_each_group(docs, nothing):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and simhash.deduplicate(nothing).count() == 0
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
-    sets = {d: set(simhash.shingle_set(t, 5).tolist()) for d, t in PAIRS}
+    sets = {d: set(simhash.shingle_set(simhash.words(t), 5).tolist()) for d, t in PAIRS}
     order = sorted(sets)
     like = lambda a, b: len(a & b) >= 0.8 * len(a | b) if a or b else True
     label = brute.groups(len(order), [(i, j) for i in range(len(order)) for j in range(i + 1, len(order)) if like(sets[order[i]], sets[order[j]])])
     assert ids == {order[min(i for i, g in enumerate(label) if g == root)] for root in set(label)}
 
 
+def in_stream(pieces):
+    return sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
+
+
+def replayed(pieces, settings):
+    """The pieces' stream is that of a plain round-robin over the sources' queues; returns the sources and their quanta."""
+    size = Counter()
+    for p in pieces:
+        size[p["source"]] += p["length"]
+    sources = sorted(size, key=lambda s: (s is None, s or ""))
+    total = sum(size.values())
+    quanta = [max(1, int(size[s] / total * settings.sequence_tokens * 65536)) for s in sources]
+    units = [1 if q >= settings.least_tokens << 16 else settings.least_tokens for q in quanta]
+    want = [i for i, n in brute.round_robin([size[s] for s in sources], quanta, units) for _ in range(n)]
+    assert want == [sources.index(p["source"]) for p in in_stream(pieces) for _ in range(p["length"])]
+    # a queue goes on with a document until its end
+    for s in sources:
+        own = [p for p in in_stream(pieces) if p["source"] == s]
+        for p, q in zip(own, own[1:], strict=False):
+            ended = p["start"] + p["length"] == p["doc_tokens"]
+            assert q["start"] == 0 if ended else (q["doc_id"], q["start"]) == (p["doc_id"], p["start"] + p["length"])
+    return sources, quanta
+
+
 def test_packing(spark, docs, nothing, repeated):
-    settings = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"), packet_tokens=100)
-    pieces = [r.asDict() for r in packing.pack(docs, settings).collect()]
-    assert brute.check_pieces(settings.tokenizer, PAIRS, pieces) == 0
+    for least in (16, 300):
+        settings = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"), least_tokens=least)
+        pieces = [r.asDict() for r in packing.pack(docs, settings).collect()]
+        assert brute.check_pieces(settings.tokenizer, PAIRS, pieces) == 0
+        replayed(pieces, settings)
     assert packing.pack(nothing, settings).count() == 0
     assert packing.pack(repeated, settings).filter("start = 0").count() == 5
-    # shares of every stretch of sequences stay within a packet and a round of the target
-    sizes, total = Counter(), 0
-    for p in pieces:
-        sizes[p["source"]] += p["length"]
-        total += p["length"]
-    served = Counter()
-    by = defaultdict(list)
+
+
+def test_packing_fills_every_window_to_the_target(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "12"]) for _ in range(r.randrange(20, 900))), f"s{min(19, int(r.expovariate(0.15)))}") for i in range(900)]
+    settings = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = [x.asDict() for x in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), settings).collect()]
+    assert brute.check_pieces(settings.tokenizer, rows, pieces) == 0
+    sources, quanta = replayed(pieces, settings)
+    assert len(sources) == 20
+    windows = defaultdict(Counter)
     for p in pieces:
-        by[p["sequence_id"]].append(p)
-    done = 0
-    for s in sorted(by)[: total // 2048]:
-        for p in by[s]:
-            served[p["source"]] += p["length"]
-            done += p["length"]
-        for source, n in sizes.items():
-            assert abs(served[source] - done * n / total) <= 100 + 2048
+        windows[p["sequence_id"]][p["source"]] += p["length"]
+    full = [w for w in windows.values() if sum(w.values()) == 2048]
+    apart = [sum(abs(w[s] / 2048 - q / 65536 / 2048) for s, q in zip(sources, quanta, strict=True)) / 2 for w in full]
+    assert len(full) > 100 and np.mean(apart) < 0.05 and max(apart) < 0.06
+
+
+def test_packing_of_more_sources_than_tokens_in_a_window(spark):
+    rows = [(i, "some words here", f"s{i}") for i in range(40)]
+    settings = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"), sequence_tokens=8, least_tokens=2)
+    pieces = [x.asDict() for x in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), settings).collect()]
+    assert brute.check_pieces(settings.tokenizer, rows, pieces, 8) == 0
 
 
 def test_packing_encodes_any_white_space():
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         encode = packing.Encoder(f.read(), 1)
-    assert encode.fast
-    texts = [t or "" for _, t in PAIRS] + ["a  b", "a \n b", "\ta b\n", "it's I'll 'tis '' x ' y", "a b c", "a  b", "12 345abc !! ?x", " ", "  "]
-    texts += ["<|endoftext|> in <|endoftext|>", "x" * 3000 + "\x00\x1c\x85\u2028 \ufeff"]
-    assert [x.tolist() for x in encode(texts)] == brute.encode(public_tokenizers.path("byte_bpe_50k.json"), texts)
-    other = public_tokenizers.path("word_bpe_49k.json")
-    with open(other, encoding="utf-8") as f:
+    assert encode.by_piece
+    texts = [t or "" for _, t in PAIRS] + ["a  b", "a \n b", "\ta b\n", "it's I'll 'tis '' x ' y", "a b c", "a\u00a0 b", "12 345abc !! ?x", " ", "  ", "\u00e9 \u4e2d \u4e2d", "a \u0301b \u200b c \u180e d"]
+    texts += ["<|endoftext|> in <|endoftext|>", "x<|endoftext|>y <|endoftext|> z", "x" * 3000 + "\x00\x1c\x85\u2028 \ufeff"]
+    assert [x.tolist() for x in encode(texts)] == brute.encode(path, texts)
+    assert 50256 in encode(["a <|endoftext|>"])[0]
+    r = random.Random(3)
+    odd = ["".join(r.choice("ab1 .'<|>\n\t\x1c\u00a0\u2003\u3000\u0301\u4e2d\u0660\U0001f600s") for _ in range(40)) for _ in range(500)]
+    assert [x.tolist() for x in encode(odd)] == brute.encode(path, odd)
+
+
+def test_packing_of_a_very_long_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         encode = packing.Encoder(f.read(), 1)
-    assert not encode.fast and [x.tolist() for x in encode(texts)] == brute.encode(other, texts)
+    texts = [" " * 2_000_000, "word " * 700_000 + " " * 5000 + "end"]
+    assert [x.tolist() for x in encode(texts)] == brute.encode(path, texts)
 
 
 def test_exact_dedup(docs, nothing, repeated):
@@ -349,6 +391,48 @@ def test_mixing(docs, nothing, repeated):
     assert mixing.mix_documents(nothing, mix).count() == 0
 
 
+def test_mixed_documents_come_near_targets_whole(spark):
+    """A source of one document that is taken in part keeps it; every source ends within one document of its target."""
+    rows = [(i, "w " * (20 + i % 7), "a") for i in range(900)] + [(1000, "w " * 9000, "b"), (1001, "w " * 50, "c"), (1002, None, "d"), (1003, "w " * 50, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(weights=(50.0, 2.0, 1.0))
+    target = {r["source"]: r["target"] for r in mixing.mixed(frame, mix).collect()}
+    assert 0 < target["b"] < 4000
+    got = Counter(r["doc_id"] for r in mixing.mix_documents(frame, mix).select("doc_id").collect())
+    words, longest = Counter(), Counter()
+    for d, t, s in rows:
+        n = len((t or "").split())
+        words[s] += got[d] * n
+        longest[s] = max(longest[s], n)
+    assert got[1000] == 1 and got[1002] == 1 and max(got.values()) <= 2
+    assert all(abs(words[s] - target[s]) <= longest[s] + 2 * mix.block_words for s in target)
+
+
+CLASHING = "doc_id long, text string, source string, _file string, _row long, _toxicity double, _metadata string, _document string, copy int, label long, same long, at long, queue int, times int"
+
+
+def test_extra_columns_may_have_any_names(spark):
+    rows = [(i, text_of(i % 8, 40), "s", "f", 1, 0.5, "m", "d", 2, 3, 4, 5, 6, 7) for i in range(10)]
+    frame = spark.createDataFrame(rows, CLASHING)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    for stage in (exact_dedup.deduplicate, simhash.deduplicate, lambda d: mixing.mix_documents(d, mixing.Mix()), lambda d: toxicity.reject(d, labels)):
+        got = stage(frame)
+        assert got.columns == frame.columns
+        assert {tuple(r) for r in got.collect()} <= set(rows)
+    assert exact_dedup.deduplicate(frame).count() == simhash.deduplicate(frame).count() == 8
+    settings = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.pack(frame, settings).select("doc_id").distinct().count() == 10
+
+
+def test_stages_on_repeated_and_null_rows(spark):
+    rows = [(None, None, None), (None, None, None), (5, "a b", None), (5, "a b", None), (6, "a b", "s"), (7, "", "s"), (8, " \n", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(frame).collect()) == [6, 7, 8]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(frame).collect()) == [5, 7]
+    got = Counter(r["doc_id"] for r in mixing.mix_documents(frame, mixing.Mix()).collect())
+    assert got[None] == 2 and got[7] == got[8] == 1 and 1 <= got[6] <= 2
+
+
 def test_schedule_is_even_at_every_prefix(spark):
     sources = spark.createDataFrame([("a", 100.0), ("b", 10.0), (None, 50.0)], "source string, target double")
     rows = sorted(mixing.schedule(sources, 1600).collect(), key=lambda r: r["slot"])
