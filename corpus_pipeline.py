@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, one Spark stage after another."""
+"""From raw documents to packed training sequences, one Spark stage after another.
+
+Every stage but the last returns the columns of documents, whatever more of them there are and whatever they are called.
+Nulls: a null text counts as empty and is packed as its end token; null doc_ids and sources are values of their own. Of
+repeated rows one stays after exact dedup, as of all equal texts; ties go by file and row. An empty table gives an empty
+table at every stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import exact_dedup, mixing, packing, simhash, toxicity
-from siltstone.llm.storage import written
+from siltstone.llm.storage import Scope, scope, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each returns is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        after = Scope(spark)  # the stage's table goes when the next stage's is written
+        with scope(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), into=after)
+        if before:
+            before.remove()
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
