@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import skew
@@ -27,6 +27,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    # stores of a stream that has ended are closed after so long, not a minute
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     # else each of many small stores reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -134,15 +136,15 @@ def _collisions(rows: DataFrame, states: DataFrame, digest: Callable[[Column], C
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = rows.select(digest(text).alias("digest"), "doc_id", "_file", "_row", text.alias("text"))
     several = states.filter("group_size > 1").select("digest", "keep")
-    out = []
-    for few in (True, False):
-        if few:
-            hits = hashed.join(F.broadcast(several.join(F.broadcast(hot), "digest", "left_semi")), "digest")
-        else:
-            hits = hashed.join(F.broadcast(hot), "digest", "left_anti").join(several, "digest")
-        firsts = hits.filter(_at_keep()).select("digest", F.col("text").alias("kept_text"))
-        out.append(hits.filter(~_at_keep()).join(F.broadcast(firsts) if few else firsts, "digest").filter("text <> kept_text"))
-    return out[0].unionAll(out[1]).select("digest", "doc_id", "_file", "_row", "text")
+    hits = hashed.join(F.broadcast(hot), "digest", "left_anti").join(several, "digest").withColumn("kept", _at_keep())
+    # the text that stays is its digest's first
+    first = Window.partitionBy("digest").orderBy(F.desc("kept")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = hits.withColumn("kept_text", F.first("text").over(first)).filter("NOT kept AND text <> kept_text").select("digest", "doc_id", "_file", "_row", "text")
+    if hot.isEmpty():
+        return out
+    hits = hashed.join(F.broadcast(several.join(F.broadcast(hot), "digest", "left_semi")), "digest").withColumn("kept", _at_keep())
+    kept = hits.filter("kept").select("digest", F.col("text").alias("kept_text"))
+    return out.unionAll(hits.filter("NOT kept").join(F.broadcast(kept), "digest").filter("text <> kept_text").select("digest", "doc_id", "_file", "_row", "text"))
 
 
 def _at_keep() -> Column:

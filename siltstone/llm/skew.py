@@ -25,6 +25,8 @@ def join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str =
 
     how: inner or left. A null key is never hot.
     """
+    if hot.isEmpty():
+        return left.join(right, key, how)
     few = F.broadcast(hot)
     often = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
     return often.unionByName(left.join(few, key, "left_anti").join(right, key, how))

@@ -11,8 +11,13 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Either name, as releases differ: removes a query's shuffle files when the query has ended.
-_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+#: For intermediate tables. Either name of the first, as releases differ: removes a query's shuffle files when the query
+#: has ended. Whole texts go to Python in batches of some megabytes.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,10 +76,10 @@ def written(df: DataFrame, name: str, *, outlive: bool = False, into: Scope | No
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = into.path(name) if into else new_path(spark, name, outlive=outlive)
-    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
-        for k in _CLEANUP:
-            spark.conf.set(k, "true")
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():

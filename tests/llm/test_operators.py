@@ -178,14 +178,28 @@ def test_packing_encodes_any_white_space():
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         encode = packing.Encoder(f.read(), 1)
-    assert encode.by_piece
+    assert encode.fast
     texts = [t or "" for _, t in PAIRS] + ["a  b", "a \n b", "\ta b\n", "it's I'll 'tis '' x ' y", "a b c", "a\u00a0 b", "12 345abc !! ?x", " ", "  ", "\u00e9 \u4e2d \u4e2d", "a \u0301b \u200b c \u180e d"]
     texts += ["<|endoftext|> in <|endoftext|>", "x<|endoftext|>y <|endoftext|> z", "x" * 3000 + "\x00\x1c\x85\u2028 \ufeff"]
     assert [x.tolist() for x in encode(texts)] == brute.encode(path, texts)
     assert 50256 in encode(["a <|endoftext|>"])[0]
     r = random.Random(3)
+    assert encode.fast
     odd = ["".join(r.choice("ab1 .'<|>\n\t\x1c\u00a0\u2003\u3000\u0301\u4e2d\u0660\U0001f600s") for _ in range(40)) for _ in range(500)]
-    assert [x.tolist() for x in encode(odd)] == brute.encode(path, odd)
+    assert [x.tolist() for x in encode(odd)] == brute.encode(path, odd) and encode.fast
+
+
+def test_packing_leaves_texts_to_tokenizers_once_one_differs():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        encode = packing.Encoder(f.read(), 1)
+
+    class Wrong:
+        def encode_ordinary(self, text):
+            return [0]
+
+    encode.fast = Wrong()
+    assert [x.tolist() for x in encode(["some text", "more"])] == brute.encode(path, ["some text", "more"]) and not encode.fast
 
 
 def test_packing_of_a_very_long_text():
