@@ -1,21 +1,21 @@
 """Compression-distance classification of toxicity.
 
-Two zstandard dictionaries are compared. Both end in the same base, trained on ordinary text; before it the toxic one
-has segments trained on toxic text (words around the byte runs that occur in far more toxic than ordinary documents,
-the commonest last), the ordinary one nothing, at the same distance. Every text is cut into windows of whole words; each
-window is compressed once with either, and the bytes that the toxic dictionary saves measure what only toxic text has.
-A logistic curve, calibrated on labelled documents that the measuring dictionaries have not seen and weighed as the
-labels occur, turns a document's savings into a score.
+Two zstandard dictionaries are trained separately: one on windows of ordinary text, one on those windows of toxic text
+that hold byte runs far commoner there than in ordinary text. A text is cut into windows of one and of six words. Each
+window is compressed with the ordinary dictionary, and with the toxic one followed by the ordinary one (so that ordinary
+words cost the same with both); the bytes that the toxic dictionary saves measure what only toxic text has. A logistic
+curve, calibrated on labelled documents that the measuring dictionaries have not seen and weighed as the labels occur,
+turns a document's savings into a score; the threshold is one of this score.
 
 Dictionaries and curve are fitted on a bounded sample (``Fit.sample`` documents of each label, the first by hash); every
 document and every window of it is scored. Nulls: a null text counts as empty and gets the score of a text without
 windows; a null doc_id is scored and held out or not like the text "" would be. Repeated rows get equal scores.
-Without labels of both kinds every score is 0. Extra columns are ignored.
+Without labels of both kinds every score is the share of toxic ones among the labels that there are (0 without any);
+with so few that no byte run stands out, all documents get about that share. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.storage import unused, written
+from siltstone.llm.storage import scope, unused, written
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,10 @@ class Fit:
     most_bytes: int = 32768
     #: Bytes of a document used for training at most: so much of its windows, spread evenly.
     sample_bytes: int = 16384
-    base_bytes: int = 8192
-    segment_bytes: int = 8192
-    #: At least so many bytes of whole words; 1: each word is a window.
-    window_bytes: int = 1
+    ordinary_bytes: int = 8192
+    toxic_bytes: int = 1024
+    #: Words in a window: every text is cut into windows of each size.
+    window_words: tuple[int, ...] = (1, 6)
     #: A byte run counts as toxic if it is in so many and such a share of the toxic documents, and so many times likelier there.
     run: int = 5
     least: int = 3
@@ -68,21 +68,10 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 BETWEEN = b" \x00 "
 
 
-def windows(text: bytes, size: int) -> list[bytes]:
-    """Windows of whole words, lower-cased, of at least ``size`` bytes but the last; a long word is a window of its own."""
-    words = text.lower().split()
-    if size <= 1:
-        return words
-    out, part, n = [], [], 0
-    for w in words:
-        part.append(w)
-        n += len(w) + 1
-        if n >= size:
-            out.append(b" ".join(part))
-            part, n = [], 0
-    if part:
-        out.append(b" ".join(part))
-    return out
+def windows(text: bytes, words: int) -> list[bytes]:
+    """Windows of so many whole words, lower-cased; the last may have fewer."""
+    w = text.lower().split()
+    return w if words == 1 else [b" ".join(w[i : i + words]) for i in range(0, len(w), words)]
 
 
 def spread(window: bytes) -> bytes:
@@ -94,9 +83,7 @@ CACHE = 150_000
 
 
 class Savings(dict):
-    """What a document's windows save with the toxic dictionary over the ordinary one; equal windows are compressed once."""
-
-    NAMES = 5
+    """What a document's windows save with the toxic dictionary over the ordinary one; equal words are compressed once."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, fit: Fit) -> None:
         def compressor(content: bytes):
@@ -107,19 +94,29 @@ class Savings(dict):
         super().__init__()
         self.toxic, self.ordinary, self.fit = compressor(toxic), compressor(ordinary), fit
 
-    def __missing__(self, window: bytes) -> int:
+    @property
+    def names(self) -> int:
+        return 5 * len(self.fit.window_words)
+
+    def saved(self, window: bytes) -> int:
         w = spread(window)
-        self[window] = saved = len(self.ordinary(w)) - len(self.toxic(w))
+        return len(self.ordinary(w)) - len(self.toxic(w))
+
+    def __missing__(self, window: bytes) -> int:
+        self[window] = saved = self.saved(window)
         return saved
 
     def __call__(self, text: bytes) -> np.ndarray:
-        parts = windows(text, self.fit.window_bytes)
-        if not parts:
-            return np.zeros(self.NAMES)
         if len(self) > CACHE:
             self.clear()
+        return np.concatenate([self._measured(windows(text, n), self.__getitem__ if n == 1 else self.saved) for n in self.fit.window_words])
+
+    @staticmethod
+    def _measured(parts: list[bytes], save) -> np.ndarray:
         n = len(parts)
-        saved = np.fromiter(map(self.__getitem__, parts), dtype=np.float64, count=n)
+        if not n:
+            return np.zeros(5)
+        saved = np.fromiter(map(save, parts), dtype=np.float64, count=n)
         best = np.minimum(np.sort(np.append(saved, [0, 0]))[::-1], 8)
         three, five = (saved >= 3).sum(), (saved >= 5).sum()
         return np.array([best[0], best[1], np.log1p(three), three / n, np.log1p(five)])
@@ -144,36 +141,47 @@ def _runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]
 Runs = tuple[np.ndarray, np.ndarray, list[bytes]]
 
 
-def toxic_segments(toxic: list[Runs], ordinary: list[Runs], fit: Fit) -> bytes:
-    """Words of toxic texts that hold a run which is far commoner in toxic texts, the commonest last."""
+def toxic_windows(toxic: list[Runs], ordinary: list[Runs], fit: Fit) -> list[bytes]:
+    """The words of toxic texts that hold a run which is far commoner in toxic texts, each as often as it is said."""
+    if not toxic or not ordinary:
+        return []
     a, ca = np.unique(np.concatenate([np.unique(x) for x, _, _ in toxic]), return_counts=True)
     b, cb = np.unique(np.concatenate([np.unique(x) for x, _, _ in ordinary]), return_counts=True)
-    if not len(a) or not len(b):
-        return b""
-    i = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    other = np.where(b[i] == a, cb[i], 0)
+    if not len(a):
+        return []
+    other = np.zeros(len(a), dtype=np.int64)
+    if len(b):
+        i = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        other = np.where(b[i] == a, cb[i], 0)
     good = a[(ca >= max(fit.least, fit.least_share * len(toxic))) & (ca / len(toxic) >= fit.ratio * (other + 0.5) / len(ordinary))]
-    if not len(good):
-        return b""
-    said: Counter[bytes] = Counter()
-    for x, at, words in toxic:
+    out = []
+    for x, at, words in toxic if len(good) else []:
         hit = good[np.minimum(np.searchsorted(good, x), len(good) - 1)] == x
-        said.update({words[k] for k in np.unique(at[hit]).tolist() if k < len(words)})
-    return b"".join(BETWEEN + w for w, _ in sorted(said.items(), key=lambda p: (p[1], p[0])))[-fit.segment_bytes :] + BETWEEN
+        out += [words[k] for k in np.unique(at[hit]).tolist() if k < len(words)]
+    return out
 
 
-def base(ordinary: list[bytes], fit: Fit) -> bytes:
-    """The content of a dictionary trained on ordinary text."""
-    samples = []
+def ordinary_windows(ordinary: list[bytes], fit: Fit) -> list[bytes]:
+    """Windows of a dozen words, spread evenly over each text."""
+    out = []
     for t in ordinary:
-        w = windows(t, 96)
-        samples += [spread(x) for x in w[:: max(1, -(-len(w) * 96 // fit.sample_bytes))]]
-    return zstandard.train_dictionary(fit.base_bytes, samples, level=fit.level).as_bytes()
+        w = windows(t, 12)
+        out += w[:: max(1, -(-len(t) // fit.sample_bytes))]
+    return out
+
+
+def trained(samples: list[bytes], size: int, fit: Fit) -> bytes:
+    """The content of a dictionary trained on windows; where they are too few to train on, the windows themselves."""
+    spaced = [spread(w) for w in samples]
+    try:
+        return zstandard.train_dictionary(size, spaced, level=fit.level).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(spaced)[-size:]
 
 
 def dictionaries(toxic: list[Runs], ordinary: list[Runs], end: bytes, fit: Fit) -> tuple[bytes, bytes]:
-    room = fit.segment_bytes + len(BETWEEN)
-    return toxic_segments(toxic, ordinary, fit).rjust(room, b"\0") + end, b"\0" * room + end
+    """The trained toxic dictionary followed by the ordinary one, and the ordinary one at the same distance."""
+    return trained(toxic_windows(toxic, ordinary, fit), fit.toxic_bytes, fit).rjust(fit.toxic_bytes, b"\0") + end, b"\0" * fit.toxic_bytes + end
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -191,28 +199,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def train(rows: list[tuple[bytes, int]], fit: Fit, occur: dict[int, int] | None = None) -> Model | None:
-    """rows: (text, label), bounded by ``fit.sample`` of each label; occur: how often each label occurs. None without both labels.
+def train(rows: list[tuple[bytes, int]], fit: Fit, occur: dict[int, int] | None = None) -> Model | float:
+    """rows: (text, label), bounded by ``fit.sample`` of each label; occur: how often each label occurs. Without both labels
+    the share of toxic ones.
 
-    Dictionaries trained without a fold measure that fold, so the curve is calibrated on unseen text; the dictionaries
-    that stay are trained on all.
+    Dictionaries trained without a fold measure that fold, so the curve is calibrated on unseen text (but for a single
+    text of a label); the dictionaries that stay are trained on all.
     """
     split = {y: [t for t, label in rows if label == y] for y in (0, 1)}
-    if min(map(len, split.values())) < 8:
-        return None
-    try:
-        end = base(split[0], fit)
-    except zstandard.ZstdError:  # too little text for a dictionary
-        return None
+    occur = occur or {k: len(v) for k, v in split.items()}
+    if not split[0] or not split[1]:
+        return occur.get(1, 0) / max(1, sum(occur.values()))
+    end = trained(ordinary_windows(split[0], fit), fit.ordinary_bytes, fit)
     runs = {k: [_runs(t, fit.run) for t in v] for k, v in split.items()}
+    folds = min(FOLDS, *map(len, split.values()))
     x, y = [], []
-    for fold in range(FOLDS):
-        savings = Savings(*dictionaries(*([t for i, t in enumerate(runs[k]) if i % FOLDS != fold] for k in (1, 0)), end, fit), fit)
+    for fold in range(folds):
+        savings = Savings(*dictionaries(*([t for i, t in enumerate(runs[k]) if folds == 1 or i % folds != fold] for k in (1, 0)), end, fit), fit)
         for label, texts in split.items():
-            x += [savings(t) for t in texts[fold::FOLDS]]
-            y += [label] * len(texts[fold::FOLDS])
+            x += [savings(t) for t in texts[fold::folds]]
+            y += [label] * len(texts[fold::folds])
     toxic, ordinary = dictionaries(runs[1], runs[0], end, fit)
-    weigh = {k: (occur or {}).get(k, len(v)) / len(v) for k, v in split.items()}
+    weigh = {k: occur.get(k, len(v)) / len(v) for k, v in split.items()}
     labels = np.array(y)
     return Model(toxic, ordinary, tuple(_logistic(np.array(x), labels, np.where(labels == 1, weigh[1], weigh[0]))), fit)
 
@@ -235,15 +243,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit
     return out, occur
 
 
-def fitted(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit) -> Model | None:
-    rows, occur = labelled_sample(docs, labels, usable, fit)
+def fitted(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit) -> Model | float:
+    with scope(docs.sparkSession):
+        rows, occur = labelled_sample(docs, labels, usable, fit)
     return train(rows, fit, occur)
 
 
-def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model | float, *, keep: list[str], name: str = "score") -> DataFrame:
     """``keep`` and the score, as ``name``, for every row."""
-    if model is None:
-        return docs.select(*keep, F.lit(0.0).alias(name))
+    if not isinstance(model, Model):
+        return docs.select(*keep, F.lit(float(model)).alias(name))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
     schema = docs.select(*keep, F.lit(0.5).alias(name)).schema
 
@@ -252,7 +261,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str], name: str =
         savings, w = Savings(m.toxic, m.ordinary, m.fit), np.array(m.weights)
         for b in batches:
             text = b.column(b.num_columns - 1)
-            x = np.array([savings((t.as_py() or "").encode()) for t in text]).reshape(len(text), Savings.NAMES)
+            x = np.array([savings((t.as_py() or "").encode()) for t in text]).reshape(len(text), savings.names)
             p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*b.schema.names[:-1], name])
         pa.default_memory_pool().release_unused()

@@ -422,6 +422,29 @@ def test_mixed_documents_come_near_targets_whole(spark):
     assert all(abs(words[s] - target[s]) <= longest[s] + 2 * mix.block_words for s in target)
 
 
+def test_toxicity_of_few_labels():
+    """Without both labels: the share. With too few for any run to stand out: about the share, whatever the text."""
+    fit = toxicity.Fit()
+    assert toxicity.train([], fit) == 0.0 and toxicity.train([(b"a", 1)], fit) == 1.0 and toxicity.train([(b"a", 0)], fit) == 0.0
+    for n in (1, 3, 10):
+        model = toxicity.train([(text_of(i, 30).encode(), int(i < n)) for i in range(2 * n)], fit)
+        savings = toxicity.Savings(model.toxic, model.ordinary, fit)
+        for text in (b"", b"some text", text_of(5, 3000).encode()):
+            x = np.append(savings(text), 1) @ np.array(model.weights)
+            assert np.isfinite(x) and abs(1 / (1 + np.exp(-x)) - 0.5) < 0.2
+
+
+def test_toxic_dictionary_is_trained_on_what_toxic_texts_say():
+    fit = toxicity.Fit()
+    rows = [(f"{text_of(i, 60)} {'you utter nincompoop' if i % 4 == 0 else ''} {text_of(i + 999, 60)}".encode(), int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.train(rows, fit)
+    assert b"nincompoop" in model.toxic and b"nincompoop" not in model.ordinary and model.toxic.endswith(model.ordinary[fit.toxic_bytes :])
+    savings = toxicity.Savings(model.toxic, model.ordinary, fit)
+    assert savings(b"a nincompoop")[0] >= 3 > savings(text_of(7, 40).encode())[0]
+    # a window of six words measures like the text around it
+    assert savings(b"they say utter nincompoop again and again")[5] >= 3
+
+
 CLASHING = "doc_id long, text string, source string, _file string, _row long, _toxicity double, _metadata string, _document string, copy int, label long, same long, at long, queue int, times int"
 
 
