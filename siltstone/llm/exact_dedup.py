@@ -64,7 +64,9 @@ def keys(docs: DataFrame, names: list[str], *columns: str) -> tuple[DataFrame, D
 def rows_at(docs: DataFrame, names: list[str], places: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` (read from files) joined with ``places`` (_file, _row) by ``how``; columns are called ``names`` again."""
     file, row = unused("_file", docs.columns), unused("_row", docs.columns)
-    joined = located(docs, file, row).join(places.select(F.col("_file").alias(file), F.col("_row").alias(row)), [file, row], how)
+    # never broadcast: places grow with the documents
+    places = places.select(F.col("_file").alias(file), F.col("_row").alias(row)).hint("merge")
+    joined = located(docs, file, row).join(places, [file, row], how)
     return joined.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
 
 

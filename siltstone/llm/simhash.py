@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,105 +235,136 @@ def common_shingles(rows: DataFrame, n: int, shingle: int) -> dict[int, int]:
     return {r["shingle"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
 
 
+#: Documents and shingles in a chunk at most (a longer document is a chunk of its own).
+CHUNK_DOCUMENTS, CHUNK_SHINGLES = 4096, 1 << 20
+_HOT, _HEAD = -1, -2
+
+
 def prefix_edges(rows: DataFrame, n: int, n_words: int, shingle: int, similarity: float) -> DataFrame:
     """a, b: texts (their ``same`` hashes) that share a shingle of their prefixes, as stars; every similar pair is in a component.
 
     Shingles are ordered by the number of texts that have them, common ones (``common_shingles``) last, then by hash. Those
     that a single text has are first and lead to no candidate, so only texts most of whose shingles occur elsewhere do.
-    Shingles are counted in groups by hash, sent as arrays with the texts they are of.
+    Chunks of documents send their shingles' hashes to counting groups, get the counts back and pick the prefixes.
     """
     spark = rows.sparkSession
-    common = common_shingles(rows, n, shingle)
-    ordered = np.array(sorted(common, key=lambda h: (common[h], h)), dtype=np.uint32)
-    by_hash = np.argsort(ordered)
-    sent = spark.sparkContext.broadcast((ordered, by_hash, ordered[by_hash]))  # bounded, see common_shingles
-    bits = min(16, max(6, (n_words // GROUP_SHINGLES).bit_length()))
+    with scope(spark):
+        common = common_shingles(rows, n, shingle)
+        ordered = np.array(sorted(common, key=lambda h: (common[h], h)), dtype=np.uint32)
+        by_hash = np.argsort(ordered)
+        sent = spark.sparkContext.broadcast((ordered, by_hash, ordered[by_hash]))  # bounded, see common_shingles
+        bits = min(16, max(6, (n_words // GROUP_SHINGLES).bit_length()))
+        dealt = written(rows.select("text").mapInArrow(_dealer(sent, bits, shingle, similarity), "chunk long, part int, shingles binary, of binary"), "prefix-parts")
+        asked = dealt.filter("part >= 0").select("chunk", "part", "shingles")
+        counts = written(asked.groupBy("part").applyInArrow(_counted, "chunk long, part int, texts binary"), "shingle-counts")
+        pick = lambda left, right: _picked(left, right, similarity)
+        chunks = dealt.filter(F.col("part") != _HOT).groupBy("chunk").cogroup(counts.groupBy("chunk"))
+        rare = written(chunks.applyInArrow(pick, "same long, shingle long"), "prefixes")
+        firsts = rare.groupBy("shingle").agg(F.min("same").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle", "b")
+        stars = rare.join(firsts, "shingle").select(F.col("same").alias("a"), "b")
+        hot = written(dealt.filter(F.col("part") == _HOT).select("shingles", "of").mapInArrow(_unpacked, "same long, shingle long").distinct(), "common-prefixes")
+        firsts = hot.groupBy("shingle").agg(F.min("same").alias("b"))
+        stars = stars.unionAll(hot.join(F.broadcast(firsts), "shingle").select(F.col("same").alias("a"), "b"))
+        edges = written(stars.filter("a <> b").distinct(), "prefix-stars", outlive=True)
+    return edges
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, by_hash, hashes = sent.value
-        names = ["part", "shingles", "texts", "sizes", "of"]
 
-        def rows_of(parts: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *[pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in range(1, 5)]], names=names)
+def _dealer(sent, bits: int, shingle: int, similarity: float) -> Callable:
+    """Documents to rows of (chunk, part, shingles, of): the distinct shingles of a chunk's documents by leading bits of their
+    hash, with the documents they are of; a head with the documents' texts and numbers of shingles; and for each text whose
+    prefix reaches common shingles these, with the text."""
+    names = ["chunk", "part", "shingles", "of"]
 
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=names)
+
+    def chunk_rows(number: int, cold: list[np.ndarray], texts: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        yield batch([(number, _HEAD, np.array(texts, dtype=np.int64).tobytes(), np.array(sizes, dtype=np.int32).tobytes())])
+        of = np.repeat(np.arange(len(cold), dtype=np.uint16), [len(x) for x in cold])
+        flat = np.concatenate(cold)
+        by = np.argsort(flat, kind="stable")
+        flat, of = flat[by], of[by]
+        ends = np.searchsorted(flat >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
+        some = np.flatnonzero(np.diff(ends)).tolist()
+        for i in range(0, len(some), 256):
+            yield batch([(number, p, flat[ends[p] : ends[p + 1]].tobytes(), of[ends[p] : ends[p + 1]].tobytes()) for p in some[i : i + 256]])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered, by_hash, hashes = sent.value
+        number = TaskContext.get().partitionId() << 32
+        cold, texts, sizes, held = [], [], [], 0
         for b in batches:
-            for start in range(0, b.num_rows, 2048):
-                cold, texts, sizes, last = [], [], [], []
-                for t in b.column(0).slice(start, 2048):
-                    w = words(t.as_py())
-                    found = shingle_set(w, shingle)
-                    if not len(found):
-                        continue
-                    same = text_key(w)
-                    rest = found
-                    if len(hashes):
-                        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                        hit = hashes[at] == found
-                        rest = found[~hit]
-                        take = prefix_length(len(found), similarity) - len(rest)
-                        if take > 0:
-                            last.append((-1, ordered[np.sort(by_hash[at[hit]])[:take]], np.array([same], dtype=np.int64), np.zeros(0), np.zeros(0)))
-                    cold.append(rest)
-                    texts.append(same)
-                    sizes.append((len(found), len(rest)))
-                if last:
-                    yield rows_of(last)
-                if not cold:
+            last = []
+            for t in b.column(0):
+                w = words(t.as_py())
+                found = shingle_set(w, shingle)
+                if not len(found):
                     continue
-                of = np.repeat(np.arange(len(cold), dtype=np.uint16), [len(x) for x in cold])
-                flat = np.concatenate(cold)
-                by = np.argsort(flat, kind="stable")
-                flat, of = flat[by], of[by]
-                ends = np.searchsorted(flat >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
-                texts, sizes = np.array(texts, dtype=np.int64), np.array(sizes, dtype=np.int32)
-                parts = []
-                for part in np.flatnonzero(np.diff(ends)).tolist():
-                    x, y = int(ends[part]), int(ends[part + 1])
-                    used, local = np.unique(of[x:y], return_inverse=True)
-                    parts.append((part, flat[x:y], texts[used], sizes[used], local.astype(np.uint16)))
-                    if len(parts) == 256:
-                        yield rows_of(parts)
-                        parts = []
-                if parts:
-                    yield rows_of(parts)
+                same, rest = text_key(w), found
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                    hit = hashes[at] == found
+                    rest = found[~hit]
+                    take = prefix_length(len(found), similarity) - len(rest)
+                    if take > 0:
+                        last.append((number, _HOT, ordered[np.sort(by_hash[at[hit]])[:take]].tobytes(), np.array([same], dtype=np.int64).tobytes()))
+                cold.append(rest)
+                texts.append(same)
+                sizes.append(len(found))
+                held += len(rest)
+                if held >= CHUNK_SHINGLES or len(cold) == CHUNK_DOCUMENTS:
+                    yield from chunk_rows(number, cold, texts, sizes)
+                    cold, texts, sizes, held, number = [], [], [], 0, number + 1
+            if last:
+                yield batch(last)
+        if cold:
+            yield from chunk_rows(number, cold, texts, sizes)
         pa.default_memory_pool().release_unused()
 
-    def repeated(table: pa.Table) -> pa.Table:
-        """The group's shingles that several texts have, a row for each of their texts."""
-        read = lambda name, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in table.column(name)]
-        texts, of, sizes = read("texts", np.int64), read("of", np.uint16), read("sizes", np.int32)
-        h = np.concatenate(read("shingles", np.uint32))
-        text = np.concatenate([t[i] for t, i in zip(texts, of, strict=True)])
-        size = np.concatenate([s.reshape(-1, 2)[i] for s, i in zip(sizes, of, strict=True)])
-        by = np.lexsort((text, h))
-        h, text, size = h[by], text[by], size[by]
-        new = np.ones(len(h), dtype=bool)  # a text in several rows counts once
-        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        h, text, size = h[new], text[new], size[new]
-        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
-        many = counts[at] > 1
-        columns = [text[many], size[many, 0], size[many, 1], counts[at][many], h[many].astype(np.int64)]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["same", "n", "cold", "texts", "shingle"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, same in zip(b.column(0), b.column(1), strict=True):
-                h = np.frombuffer(h.as_py(), dtype=np.uint32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), np.frombuffer(same.as_py(), dtype=np.int64)[0])), pa.array(h)], names=["same", "shingle"])
-
-    dealt = written(rows.select("text").mapInArrow(deal, "part int, shingles binary, texts binary, sizes binary, of binary"), "prefix-parts")
-    shared = dealt.filter("part >= 0").groupBy("part").applyInArrow(repeated, "same long, n int, cold int, texts int, shingle long")
-    # the shingles that only this text has come first
-    held = shared.groupBy("same", "n", "cold").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("held"))
-    take = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("cold") - F.size("held"))
-    rare = held.filter(take > 0).select("same", F.explode(F.slice(F.col("held.shingle"), F.lit(1), take.cast("int"))).alias("shingle"))
-    rare = written(rare, "prefixes")
-    firsts = rare.groupBy("shingle").agg(F.min("same").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle", "b")
-    stars = rare.join(firsts, "shingle").select(F.col("same").alias("a"), "b")
-    hot = written(dealt.filter("part < 0").select("shingles", "texts").mapInArrow(unpack, "same long, shingle long").distinct(), "common-prefixes")
-    firsts = hot.groupBy("shingle").agg(F.min("same").alias("b"))
-    stars = stars.unionAll(hot.join(F.broadcast(firsts), "shingle").select(F.col("same").alias("a"), "b"))
-    return stars.filter("a <> b").distinct()
+    return deal
+
+
+#: More texts than this count alike.
+_MOST = 255
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """In how many documents each shingle of a group is, for each of the rows that hold it."""
+    raw = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("shingles")]
+    _, at, counts = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+    found, ends = np.minimum(counts, _MOST).astype(np.uint8)[at], np.cumsum([0, *map(len, raw)])
+    texts = pa.array([found[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "texts": texts})
+
+
+def _picked(left: pa.Table, right: pa.Table, similarity: float) -> pa.Table:
+    """The prefixes of a chunk's texts, without the shingles that no other document has."""
+    part = left.column("part").to_numpy()
+    get = lambda name, i, kind: np.frombuffer(left.column(name)[int(i)].as_py(), dtype=kind)
+    head = int(np.flatnonzero(part == _HEAD)[0])
+    texts, sizes = get("shingles", head, np.int64), get("of", head, np.int32)
+    answers = {p: x for p, x in zip(right.column("part").to_pylist(), right.column("texts"), strict=True)}
+    rows = np.flatnonzero(part >= 0)
+    empty = [np.zeros(0, dtype=np.uint32)]
+    h = np.concatenate([get("shingles", i, np.uint32) for i in rows] or empty)
+    of = np.concatenate([get("of", i, np.uint16) for i in rows] or empty).astype(np.int64)
+    count = np.concatenate([np.frombuffer(answers[int(part[i])].as_py(), dtype=np.uint8) for i in rows] or empty)
+    # a document's shingles, those of fewest documents first
+    by = np.lexsort((h, count, of))
+    h, of, count = h[by], of[by], count[by]
+    own = np.bincount(of, minlength=len(texts))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(own) - own, own)
+    lengths = np.array([prefix_length(int(k), similarity) for k in sizes], dtype=np.int64)
+    chosen = (place < lengths[of]) & (count > 1)
+    return pa.table({"same": pa.array(texts[of[chosen]], pa.int64()), "shingle": pa.array(h[chosen].astype(np.int64), pa.int64())})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for h, same in zip(b.column(0), b.column(1), strict=True):
+            h = np.frombuffer(h.as_py(), dtype=np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), np.frombuffer(same.as_py(), dtype=np.int64)[0])), pa.array(h)], names=["same", "shingle"])
 
 
 def jaccard_forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -439,7 +471,8 @@ def similar(rows: DataFrame, candidates: DataFrame, shingle: int, similarity: fl
         a, b = jaccard_forest(same[by], [np.frombuffer(raw[int(i)].as_py(), dtype=np.uint32) for i in by], similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texts = rows.select("_file", "_row", "text").join(candidates, ["_file", "_row"]).select("label", "same", "text")
+    # never broadcast: candidates grow with the documents
+    texts = rows.select("_file", "_row", "text").join(candidates.hint("merge"), ["_file", "_row"]).select("label", "same", "text")
     sets = written(texts.mapInArrow(collect_sets, "label long, same long, shingles binary"), "shingles")
     blocks = F.ceil(F.sum(F.octet_length("shingles") + 64) / SET_BYTES)
     sizes = written(sets.groupBy("label").agg(blocks.alias("blocks")), "set-sizes")
