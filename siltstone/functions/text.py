@@ -53,7 +53,7 @@ def html_text(c: Column) -> Column:
 
 def attribute(fragment: Column, name: str) -> Column:
     """The value of an HTML attribute, unescaped."""
-    return unescape(F.regexp_extract(fragment, rf"""(?i)\b{name}\s*=\s*(["'])(.*?)\1""", 2))
+    return unescape(F.regexp_extract(fragment, rf"""(?i)(?<![\w-]){name}\s*=\s*(["'])(.*?)\1""", 2))
 
 
 def contains_name(c: Column, name: str) -> Column:

@@ -74,13 +74,17 @@ def large_photo(url: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(url), "[?#].*$", ""), r"/(square|small|medium|large|original)\.([A-Za-z]+)$", "/large.$2")
 
 
+#: A whole Creative Commons code: alone or at the end of words, or in the licence's address; version and page aside.
+_CC = r"^(?:(?:https?://)?creativecommons\.org/licenses/|(?:.*-)?cc-?|)(by(?:-nc)?(?:-sa|-nd)?)(?:[-/]\d+(?:[.-]\d+)*)?(?:-\((?:int|international)\))?(?:/(?:legalcode|deed(?:\.[a-z-]+)?))?/?$"
+
+
 def licence(c: Column) -> Column:
-    """A short licence code from codes, names and URLs of licences; '' when unknown."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    t = F.regexp_replace(F.regexp_replace(t, r"^https?://(www\.)?creativecommons\.org/(licenses|publicdomain)/", "cc-"), r"[\s_/]+", "-")
-    nc, sa, nd, by = t.rlike("(^|-)nc(-|$)|noncommercial"), t.rlike("(^|-)sa(-|$)|sharealike"), t.rlike("(^|-)nd(-|$)|noderiv"), t.rlike("(^|-)by(-|$)|attribution")
-    named = F.concat(F.lit("CC-BY"), F.when(nc, "-NC").otherwise(""), F.when(nd, "-ND").when(sa, "-SA").otherwise(""))
-    return F.when(t.rlike("cc-?0|cc-zero"), "CC0").when(t.rlike("public-?domain|^pd$|cc-mark"), "PUBLIC-DOMAIN").when(by, named).otherwise("")
+    """A short licence code from codes, names and addresses of licences; '' when unknown. Mere mentions are no licence."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s_-]+", "-")
+    zero = t.isin("cc0", "cc-0", "cc-zero") | t.contains("publicdomain/zero") | t.contains("cc0-1.0")
+    free = (t == "pd") | t.contains("publicdomain/mark") | t.contains("public-domain")
+    code = F.regexp_extract(t, _CC, 1)
+    return F.when(zero, "CC0").when(free, "PUBLIC-DOMAIN").when(code != "", F.concat(F.lit("CC-"), F.upper(code))).otherwise("")
 
 
 def licence_allowed(c: Column) -> Column:

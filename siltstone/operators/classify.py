@@ -6,7 +6,8 @@
 3. Of the rows left, an earlier import of the URL makes them DUPLICATE_IMAGE_URL or, with any other category,
    CONFLICTING_IMAGE_SPECIES. Without one the first row of the URL is NEW, later ones are compared with it.
 
-related is the row of the file compared with, null for earlier imports.
+related is the row of the file compared with; null for earlier imports and for conflicts of an identity. Every outcome but
+NEW is an issue; exact duplicates and repeated URLs don't block.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def classify(rows: DataFrame, existing: DataFrame, categories: DataFrame) -> Dat
     later = F.col("row") != F.col("_first.row")
     compared = F.when(later, F.col("_first.material")).otherwise(F.col("_old"))
     outcome = F.when(later | F.col("_old").isNotNull(), F.when(F.col("material") == compared, "EXACT_DUPLICATE").otherwise("CONFLICTING_SOURCE_IDENTITY"))
-    known = known.select("row", "category", "identity", "url", outcome.alias("outcome"), F.when(later, F.col("_first.row")).alias("related_row"))
+    known = known.select("row", "category", "identity", "url", outcome.alias("outcome"), F.when(later & (F.col("material") == compared), F.col("_first.row")).alias("related_row"))
 
     by_url = existing.groupBy("url").agg(F.min("category").alias("_low"), F.max("category").alias("_high"))
     left = known.filter("outcome IS NULL").withColumn("_first", F.first(F.struct("row", "category")).over(Window.partitionBy("url").orderBy("row"))).join(by_url, "url", "left")
@@ -41,5 +42,5 @@ def classify(rows: DataFrame, existing: DataFrame, categories: DataFrame) -> Dat
 
 
 def issues(classified: DataFrame) -> DataFrame:
-    """row, related_row, code, blocking of the rows that are not NEW and not exact duplicates."""
-    return classified.filter(~F.col("outcome").isin("NEW", "EXACT_DUPLICATE")).select("row", "related_row", F.col("outcome").alias("code"), F.col("outcome").isin(*BLOCKING).alias("blocking"))
+    """row, related_row, code, blocking of the rows that are not NEW."""
+    return classified.filter(F.col("outcome") != "NEW").select("row", "related_row", F.col("outcome").alias("code"), F.col("outcome").isin(*BLOCKING).alias("blocking"))

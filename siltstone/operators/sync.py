@@ -119,8 +119,9 @@ def epoch(items: DataFrame, *versions: tuple[DataFrame, str, str]) -> DataFrame:
     return items.select("item_id").join(most, "item_id", "left").select("item_id", (F.coalesce("v", F.lit(0)) + 1).alias("generation"))
 
 
-def failure_locks(attempts: DataFrame, gap: str, failures: int = 5) -> DataFrame:
-    """key, ts, streak, locked for every failure: streaks restart after a success or a gap; the ``failures``-th locks.
+def failure_locks(attempts: DataFrame, gap: str, failures: int = 5, period: str = "5 MINUTES") -> DataFrame:
+    """key, ts, streak, locked, locked_until for every failure: streaks restart after a success or a gap; from the
+    ``failures``-th on each failure locks for ``period``.
 
     attempts: key, ts, seq (a tie-break), failure, success.
     """
@@ -129,4 +130,6 @@ def failure_locks(attempts: DataFrame, gap: str, failures: int = 5) -> DataFrame
     fresh = F.col("_last").isNull() | F.col("_cleared") | (F.col("ts") - F.col("_last") >= F.expr(f"INTERVAL {gap}"))
     rows = rows.withColumn("_streak", F.sum(fresh.cast("int")).over(by))
     streak = F.sum(F.col("failure").cast("long")).over(Window.partitionBy("key", "_streak").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("streak", streak).filter("failure").select("key", "ts", "seq", "streak", ((F.col("streak") % failures) == 0).alias("locked"))
+    locked = F.col("streak") >= failures
+    until = F.when(locked, F.col("ts") + F.expr(f"INTERVAL {period}"))
+    return rows.withColumn("streak", streak).filter("failure").select("key", "ts", "seq", "streak", locked.alias("locked"), until.alias("locked_until"))

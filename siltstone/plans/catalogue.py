@@ -141,13 +141,13 @@ _KNOWN = "known AS (SELECT row, category, identity, url, material, category <> '
 _OLD = "old AS (SELECT * FROM manifest WHERE earlier QUALIFY row_number() OVER (PARTITION BY identity ORDER BY row) = 1)"
 _STEP = """step AS (SELECT *, first_value(row) OVER w AS f_row, first_value(material) OVER w AS f_material FROM known WHERE valid WINDOW w AS (PARTITION BY identity ORDER BY row))"""
 _JUDGED = """judged AS (SELECT s.row, s.category, s.identity, s.url, CASE WHEN s.row <> f_row THEN CASE WHEN s.material = f_material THEN 'EXACT_DUPLICATE' ELSE 'CONFLICTING_SOURCE_IDENTITY' END
-    WHEN o.row IS NOT NULL THEN CASE WHEN s.material = o.material THEN 'EXACT_DUPLICATE' ELSE 'CONFLICTING_SOURCE_IDENTITY' END END AS outcome, CASE WHEN s.row <> f_row THEN f_row END AS related_row FROM step s LEFT JOIN old o USING (identity))"""
+    WHEN o.row IS NOT NULL THEN CASE WHEN s.material = o.material THEN 'EXACT_DUPLICATE' ELSE 'CONFLICTING_SOURCE_IDENTITY' END END AS outcome, CASE WHEN s.row <> f_row AND s.material = f_material THEN f_row END AS related_row FROM step s LEFT JOIN old o USING (identity))"""
 _LEFT = """remaining AS (SELECT j.*, first_value(row) OVER w AS f_row, first_value(category) OVER w AS f_category, lo, hi FROM (SELECT * FROM judged WHERE outcome IS NULL) j
     LEFT JOIN (SELECT url, min(category) AS lo, max(category) AS hi FROM old GROUP BY url) u USING (url) WINDOW w AS (PARTITION BY url ORDER BY row))"""
 _CLASSIFIED = """classified AS (SELECT row, category, identity, url, 'INVALID_SPECIES' AS outcome, CAST(NULL AS BIGINT) AS related_row FROM known WHERE NOT valid UNION ALL SELECT row, category, identity, url, outcome, related_row FROM judged WHERE outcome IS NOT NULL
     UNION ALL SELECT row, category, identity, url, CASE WHEN lo IS NOT NULL THEN CASE WHEN lo = category AND hi = category THEN 'DUPLICATE_IMAGE_URL' ELSE 'CONFLICTING_IMAGE_SPECIES' END WHEN row = f_row THEN 'NEW'
     WHEN category = f_category THEN 'DUPLICATE_IMAGE_URL' ELSE 'CONFLICTING_IMAGE_SPECIES' END, CASE WHEN lo IS NULL AND row <> f_row THEN f_row END FROM remaining)"""
-_ISSUES = "issues AS (SELECT row, related_row, outcome AS code, outcome <> 'DUPLICATE_IMAGE_URL' AS blocking FROM classified WHERE outcome NOT IN ('NEW', 'EXACT_DUPLICATE'))"
+_ISSUES = "issues AS (SELECT row, related_row, outcome AS code, outcome NOT IN ('DUPLICATE_IMAGE_URL', 'EXACT_DUPLICATE') AS blocking FROM classified WHERE outcome <> 'NEW')"
 _IMPORT = (_KNOWN, _OLD, _STEP, _JUDGED, _LEFT, _CLASSIFIED, _ISSUES)
 
 
@@ -336,7 +336,7 @@ def json_props(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "events").groupBy("event_type", (k % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(live).alias("unexpired"))
 
 
-@query("""SELECT key, ts, seq, streak, streak % 5 = 0 AS locked FROM (SELECT *, count(*) FILTER (failure) OVER (PARTITION BY key, part ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS streak FROM (
+@query("""SELECT key, ts, seq, streak, streak >= 5 AS locked, CASE WHEN streak >= 5 THEN ts + INTERVAL 5 MINUTE END AS locked_until FROM (SELECT *, count(*) FILTER (failure) OVER (PARTITION BY key, part ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS streak FROM (
     SELECT *, sum(CASE WHEN last IS NULL OR cleared OR ts - last >= INTERVAL 20 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS part FROM (
     SELECT user_id % 40 AS key, ts, event_id AS seq, event_type = 'error' AS failure, lag(ts) OVER w AS last, lag(event_type = 'signup') OVER w AS cleared FROM events WHERE event_type IN ('error', 'signup') WINDOW w AS (PARTITION BY user_id % 40 ORDER BY ts, event_id)))) WHERE failure""")
 def failure_lock(s: SparkSession, d: str) -> DataFrame:
@@ -415,13 +415,26 @@ def quota_fill(s: SparkSession, d: str) -> DataFrame:
     return counts.quota_fill(rows, "category", "source", "row", _SOURCES, 60).select("category", "source", "row", "taken_as")
 
 
+_LICENCES = (
+    ("CC BY 4.0", "CC-BY"), ("cc-by-nc", "CC-BY-NC"), ("https://creativecommons.org/licenses/by-sa/4.0/", "CC-BY-SA"), ("http://creativecommons.org/licenses/by-nc-sa/3.0/legalcode", "CC-BY-NC-SA"),
+    ("CC0", "CC0"), ("https://creativecommons.org/publicdomain/zero/1.0/", "CC0"), ("Public Domain", "PUBLIC-DOMAIN"), ("licensed under CC BY-ND 4.0", "CC-BY-ND"),
+    ("Photo by J. Smith", ""), ("used by permission", ""), ("All rights reserved; attribution required", ""), ("not cc0 licensed", ""), ("", ""),
+)
+
+
+@query("SELECT o_orderkey AS item_id, list_value({})[o_orderkey % {} + 1] AS licence FROM orders".format(", ".join(f"'{want}'" for _, want in _LICENCES), len(_LICENCES)))
+def licences(s: SparkSession, d: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(given) for given, _ in _LICENCES]), (F.col("o_orderkey") % len(_LICENCES) + 1).cast("int"))
+    return v.table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), urls.licence(said).alias("licence"))
+
+
 # state transitions: the commands are derived from the review tables
 
 
-@query(sql("SELECT m.member, i.item_id FROM (SELECT member, row_number() OVER (ORDER BY member) AS n FROM range(6) r(member) WHERE member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL AND item_id < 30)) m JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM item JOIN category USING (category_id) WHERE item.active AND category.active AND open_member IS NULL AND item_id NOT IN (SELECT item_id FROM current_review)) i USING (n)"))
+@query(sql("SELECT m.member, i.item_id FROM (SELECT member, row_number() OVER (ORDER BY member) AS n FROM range(9) r(member) WHERE member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL)) m JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM item JOIN category USING (category_id) WHERE item.active AND category.active AND open_member IS NULL AND item_id NOT IN (SELECT item_id FROM current_review)) i USING (n)"))
 def pool_assignment(s: SparkSession, d: str) -> DataFrame:
-    busy = v.item(s, d).filter("open_member IS NOT NULL AND item_id < 30").select(F.col("open_member").alias("member"))
-    idle = s.range(v.MEMBERS).withColumnRenamed("id", "member").join(busy, "member", "left_anti")
+    busy = v.item(s, d).filter("open_member IS NOT NULL").select(F.col("open_member").alias("member"))
+    idle = s.range(v.MEMBERS + v.NEW_MEMBERS).withColumnRenamed("id", "member").join(busy, "member", "left_anti")
     return transitions.assign_next(progress.eligible(v.item(s, d), v.category(s, d), v.current_review(s, d)), idle)
 
 
@@ -442,10 +455,10 @@ def edit_reviews(s: SparkSession, d: str) -> DataFrame:
     return transitions.edit(state, edits, ["decision"])
 
 
-@query(sql("SELECT r.item_id, r.member, NOT EXISTS (SELECT 1 FROM review x WHERE x.item_id = r.item_id AND x.member = r.member) AND r.member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL AND item_id < 25) AS allowed FROM (SELECT item_id, (member + 1) % 6 AS member FROM current_review) r"))
+@query(sql("SELECT r.item_id, r.member, NOT EXISTS (SELECT 1 FROM review x WHERE x.item_id = r.item_id AND x.member = r.member) AND r.member NOT IN (SELECT open_member FROM item WHERE open_member IS NOT NULL) AS allowed FROM (SELECT item_id, (member + 3) % 9 AS member FROM current_review) r"))
 def reopen_targets(s: SparkSession, d: str) -> DataFrame:
-    requests = v.current_review(s, d).select("item_id", ((F.col("member") + 1) % v.MEMBERS).alias("member"))
-    return transitions.reopen_targets(v.review(s, d), requests, v.item(s, d).filter("item_id < 25"))
+    requests = v.current_review(s, d).select("item_id", ((F.col("member") + 3) % (v.MEMBERS + v.NEW_MEMBERS)).alias("member"))
+    return transitions.reopen_targets(v.review(s, d), requests, v.item(s, d))
 
 
 @query(sql("SELECT count(*) AS matched, count(*) FILTER (active) AS disabled, count(open_member) AS released, (SELECT count(*) FROM item WHERE active AND source <> 'BUILDING') AS left_active FROM item WHERE source = 'BUILDING'"))

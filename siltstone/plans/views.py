@@ -1,6 +1,6 @@
 """Review-domain views over the driver tables, as DataFrames and as the SQL that defines the same rows.
 
-item: what is reviewed. category: its kind. review: a decision on an item. current_review: the one that counts.
+item: what is reviewed. category: its kind. review: a decision on an item. current_review: the newest of an item, unless it was withdrawn.
 local_item: what a past export left at a remote copy. manifest: rows of an import file and of earlier imports.
 """
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MEMBERS = 6
+#: Members who joined lately and have neither reviews nor open items.
+NEW_MEMBERS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +30,12 @@ def item(spark: SparkSession, d: str) -> DataFrame:
 
 def review(spark: SparkSession, d: str) -> DataFrame:
     decision = F.when(F.col("o_orderstatus") == "F", "APPROVED").when(F.col("o_orderstatus") == "O", "REJECTED").otherwise("UNSURE")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("item_id"), (F.col("o_orderkey") % MEMBERS).alias("member"), decision.alias("decision"), F.col("o_orderdate").alias("created_at"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("item_id"), (F.col("o_orderkey") % MEMBERS).alias("member"), decision.alias("decision"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").eqNullSafe("5-LOW").alias("withdrawn"))
 
 
 def current_review(spark: SparkSession, d: str) -> DataFrame:
     newest = Window.partitionBy("item_id").orderBy(F.desc("created_at"), F.desc("review_id"))
-    return review(spark, d).filter(F.col("item_id") % 3 != 0).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    return review(spark, d).withColumn("_n", F.row_number().over(newest)).filter("_n = 1 AND NOT withdrawn").drop("_n", "withdrawn")
 
 
 def local_item(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +56,8 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 CATEGORY = "category AS (SELECT n_nationkey AS category_id, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, n_name AS name, n_regionkey <> 4 AS active, n_regionkey AS sort_order FROM nation)"
 ITEM = f"item AS (SELECT c_custkey AS item_id, c_nationkey AS category_id, c_mktsegment AS source, c_name AS record_id, c_acctbal >= 0 AS active, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % {MEMBERS} END AS open_member FROM customer)"
-REVIEW = f"review AS (SELECT o_orderkey AS review_id, o_custkey AS item_id, o_orderkey % {MEMBERS} AS member, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'REJECTED' ELSE 'UNSURE' END AS decision, o_orderdate AS created_at FROM orders)"
-CURRENT = "current_review AS (SELECT * FROM review WHERE item_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, review_id DESC) = 1)"
+REVIEW = f"review AS (SELECT o_orderkey AS review_id, o_custkey AS item_id, o_orderkey % {MEMBERS} AS member, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'REJECTED' ELSE 'UNSURE' END AS decision, o_orderdate AS created_at, o_orderpriority IS NOT DISTINCT FROM '5-LOW' AS withdrawn FROM orders)"
+CURRENT = "current_review AS (SELECT * EXCLUDE (withdrawn) FROM (SELECT * FROM review QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, review_id DESC) = 1) WHERE NOT withdrawn)"
 LOCAL = "local_item AS (SELECT o_custkey AS item_id, l_orderkey AS review_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, CASE l_returnflag WHEN 'A' THEN 'ADD' WHEN 'N' THEN 'MOVE' ELSE 'REMOVE' END AS action, l_linestatus = 'F' AS succeeded, l_shipdate AS succeeded_at, l_quantity > 40 AS original_changed FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 MANIFEST = "manifest AS (SELECT doc_id AS row, lang AS category, CASE WHEN doc_id % 2 = 0 THEN substr(sha256(text), 1, 12) ELSE 'd' || CAST(doc_id % 350 AS VARCHAR) END AS identity, n_chars % 400 AS url, sha256(text || '|' || lang || '|' || CAST(n_chars AS VARCHAR)) AS material, source, doc_id % 5 = 0 AS earlier FROM documents)"
 ALL = ", ".join([CATEGORY, ITEM, REVIEW, CURRENT, LOCAL, MANIFEST])

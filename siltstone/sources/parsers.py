@@ -39,7 +39,7 @@ def _exact(c: Column, name: str) -> Column:
 
 def inat(observations: DataFrame, code: str, name: str) -> DataFrame:
     df = observations.filter(F.coalesce(F.col("taxon.name"), F.lit("")).isin("", name)).select("*", F.explode("photos").alias("p"))
-    return _rows(df, code, name, "INAT", source_record_id=F.concat(F.lit("obs:"), F.col("id"), F.lit("/photo:"), F.col("p.id")), source_taxon_match=F.lit("EXACT"), source_url=F.col("uri"), image_url=urls.large_photo(F.col("p.url")), creator=F.col("user.login"), license=F.col("p.license_code"), attribution=F.col("p.attribution"), source_location=F.col("place_guess"), source_date=F.col("observed_on"))
+    return _rows(df, code, name, "INATURALIST", source_record_id=F.concat(F.lit("obs:"), F.col("id"), F.lit("/photo:"), F.col("p.id")), source_taxon_match=F.lit("EXACT"), source_url=F.col("uri"), image_url=urls.large_photo(F.col("p.url")), creator=F.col("user.login"), license=F.col("p.license_code"), attribution=F.col("p.attribution"), source_location=F.col("place_guess"), source_date=F.col("observed_on"))
 
 
 def gbif(occurrences: DataFrame, code: str, name: str) -> DataFrame:
@@ -52,13 +52,13 @@ def gbif(occurrences: DataFrame, code: str, name: str) -> DataFrame:
 def commons(pages: DataFrame, code: str, name: str) -> DataFrame:
     meta = lambda key: F.col("i.extmetadata")[key]["value"]
     df = pages.select("*", F.get("imageinfo", F.lit(0)).alias("i")).filter((F.coalesce(F.col("i.mime"), F.lit("")) == "") | F.col("i.mime").startswith("image/"))
-    return _rows(df, code, name, "COMMONS", source_record_id=F.concat(F.lit("page:"), F.col("pageid")), source_taxon_match=F.lit("EXACT_CATEGORY"), source_url=F.col("i.descriptionurl"), image_url=F.col("i.url"), creator=text.html_text(meta("Artist")), license=F.coalesce(meta("LicenseShortName"), meta("UsageTerms")), attribution=text.html_text(meta("Attribution")), source_date=meta("DateTimeOriginal"))
+    return _rows(df, code, name, "WIKIMEDIA_COMMONS", source_record_id=F.concat(F.lit("page:"), F.col("pageid")), source_taxon_match=F.lit("EXACT_CATEGORY"), source_url=F.col("i.descriptionurl"), image_url=F.col("i.url"), creator=text.html_text(meta("Artist")), license=F.coalesce(meta("LicenseShortName"), meta("UsageTerms")), attribution=text.html_text(meta("Attribution")), source_date=meta("DateTimeOriginal"))
 
 
 def ala(occurrences: DataFrame, code: str, name: str, proxy: str) -> DataFrame:
     df = occurrences.filter(_exact(F.col("scientificName"), name)).select("*", F.posexplode("images").alias("i", "image"))
     url = F.when(F.col("i") == 0, F.col("imageUrl")).otherwise(F.concat(F.lit(proxy), F.col("image")))
-    return _rows(df, code, name, "ALA", source_record_id=F.concat_ws("/", "uuid", "image"), source_taxon_match=F.lit("EXACT"), image_url=url, creator=F.array_join("recordedBy", ", "), license=F.col("license"), source_date=F.date_format(F.timestamp_millis("eventDate"), "yyyy-MM-dd"))
+    return _rows(df, code, name, "ATLAS_OF_LIVING_AUSTRALIA", source_record_id=F.concat_ws("/", "uuid", "image"), source_taxon_match=F.lit("EXACT"), image_url=url, creator=F.array_join("recordedBy", ", "), license=F.col("license"), source_date=F.date_format(F.timestamp_millis("eventDate"), "yyyy-MM-dd"))
 
 
 def obis(occurrences: DataFrame, code: str, name: str) -> DataFrame:
@@ -69,19 +69,27 @@ def obis(occurrences: DataFrame, code: str, name: str) -> DataFrame:
 def smithsonian(records: DataFrame, code: str, name: str) -> DataFrame:
     df = records.filter(F.exists("content.indexedStructured.scientific_name", lambda x: _exact(x, name))).select("*", F.posexplode("content.descriptiveNonRepeating.online_media.media").alias("i", "m"))
     df = df.filter(F.lower("m.type").contains("image") & (F.col("m.usage.access") == "CC0") & F.col("m.content").startswith("https://"))
-    return _rows(df, code, name, "SMITHSONIAN", source_record_id=F.concat(F.col("id"), F.lit("/media:"), F.col("i") + 1), source_taxon_match=F.lit("EXACT"), image_url=F.col("m.content"), license=F.col("m.usage.access"))
+    return _rows(df, code, name, "SMITHSONIAN_OPEN_ACCESS", source_record_id=F.concat(F.col("id"), F.lit("/media:"), F.col("i") + 1), source_taxon_match=F.lit("EXACT"), image_url=F.col("m.content"), license=F.col("m.usage.access"))
+
+
+#: Marks of the agency in a credit.
+AGENCY = ("NOAA", "NMFS", "SEFSC", "NEFSC", "AFSC", "NWFSC", "PIFSC")
+SITE = "https://www.noaa.gov"
 
 
 def noaa(pages: DataFrame, code: str, name: str) -> DataFrame:
-    """pages: html. Photo blocks with an image, a download link, the whole name in the title and an agency's credit."""
-    df = pages.select(F.posexplode(F.split("html", """(?=<div[^>]*class=["'][^"']*ngdl-photo)""")).alias("i", "block")).filter(F.col("block").rlike("^<div[^>]*ngdl-photo"))
-    title = text.html_text(F.regexp_extract("block", "(?s)<h\\d[^>]*>(.*?)</h\\d>", 1))
-    credit = text.html_text(F.regexp_extract("block", """(?s)<[^>]*class=["'][^"']*credit[^>]*>(.*?)</""", 1))
-    image = text.attribute(F.regexp_extract("block", "(?i)<img[^>]*>", 0), "src")
-    link = text.attribute(F.regexp_extract("block", "(?i)<a[^>]*download[^>]*>", 0), "href")
-    df = df.select(image.alias("img"), link.alias("link"), title.alias("title"), credit.alias("credit")).filter((F.col("img") != "") & (F.col("link") != ""))
-    df = df.filter(text.contains_name(F.col("title"), name) & F.col("credit").rlike("(?i)NOAA|NMFS|National Marine") & ~F.upper("credit").contains("COURTESY"))
-    return _rows(df, code, name, "NOAA", source_record_id=F.col("link"), source_taxon_match=F.lit("EXACT_TITLE"), source_url=F.col("link"), image_url=F.col("link"), creator=F.col("credit"), license=F.lit("public domain"), attribution=F.col("credit"))
+    """pages: html. Photo blocks with an image whose title holds the whole name and ends in an agency's credit, and a download link."""
+    df = pages.select(F.explode(F.split("html", """(?i)(?=<div\\b[^>]*class\\s*=\\s*["'](?:[^"']*\\s)?ngdl-photo[\\s"'])""")).alias("block")).filter(F.col("block").rlike(r"(?i)^<div\b[^>]*[\s\"']ngdl-photo"))
+    opening, image = F.regexp_extract("block", r"(?is)^<div\b[^>]*>", 0), F.regexp_extract("block", r"(?is)<img\b[^>]*>", 0)
+    link = F.regexp_extract("block", r"""(?is)<a\b[^>]*class\s*=\s*["'][^"']*\bmedia-download-link\b[^>]*>""", 0)
+    title = F.when(text.attribute(image, "title") != "", text.attribute(image, "title")).otherwise(text.attribute(image, "alt"))
+    full = lambda u: F.when(u.startswith("/"), F.concat(F.lit(SITE), u)).otherwise(u)
+    page = text.attribute(F.regexp_extract("block", r"(?is)<a\b[^>]*href[^>]*>", 0), "href")
+    df = df.select(text.attribute(opening, "id").alias("photo"), title.alias("title"), full(text.attribute(link, "href")).alias("url"), full(page).alias("page"))
+    df = df.withColumn("credit", text.html_text(F.regexp_extract("title", r"(?i)\(Image credit:\s*(.*?)\)\s*$", 1)))
+    credited = F.upper("credit").rlike("|".join(AGENCY)) & ~F.upper("credit").contains("COURTESY")
+    df = df.filter((F.col("photo") != "") & F.col("url").startswith("https://") & text.contains_name(F.col("title"), name) & credited)
+    return _rows(df, code, name, "NOAA_PHOTO_LIBRARY", source_record_id=F.concat(F.lit("photo:"), "photo"), source_taxon_match=F.lit("EXACT_TITLE"), source_url=F.col("page"), image_url=F.col("url"), creator=F.col("credit"), license=F.lit("public domain"), attribution=F.col("title"))
 
 
 def vista(records: DataFrame, code: str, name: str) -> DataFrame:

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LOCKS = "key long, ts timestamp, seq long, streak long, locked boolean"
+LOCKS = "key long, ts timestamp, seq long, streak long, locked boolean, locked_until timestamp"
 STATE = "last timestamp, streak long, cleared boolean"
 
 
-def failure_locks(attempts: DataFrame, gap_seconds: float, failures: int = 5) -> DataFrame:
+def failure_locks(attempts: DataFrame, gap_seconds: float, failures: int = 5, lock_seconds: float = 300) -> DataFrame:
     """The streaming form of ``operators.sync.failure_locks``: attempts (key, ts, seq, failure, success) in, locks out.
 
     State is the last attempt's time, the streak and whether it was cleared; rows of a micro-batch are taken in order.
@@ -30,9 +30,9 @@ def failure_locks(attempts: DataFrame, gap_seconds: float, failures: int = 5) ->
             cleared, last = bool(r.success), r.ts
             if r.failure:
                 streak += 1
-                out.append((key[0], r.ts, r.seq, streak, streak % failures == 0))
+                out.append((key[0], r.ts, r.seq, streak, streak >= failures, r.ts + pd.Timedelta(seconds=lock_seconds) if streak >= failures else None))
         state.update((last, streak, cleared))
-        yield pd.DataFrame(out, columns=["key", "ts", "seq", "streak", "locked"])
+        yield pd.DataFrame(out, columns=["key", "ts", "seq", "streak", "locked", "locked_until"])
 
     return attempts.groupBy("key").applyInPandasWithState(step, LOCKS, STATE, "append", GroupStateTimeout.NoTimeout)
 

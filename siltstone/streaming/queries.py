@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,11 @@ from siltstone.streaming import limiter
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -38,7 +43,7 @@ def failure_lock_stream(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     attempts = v.table(s, d, "events").select((F.col("user_id") % 40).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (kind == "error").alias("failure"), (kind == "signup").alias("success"))
     out = _drained(s, limiter.failure_locks(_stream(s, attempts, "attempts", 4), 20 * 86400), "locks")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("locked_until", F.col("locked_until").cast("timestamp_ntz"))
 
 
 @catalogue.query(sql("SELECT item_id, max(review_id) AS version, arg_max(decision, review_id) AS decision FROM review GROUP BY item_id"))

@@ -66,7 +66,7 @@ def test_url_parts(spark):
     assert r.a == "https://host.org/p/a.JPG?utm_source=x&b=2&gclid=1&c=3" and r.b == "https://host.org:443/p/a.JPG?b=2&c=3" and (r.c, r.d, r.e, r.f) == (".jpg", "https://x.org/photos/7/large.jpg", True, False)
 
 
-@pytest.mark.parametrize(("given", "want"), [("cc-by-nc", "CC-BY-NC"), ("https://creativecommons.org/licenses/by-sa/4.0/", "CC-BY-SA"), ("CC0", "CC0"), ("http://creativecommons.org/publicdomain/zero/1.0/", "CC0"), ("Public domain", "PUBLIC-DOMAIN"), ("CC BY-ND 2.0", "CC-BY-ND"), ("all rights reserved", ""), (None, "")])
+@pytest.mark.parametrize(("given", "want"), [("cc-by-nc", "CC-BY-NC"), ("https://creativecommons.org/licenses/by-sa/4.0/", "CC-BY-SA"), ("CC0", "CC0"), ("http://creativecommons.org/publicdomain/zero/1.0/", "CC0"), ("Public domain", "PUBLIC-DOMAIN"), ("CC BY-ND 2.0", "CC-BY-ND"), ("all rights reserved", ""), (None, ""), ("Photo by J. Smith", ""), ("used by permission", ""), ("attribution required", ""), ("not cc0 licensed", ""), ("CC BY 4.0 (International)", "CC-BY"), ("under cc-by-nc-sa-3.0", "CC-BY-NC-SA"), ("http://creativecommons.org/licenses/by/4.0/deed.de", "CC-BY")])
 def test_licences(spark, given, want):
     r = one(spark, urls.licence(F.lit(given).cast("string")).alias("l"), urls.licence_allowed(F.lit(given).cast("string")).alias("ok"))
     assert r.l == want and r.ok == (want in urls.LICENCES)
@@ -86,7 +86,7 @@ def by_loop(rows, existing, valid):
             out.append((row, "INVALID_SPECIES", None))
         elif identity in seen:
             first = seen[identity]
-            out.append((row, "EXACT_DUPLICATE" if material == first[1] else "CONFLICTING_SOURCE_IDENTITY", first[0]))
+            out.append((row, "EXACT_DUPLICATE", first[0]) if material == first[1] else (row, "CONFLICTING_SOURCE_IDENTITY", None))
         else:
             seen[identity] = (row, material)
             if identity in old_identity:
@@ -249,20 +249,41 @@ def test_source_parsers(spark):
     assert [r.image_url for r in rows] == ["https://f.org/1"]
     rows = parsed(spark, parsers.vista, parsers.VISTA, [{"standardized_species": "gadus morhua", "license": "CC BY", "file_name": "f", "original_url": "https://g.org/f.jpg", "arkid": ""}])
     assert [r.source_record_id for r in rows] == ["f"]
-    html = '<div class="ngdl-photo"><img src="a.jpg"><a class="download" href="https://h.org/full.jpg">Download</a><h3>Gadus morhua swimming</h3><span class="credit">NOAA Fisheries</span></div>'
-    rows = parsers.noaa(spark.createDataFrame([(html + html.replace("NOAA Fisheries", "Courtesy of NOAA"),)], "html string"), "COD", "Gadus morhua").collect()
-    assert [(r.image_url, r.license) for r in rows] == [("https://h.org/full.jpg", "PUBLIC-DOMAIN")]
+
+
+def test_photo_pages(spark):
+    block = """<div class='ngdl-photo ngdl-photo--list' data-photo-modal-id="7" id="photo-%s">
+      <a href="/photos/item?q=a&amp;page=0"><div class="c-field c-field--name-media-ngdl-photo">
+        <img %s src="/small.jpg" /></div></a>
+      <a class="media-download-link" href="%s">Download</a></div>"""
+    page = "<html><div id='top'>" + "".join(
+        block % x
+        for x in (
+            ("1", 'title="A cod (Gadus morhua) (Image credit: NOAA/NMFS/SEFSC)" alt="A cod"', "/media/photo-1"),
+            ("2", 'title="A cod (Gadus morhua) (Image credit: Courtesy of NOAA friends)"', "/media/photo-2"),
+            ("3", 'title="A cod (Gadus morhuae) (Image credit: NOAA)"', "/media/photo-3"),
+            ("4", 'alt="Gadus morhua (Image credit: PIFSC)"', "https://h.org/full.jpg"),
+            ("5", 'title="Gadus morhua"', "/media/photo-5"),
+            ("6", 'title="Gadus morhua (Image credit: NOAA)"', "http://h.org/plain.jpg"),
+        )
+    )
+    rows = parsers.noaa(spark.createDataFrame([(page,)], "html string"), "COD", "Gadus morhua").collect()
+    assert [(r.source_record_id, r.image_url, r.creator, r.license, r.source_dataset) for r in rows] == [
+        ("photo:photo-1", "https://www.noaa.gov/media/photo-1", "NOAA/NMFS/SEFSC", "PUBLIC-DOMAIN", "NOAA_PHOTO_LIBRARY"),
+        ("photo:photo-4", "https://h.org/full.jpg", "PIFSC", "PUBLIC-DOMAIN", "NOAA_PHOTO_LIBRARY"),
+    ]
+    assert rows[0].source_url == "https://www.noaa.gov/photos/item?q=a&page=0"
 
 
 def test_failure_limiter_locks_and_clears(spark):
     from datetime import datetime, timedelta
 
     start = datetime(2024, 1, 1)
-    seconds = [(0, "f"), (10, "f"), (20, "f"), (30, "f"), (40, "f"), (50, "s"), (60, "f"), (1000, "f")]
+    seconds = [(0, "f"), (10, "f"), (20, "f"), (30, "f"), (40, "f"), (50, "f"), (55, "s"), (60, "f"), (1000, "f")]
     rows = [(1, start + timedelta(seconds=t), i, k == "f", k == "s") for i, (t, k) in enumerate(seconds)]
     df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, failure boolean, success boolean")
     got = [(r.seq, r.streak, r.locked) for r in sync.failure_locks(df, "300 SECONDS").orderBy("seq").collect()]
-    assert got == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 4, False), (4, 5, True), (6, 1, False), (7, 1, False)]
+    assert got == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 4, False), (4, 5, True), (5, 6, True), (7, 1, False), (8, 1, False)]
 
 
 def test_replays_within_the_watermark_are_dropped(spark, tmp_path):
