@@ -28,7 +28,7 @@ from siltstone.llm.storage import written
 
 #: Shards of order m begin at m * _ORDER.
 _ORDER = 1 << 24
-_WIDTH = 6
+_WIDTH = 8
 
 
 @dataclass(frozen=True)

@@ -147,7 +147,10 @@ def linked(found: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for every row."""
     found = written(scan(docs), "secrets")
-    joined = found.join(linked(found), "text_key", "left")
+    added = linked(found)
+    # rows without weak candidates, nearly all, have no key and take no part in the join
+    joined = found.filter("text_key IS NOT NULL").join(added, "text_key", "left")
+    joined = joined.unionByName(found.filter("text_key IS NULL").withColumn("added", F.lit(None).cast(added.schema["added"].dataType)))
     order = F.array(*[F.lit(k) for k in KINDS])
     parsed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("long").alias("start"), F.array_position(order, F.split_part(x, F.lit(":"), F.lit(1))).alias("n"), x.alias("said")))
     more = F.transform("added", lambda a: F.struct(a["start"].alias("start"), F.array_position(order, a["kind"]).alias("n"), F.concat_ws(":", a["kind"], a["start"].cast("string"), a["end"].cast("string")).alias("said")))
