@@ -86,11 +86,11 @@ def is_safe_path(c: Column, most: int = 255) -> Column:
 
 
 def source_date(c: Column) -> Column:
-    """ISO dates, d.m.yyyy and "d Month yyyy" anywhere in a text; else null."""
-    iso = F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1)
-    dotted = F.regexp_extract(c, r"^(\d{1,2}\.\d{1,2}\.\d{4})", 1)
-    named = F.regexp_extract(c, r"(\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4})", 1)
-    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(dotted, "d.M.yyyy"), F.try_to_date(named, "d MMMM yyyy"))
+    """ISO dates and d.m.yyyy at the start of a text, and "d Month yyyy" or "d Mon yyyy" in it; else null."""
+    iso = F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})(?:\D|\z)", 1)
+    dotted = F.regexp_extract(c, r"^(\d{1,2}\.\d{1,2}\.\d{4})(?:\D|\z)", 1)
+    named = F.initcap(F.regexp_extract(c, r"\b(\d{1,2} [A-Za-z]+ \d{4})\b", 1))
+    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(dotted, "d.M.yyyy"), F.try_to_date(named, "d MMMM yyyy"), F.try_to_date(named, "d MMM yyyy"))
 
 
 def redacted(c: Column) -> Column:
