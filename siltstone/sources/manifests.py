@@ -5,12 +5,15 @@ Header rules are checked on the header line alone; rows are never gathered on th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions import text
+
 #: The columns of the item manifest, the export file and the canonical manifest, in order.
 MANIFEST = (
     "image_id", "seafood_code", "app_label", "scientific_name", "source_dataset", "source_record_id", "source_taxon_match", "source_url", "image_url", "creator", "attribution", "license", "license_url",
@@ -31,6 +34,7 @@ RECEIPT = T.StructType([
     ]))),
 ])
 CONFIG = "schema_version int, generated_at timestamp, species array<struct<seafood_code:string,name_zh:string,name_en:string,scientific_name:string,candidate_count:bigint,inat_taxon_id:bigint,gbif_taxon_key:bigint,commons_category:string,fish_vista_filter:string>>"
+CONFIG_FIELDS = ("seafood_code", "name_zh", "name_en", "scientific_name", "candidate_count", "inat_taxon_id", "gbif_taxon_key", "commons_category", "fish_vista_filter")
 UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 
 
@@ -148,3 +152,47 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], max_rows: int =
 def append_log(df: DataFrame, path: str) -> None:
     """Operations appended as JSON lines."""
     df.write.mode("append").json(path)
+
+
+def canonical_problems(rows: DataFrame) -> Column:
+    """The rules a canonical row breaks, as an array of codes."""
+    path = F.col("relative_path")
+    rules = {
+        "BAD_ID": ~(F.col("candidate_id").rlike(UUID) & F.col("review_id").rlike(UUID)),
+        "BAD_VERSION": F.coalesce(F.expr("try_cast(review_version AS BIGINT)"), F.lit(0)) < 1,
+        "BAD_PATH": ~(text.is_safe_path(path) & path.startswith("images/")),
+        "BAD_HASH": ~F.col("sha256").rlike(r"^[0-9a-f]{64}\z"),
+        "RAGGED": F.col("_ragged").isNotNull() if "_ragged" in rows.columns else F.lit(False),
+    }
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), code) for code, bad in rules.items()]), lambda x: x.isNotNull())
+
+
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """A valid canonical manifest, or BadFile: exact header, valid rows, unique items, paths unique in any case."""
+    if problems := header_problems(header(spark, path), CANONICAL, exact=True):
+        raise BadFile(problems[0])
+    rows = read_csv(spark, path, CANONICAL)
+    if not (bad := rows.withColumn("_problems", canonical_problems(rows)).filter(F.size("_problems") > 0)).isEmpty():
+        raise BadFile(bad.first()["_problems"][0])
+    for key in (F.col("candidate_id"), text.casefold(F.col("relative_path"))):
+        if not rows.groupBy(key.alias("_key")).count().filter("count > 1").isEmpty():
+            raise BadFile("REPEATED")
+    return rows.drop("_ragged")
+
+
+def write_canonical(rows: DataFrame, path: str) -> None:
+    """A folder of CSV files whose names and rows follow the order of candidate_id: range partitions, each sorted by itself."""
+    write_csv(rows.select(*CANONICAL).orderBy("candidate_id"), path, CANONICAL)
+
+
+def chunks(rows: DataFrame, size: int = 250) -> Iterator[list[Row]]:
+    """Rows in their order, ``size`` at a time; the driver holds a partition and the one after it."""
+    it = rows.toLocalIterator(prefetchPartitions=True)
+    while some := list(islice(it, size)):
+        yield some
+
+
+def config_json(categories: DataFrame, version: int = 2) -> DataFrame:
+    """One JSON text: the collector's configuration of the categories (fields of CONFIG), by code. One row a category, so few."""
+    entry = F.struct(*CONFIG_FIELDS)
+    return categories.agg(F.array_sort(F.collect_list(entry)).alias("species")).select(F.to_json(F.struct(F.lit(version).alias("schema_version"), "species")).alias("value"))

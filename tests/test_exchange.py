@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import rules, text
 from siltstone.operators import batches, imports, summaries
+from siltstone.sources import manifests
 
 GOOD = {
     "seafood_code": "TUNA", "source_dataset": "gbif", "source_record_id": "7", "source_url": "https://gbif.org/7", "image_url": "https://img.gbif.org/7.jpg", "creator": "Jane", "license": "CC-BY",
@@ -168,3 +169,27 @@ def test_names_dates_and_errors(spark):
     assert one(rules.source_bucket(F.lit("x"), F.lit(None).cast("string"))) == ("host:unknown", 1.0)
     assert one(rules.import_licence(F.lit("PUBLIC-DOMAIN-1.0"))) == "PUBLIC-DOMAIN-1.0" and one(rules.import_licence(F.lit("used by permission"))) is None
     assert [str(one(text.source_date(F.lit(x)))) for x in ("2020-02-30", "1.2.2020x", "on 3 JAN 2020", "5 Foo 2020")] == ["None", "2020-02-01", "2020-01-03", "None"]
+
+
+def test_canonical_manifest_round_trip(spark, tmp_path):
+    row = lambda i, **c: tuple({**dict.fromkeys(manifests.CANONICAL, ""), "candidate_id": f"0000000{i}-0000-0000-0000-000000000000", "review_id": "0" * 8 + "-0000-0000-0000-" + "0" * 12, "review_version": "1", "relative_path": f"images/T/{i}.jpg", "sha256": "a" * 64, "creator": 'a "b", c', **c}.values())
+    schema = ", ".join(f"{c} string" for c in manifests.CANONICAL)
+
+    def saved(name, *rows):
+        path = str(tmp_path / name)
+        manifests.write_canonical(spark.createDataFrame(list(rows), schema), path)
+        return path
+
+    got = manifests.read_canonical(spark, saved("good", row(3), row(1), row(2)))
+    assert sorted(tuple(r) for r in got.fillna("").collect()) == [row(1), row(2), row(3)]
+    for name, rows, code in (("twice", [row(1), row(1)], "REPEATED"), ("case", [row(1), row(2, relative_path="images/t/1.JPG")], "REPEATED"), ("up", [row(1, relative_path="../1.jpg")], "BAD_PATH"), ("hash", [row(1, sha256="A" * 64)], "BAD_HASH")):
+        with pytest.raises(manifests.BadFile, match=code):
+            manifests.read_canonical(spark, saved(name, *rows))
+    assert [[r.id for r in c] for c in manifests.chunks(spark.range(5).orderBy(F.desc("id")), 2)] == [[4, 3], [2, 1], [0]]
+
+
+def test_collector_configuration(spark, tmp_path):
+    rows = spark.createDataFrame([("B", "b", "b", "Bb", 2, None, None, None, None), ("A", "a", "a", "Aa", 1, 5, None, "Category:X", None)], "seafood_code string, name_zh string, name_en string, scientific_name string, candidate_count long, inat_taxon_id long, gbif_taxon_key long, commons_category string, fish_vista_filter string")
+    (tmp_path / "c.json").write_text(manifests.config_json(rows).first().value)
+    back = manifests.read_config(spark, str(tmp_path / "c.json")).collect()
+    assert [(r.seafood_code, r.commons_category) for r in back] == [("A", "Category:X"), ("B", "Category:Bb")]
