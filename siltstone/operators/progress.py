@@ -16,11 +16,12 @@ def active_items(item: DataFrame, category: DataFrame) -> DataFrame:
 
 
 def overview(item: DataFrame, category: DataFrame, current: DataFrame) -> DataFrame:
-    """total, reviewed, open, pending and reviewed share of the active items, in one pass over items."""
+    """total, reviewed, open, pending, reviewed share and the same as a percentage of two places, ties to even, of the active items, in one pass over items."""
     reviewed = F.col("_reviewed").isNotNull()
     rows = active_items(item, category).join(current.select("item_id", F.lit(1).alias("_reviewed")), "item_id", "left")
     counted = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(reviewed).alias("reviewed"), F.count_if(~reviewed & F.col("open_member").isNotNull()).alias("open"))
-    return counted.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("reviewed") - F.col("open"))).withColumn("share", F.when(F.col("total") > 0, F.col("reviewed") / F.col("total")).otherwise(0.0))
+    share = F.when(F.col("total") > 0, F.col("reviewed") / F.col("total")).otherwise(0.0)
+    return counted.withColumns({"pending": F.greatest(F.lit(0), F.col("total") - F.col("reviewed") - F.col("open")), "share": share, "percent": F.bround(share * 100, 2)})
 
 
 def decisions(item: DataFrame, category: DataFrame, current: DataFrame) -> DataFrame:

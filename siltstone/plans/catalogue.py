@@ -31,7 +31,7 @@ def query(oracle: str | None = None):
 _ACTIVE = "FROM item JOIN category USING (category_id) LEFT JOIN current_review USING (item_id) WHERE item.active AND category.active"
 
 
-@query(sql(f"""SELECT total, reviewed, open, greatest(0, total - reviewed - open) AS pending, reviewed / total AS share FROM (
+@query(sql(f"""SELECT total, reviewed, open, greatest(0, total - reviewed - open) AS pending, reviewed / total AS share, round_even(reviewed / total * 100, 2) AS percent FROM (
     SELECT count(*) AS total, count(review_id) AS reviewed, count(*) FILTER (review_id IS NULL AND open_member IS NOT NULL) AS open {_ACTIVE})"""))
 def progress_overview(s: SparkSession, d: str) -> DataFrame:
     return progress.overview(v.item(s, d), v.category(s, d), v.current_review(s, d))

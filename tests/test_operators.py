@@ -23,10 +23,10 @@ def test_progress_of_a_seeded_review(spark):
     item = spark.createDataFrame([(i, 1, i != 6, 3 if i == 4 else None) for i in range(1, 7)] + [(7, 2, True, None)], "item_id long, category_id long, active boolean, open_member long")
     current = spark.createDataFrame([(1, "APPROVED"), (2, "APPROVED"), (3, "REJECTED"), (6, "APPROVED"), (7, "UNSURE")], "item_id long, decision string")
     got = progress.overview(item, category, current).first()
-    assert (got.total, got.reviewed, got.open, got.pending, got.share) == (5, 3, 1, 1, 0.6)
+    assert (got.total, got.reviewed, got.open, got.pending, got.share, got.percent) == (5, 3, 1, 1, 0.6, 60.0)
     assert {r.decision: r.n for r in progress.decisions(item, category, current).collect()} == {"APPROVED": 2, "REJECTED": 1, "UNSURE": 0}
     empty = progress.overview(item.limit(0), category, current).first()
-    assert (empty.total, empty.reviewed, empty.open, empty.pending, empty.share) == (0, 0, 0, 0, 0.0)
+    assert (empty.total, empty.reviewed, empty.open, empty.pending, empty.share, empty.percent) == (0, 0, 0, 0, 0.0, 0.0)
 
 
 def test_page_limits(spark):
