@@ -12,18 +12,20 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions import text
+from siltstone.functions import text, urls
+from siltstone.sources import strict_csv
 
-#: The columns of the item manifest, the export file and the canonical manifest, in order.
+#: The columns of the item manifest, the export file and the canonical manifest, in order; what an import needs.
 MANIFEST = (
     "image_id", "seafood_code", "app_label", "scientific_name", "source_dataset", "source_record_id", "source_taxon_match", "source_url", "image_url", "creator", "attribution", "license", "license_url",
     "source_observation_quality", "source_country", "source_split", "image_context", "original_group_id", "source_location", "source_date", "whole_fish", "exact_species_verified", "verified_by",
     "verification_notes", "sha256", "perceptual_hash", "local_path", "split", "status", "rejection_reason",
 )
 EXPORT = (
-    "batch_id", "candidate_id", "review_id", "receipt_token", "action", "review_version", "species_code", "target_relative_path", "previous_relative_path", "preview_url", "original_url", "source_url",
+    "batch_id", "receipt_token", "action", "candidate_id", "review_id", "review_version", "species_code", "target_relative_path", "previous_relative_path", "preview_url", "original_url", "source_url",
     "creator", "license", "license_url", "attribution", "image_origin_allowlist",
 )
+REQUIRED = ("seafood_code", "source_dataset", "source_record_id", "source_url", "image_url", "license")
 CANONICAL = ("candidate_id", "review_id", "review_version", "species_code", "relative_path", "sha256", "source_url", "creator", "license", "license_url", "attribution")
 
 RECEIPT = T.StructType([
@@ -35,6 +37,9 @@ RECEIPT = T.StructType([
 ])
 CONFIG = "schema_version int, generated_at timestamp, species array<struct<seafood_code:string,name_zh:string,name_en:string,scientific_name:string,candidate_count:bigint,inat_taxon_id:bigint,gbif_taxon_key:bigint,commons_category:string,fish_vista_filter:string>>"
 CONFIG_FIELDS = ("seafood_code", "name_zh", "name_en", "scientific_name", "candidate_count", "inat_taxon_id", "gbif_taxon_key", "commons_category", "fish_vista_filter")
+#: Limits of files and fields, and names of images.
+IMPORT_BYTES, IMPORT_ROWS, EXPORT_BYTES, EXPORT_ROWS, FIELD_CHARS = 5 * 1024 * 1024, 50_000, 20 * 1024 * 1024, 10_000, 4_096
+SUFFIX = r"(?i:\.(?:jpg|jpeg|png|webp|gif|tif|tiff|bmp|image))"
 UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 
 
@@ -84,37 +89,92 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in MANIFEST])
 
 
-def export_problems(rows: DataFrame) -> Column:
-    """The rules an export row breaks, as an array of codes."""
-    action, previous, target = F.col("action"), F.coalesce(F.col("previous_relative_path"), F.lit("")), F.col("target_relative_path")
+def strict_rows(spark: SparkSession, path: str, columns: Sequence[str], most_bytes: int | None = None, block_bytes: int | None = None) -> DataFrame:
+    """_record and ``columns`` as text, of files that are sound from end to end, or BadFile: size, UTF-8, quotes and line ends, header, fields a record."""
+    found = strict_csv.read(spark, path, strict_csv.Dialect(rfc=True), block_bytes)
+    if most_bytes is not None and not found.files.filter(F.col("size") > most_bytes).isEmpty():
+        raise BadFile("FILE_TOO_LARGE")
+    if bad := found.files.filter("NOT valid OR error IS NOT NULL").orderBy("file").first():
+        raise BadFile(f"{bad['error']} in record {bad['error_record']}" if bad["valid"] else "BAD_ENCODING")
+    if not found.files.filter("records = 0").isEmpty():
+        raise BadFile("empty file")
+    for r in found.records.filter("record = 1").select("fields").distinct().limit(2).collect():
+        if problems := header_problems(r["fields"], columns, exact=True):
+            raise BadFile(problems[0])
+    if ragged := found.records.filter(F.size("fields") != len(columns)).orderBy("record").first():
+        raise BadFile(f"RAGGED in record {ragged['record']}")
+    return found.records.filter("record > 1").select(F.col("record").alias("_record"), *[F.col("fields")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def import_files(spark: SparkSession, path: str, block_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Import files as they would be taken one by one: a report of each, and their rows.
+
+    report: file, size, code (why the file is rejected as a whole, or null), total (rows), ragged (rows of another length
+    than the header). A ragged row rejects the file but not the rows after it; a quoting error ends it. rows: file, row (the
+    record's number, the header being 1), values by header.
+    """
+    found = strict_csv.read(spark, path, block_bytes=block_bytes)
+    heads = found.records.filter("record = 1").select("file", F.col("fields").alias("header"))
+    named = found.records.filter("record > 1").join(heads, "file").withColumn("same", F.size("fields") == F.size("header"))
+    rows = found.files.join(heads, "file", "left").join(named.groupBy("file").agg(F.count_if(~F.col("same")).alias("n_ragged")), "file", "left")
+    control = F.exists("header", lambda h: (text.trimmed(h) == "") | (text.trimmed(h) != h) | text.has_control(h))
+    total = F.greatest(F.col("records") - 1, F.lit(0).cast("long"))
+    refused = F.when((F.col("size") > IMPORT_BYTES) & (F.col("newlines") <= IMPORT_ROWS), "CSV_TOO_LARGE").when(~F.col("valid"), "CSV_INVALID_ENCODING").when(F.col("error_record") == 1, "CSV_MALFORMED")
+    refused = refused.when(F.col("header").isNull(), "CSV_MISSING_HEADERS").when(control, "CSV_INVALID_HEADER").when(F.size(F.array_distinct("header")) < F.size("header"), "CSV_DUPLICATE_HEADERS")
+    refused = refused.when(F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), "header")) > 0, "CSV_MISSING_HEADERS").when(total > IMPORT_ROWS, "CSV_TOO_MANY_ROWS")
+    rows = rows.withColumn("refused", refused)
+    code = F.coalesce("refused", F.when(F.col("error").isNotNull() | (F.col("n_ragged") > 0), "CSV_MALFORMED"))
+    zero = lambda c: F.when(F.col("refused").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    report = rows.select("file", "size", code.alias("code"), zero(total).alias("total"), zero(F.col("n_ragged")).alias("ragged"), "refused")
+    read = named.filter("same").join(report.filter("refused IS NULL").select("file"), "file", "left_semi")
+    return report.drop("refused"), read.select("file", F.col("record").alias("row"), F.map_from_arrays("header", "fields").alias("values"))
+
+
+def export_problems(rows: DataFrame, approved: Sequence[str] = ()) -> Column:
+    """The rules an export row breaks, as an array of codes. approved: hosts of images besides those that the row lists."""
+    c = F.col
+    action, previous, target = c("action"), F.coalesce(c("previous_relative_path"), F.lit("")), c("target_relative_path")
+    listed = F.from_json("image_origin_allowlist", "array<string>")
+    host = r"^(?=.{1,253}\z)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z][a-z0-9-]*\z"
+    exact = F.transform(listed, lambda h: F.lower(F.regexp_replace(h, r"\.\z", "")))
+    address = lambda x: x.rlike(r"^(?i:https)://[^/?#\s@]+([/?#]\S*)?\z") & ~text.has_control(x)
+    at = lambda x: F.regexp_replace(urls.host(F.regexp_replace(x, "^(?i:https)", "https")), r"(:443|\.)\z", "")
+    image = lambda x: address(x) & (F.array_contains(exact, at(x)) | urls.host_allowed(at(x), approved))
+    safe = lambda x: text.is_safe_path(x, FIELD_CHARS) & ~x.rlike('[<>"|?*]')
+    said = lambda x: (text.trimmed(x) != "") & ~x.rlike(r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F-\x9F]")
+    placed = lambda folder, of: target.rlike(SUFFIX + r"\z") & (F.regexp_replace(target, SUFFIX + r"\z", "") == F.concat_ws("/", F.lit(folder), of, c("candidate_id")))
+    old = previous.rlike(r"^images/[^/]+/.*" + SUFFIX + r"\z")
+    shape = F.when(action == "REMOVE", placed("_removed", c("batch_id")) & old).when(action == "MOVE", placed("images", c("species_code")) & old).otherwise(placed("images", c("species_code")) & ((previous == "") | old))
     rules = {
-        "BAD_ID": ~(F.col("batch_id").rlike(UUID) & F.col("candidate_id").rlike(UUID) & F.col("review_id").rlike(UUID)),
-        "BAD_TOKEN": ~F.col("receipt_token").rlike(r"^[A-Za-z0-9_-]{20,512}\z"),
+        "TOO_LONG": ~F.forall(F.array(*[c(x) for x in EXPORT]), lambda x: F.length(x) <= FIELD_CHARS),
+        "BAD_ID": ~(c("batch_id").rlike(UUID) & c("candidate_id").rlike(UUID) & c("review_id").rlike(UUID)),
+        "BAD_TOKEN": ~c("receipt_token").rlike(r"^[A-Za-z0-9_-]{20,512}\z"),
         "BAD_ACTION": ~action.isin("ADD", "MOVE", "REMOVE"),
-        "BAD_VERSION": F.coalesce(F.expr("try_cast(review_version AS BIGINT)"), F.lit(0)) < 1,
-        "BAD_SHAPE": ((action == "REMOVE") & ~target.startswith("_removed/")) | ((action != "REMOVE") & ~target.startswith("images/")) | (action.isin("MOVE", "REMOVE") & (previous == "")),
-        "BAD_HOSTS": ~F.coalesce(F.size(F.from_json("image_origin_allowlist", "array<string>")), F.lit(0)).between(1, 32),
-        "RAGGED": F.col("_ragged").isNotNull() if "_ragged" in rows.columns else F.lit(False),
+        "BAD_HOSTS": ~(F.size(listed).between(1, 32) & F.forall(exact, lambda h: h.rlike(host))),
+        "BAD_VERSION": ~(c("review_version").rlike(r"^[0-9]+\z") & (F.expr("try_cast(review_version AS BIGINT)") >= 1)),
+        "BAD_CODE": ~text.is_safe_code(c("species_code")),
+        "BAD_PATH": ~(safe(target) & ((previous == "") | safe(previous))),
+        "BAD_URL": ~(image(c("preview_url")) & image(c("original_url")) & address(c("source_url")) & ((text.trimmed(c("license_url")) == "") | address(c("license_url")))),
+        "BAD_TEXT": ~(said(c("license")) & said(c("attribution")) & ((text.trimmed(c("creator")) == "") | said(c("creator")))),
+        "BAD_SHAPE": ~shape | ((action != "ADD") & (previous != "") & (text.casefold(previous) == text.casefold(target))),
     }
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), code) for code, bad in rules.items()]), lambda x: x.isNotNull())
 
 
-def load_export(spark: SparkSession, path: str, most_rows: int = 10_000) -> DataFrame:
-    """A valid export file, or BadFile: exact header, valid rows, one batch and token, unique operations and targets."""
-    if problems := header_problems(header(spark, path), EXPORT, exact=True):
-        raise BadFile(problems[0])
-    rows = read_csv(spark, path, EXPORT)
-    if not (bad := rows.withColumn("_problems", export_problems(rows)).filter(F.size("_problems") > 0)).isEmpty():
-        raise BadFile(bad.first()["_problems"][0])
+def load_export(spark: SparkSession, path: str, most_rows: int = EXPORT_ROWS, most_bytes: int = EXPORT_BYTES, approved: Sequence[str] = ()) -> DataFrame:
+    """A valid export file, or BadFile: sound CSV, exact header, valid rows, one batch and token, unique operations and targets."""
+    rows = strict_rows(spark, path, EXPORT, most_bytes)
+    if bad := rows.withColumn("_problems", export_problems(rows, approved)).filter(F.size("_problems") > 0).orderBy("_record").first():
+        raise BadFile(f"{bad['_problems'][0]} in record {bad['_record']}")
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("batch_id") == F.max("batch_id"), F.min("receipt_token") == F.max("receipt_token")).first()
     if not 1 <= facts["n"] <= most_rows:
         raise BadFile("ROWS")
     if not (facts[1] and facts[2]):
         raise BadFile("MIXED_BATCH")
-    for keys in (["candidate_id", "review_id", "review_version"], [F.lower("target_relative_path")]):
+    for keys in (["candidate_id", "review_id", F.col("review_version").cast("bigint")], [text.casefold(F.col("target_relative_path"))]):
         if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
             raise BadFile("REPEATED")
-    return rows.drop("_ragged")
+    return rows.drop("_record")
 
 
 def read_receipt(spark: SparkSession, path: str) -> DataFrame:
@@ -162,22 +222,19 @@ def canonical_problems(rows: DataFrame) -> Column:
         "BAD_VERSION": F.coalesce(F.expr("try_cast(review_version AS BIGINT)"), F.lit(0)) < 1,
         "BAD_PATH": ~(text.is_safe_path(path) & path.startswith("images/")),
         "BAD_HASH": ~F.col("sha256").rlike(r"^[0-9a-f]{64}\z"),
-        "RAGGED": F.col("_ragged").isNotNull() if "_ragged" in rows.columns else F.lit(False),
     }
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), code) for code, bad in rules.items()]), lambda x: x.isNotNull())
 
 
-def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """A valid canonical manifest, or BadFile: exact header, valid rows, unique items, paths unique in any case."""
-    if problems := header_problems(header(spark, path), CANONICAL, exact=True):
-        raise BadFile(problems[0])
-    rows = read_csv(spark, path, CANONICAL)
-    if not (bad := rows.withColumn("_problems", canonical_problems(rows)).filter(F.size("_problems") > 0)).isEmpty():
-        raise BadFile(bad.first()["_problems"][0])
+def read_canonical(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """A valid canonical manifest, or BadFile: sound CSV, exact header, valid rows, unique items, paths unique in any case."""
+    rows = strict_rows(spark, path, CANONICAL, most_bytes)
+    if bad := rows.withColumn("_problems", canonical_problems(rows)).filter(F.size("_problems") > 0).orderBy("_record").first():
+        raise BadFile(f"{bad['_problems'][0]} in record {bad['_record']}")
     for key in (F.col("candidate_id"), text.casefold(F.col("relative_path"))):
         if not rows.groupBy(key.alias("_key")).count().filter("count > 1").isEmpty():
             raise BadFile("REPEATED")
-    return rows.drop("_ragged")
+    return rows.drop("_record")
 
 
 def write_canonical(rows: DataFrame, path: str) -> None:

@@ -198,7 +198,7 @@ def test_metrics_of_a_small_confusion(spark):
 
 def test_export_files_are_read_as_a_whole_or_not_at_all(spark, tmp_path):
     uuid = "00000000-0000-0000-0000-00000000000{}"
-    row = lambda i, **k: {"batch_id": uuid.format(9), "candidate_id": uuid.format(i), "review_id": uuid.format(i), "receipt_token": "t" * 24, "action": "ADD", "review_version": "1", "species_code": "COD", "target_relative_path": f"images/COD/{i}.jpg", "image_origin_allowlist": '["a.org"]', "attribution": 'says "hi",\nand more'} | k
+    row = lambda i, **k: {"batch_id": uuid.format(9), "candidate_id": uuid.format(i), "review_id": uuid.format(i), "receipt_token": "t" * 24, "action": "ADD", "review_version": "1", "species_code": "COD", "target_relative_path": f"images/COD/{uuid.format(i)}.jpg", "image_origin_allowlist": '["a.org"]', "preview_url": "https://a.org/1.jpg", "original_url": "HTTPS://A.org/2?x", "source_url": "https://b.org", "license": "CC0", "attribution": 'says "hi",\nand more'} | k
 
     def write(name, rows, columns=manifests.EXPORT):
         quote = lambda v: '"' + v.replace('"', '""') + '"'
@@ -210,6 +210,14 @@ def test_export_files_are_read_as_a_whole_or_not_at_all(spark, tmp_path):
     for name, rows, columns, code in (("a.csv", [row(1), row(1)], manifests.EXPORT, "REPEATED"), ("b.csv", [row(1, action="DROP")], manifests.EXPORT, "BAD_ACTION"), ("c.csv", [row(1)], manifests.EXPORT[::-1], "HEADER_ORDER"), ("d.csv", [row(1), row(2, receipt_token="u" * 24)], manifests.EXPORT, "MIXED_BATCH")):
         with pytest.raises(manifests.BadFile, match=code):
             manifests.load_export(spark, write(name, rows, columns))
+    broken = {"BAD_PATH": {"target_relative_path": "images/../x.jpg"}, "BAD_SHAPE": {"action": "MOVE"}, "BAD_CODE": {"species_code": "NUL"}, "BAD_URL": {"preview_url": "https://other.org/a"}, "BAD_VERSION": {"review_version": "9223372036854775808"}, "BAD_TEXT": {"license": " "}, "TOO_LONG": {"creator": "x" * 4097}, "BAD_HOSTS": {"image_origin_allowlist": "[]"}}
+    rows = spark.createDataFrame([(k, *[row(1, **c).get(x, "") for x in manifests.EXPORT]) for k, c in broken.items()], ", ".join(f"{x} string" for x in ("code", *manifests.EXPORT)))
+    assert all(r.code in r.found for r in rows.select("code", manifests.export_problems(rows).alias("found")).collect())
+    body = (tmp_path / "good.csv").read_bytes()
+    for name, raw, code in (("q", body + b'a"b,', "QUOTE_IN_FIELD in record 4"), ("t", body + b"a,b\n", "RAGGED in record 4"), ("u", body + b"\xff", "BAD_ENCODING"), ("v", body + b"x" * manifests.EXPORT_BYTES, "FILE_TOO_LARGE")):
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises(manifests.BadFile, match=code):
+            manifests.load_export(spark, str(tmp_path / name))
     lenient = manifests.read_manifest(spark, write("m.csv", [{"image_id": "x", "extra": "y"}], ["image_id", "extra"]))
     assert lenient.columns == list(manifests.MANIFEST) and lenient.first()["image_id"] == "x" and lenient.first()["status"] == ""
     assert manifests.read_manifest(spark, str(tmp_path / "none.csv")).count() == 0
