@@ -26,11 +26,13 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("bad", F.coalesce(F.col("n") == F.min(F.when(F.length("text") % 7 == 3, F.col("n"))).over(Window.partitionBy("file")), F.lit(False)))
 
 
-def _written(s: SparkSession, rows: DataFrame, name: str) -> str:
-    """A folder with the lines of each file (file, n, line) in a file of their own, ended by CRLF."""
+def _written(s: SparkSession, rows: DataFrame, name: str, head: Column | None = None) -> str:
+    """A folder with the lines of each file (file, n, line) in a file of their own, ended by CRLF; ``head`` comes before the line of n = 1."""
     path = scratch.folder(s, name)
-    lines = rows.select("file", "n", F.concat("line", F.lit("\r")).alias("line")).repartition("file").sortWithinPartitions("file", "n")
-    lines.drop("n").write.partitionBy("file").text(path)
+    lines = F.array("line") if head is None else F.when(F.col("n") == 1, F.array(head, F.col("line"))).otherwise(F.array("line"))
+    # with a number, as Spark may deal a repartition without one anew
+    rows = rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "n")
+    rows.select("file", F.explode(lines).alias("line")).select("file", F.concat("line", F.lit("\r")).alias("line")).write.partitionBy("file").text(path)
     return path
 
 
@@ -54,8 +56,7 @@ def import_files(s: SparkSession, d: str) -> DataFrame:
     text = F.concat(text, F.when((kind == 2) & F.col("bad"), "x").otherwise(""), F.when((kind == 1) & (F.length("text") % 11 == 0), ",more").otherwise(""))
     line = F.concat_ws(",", _quoted(F.col("code")), F.lit("GBIF"), F.concat(F.lit("r"), F.col("doc_id").cast("string")), F.lit("https://a.org/1"), F.lit('"https://a.org/1.jpg"'), F.lit("CC0"), text)
     head = F.when(kind == 3, ",".join(c if c != "license" else "licence" for c in _COLUMNS)).otherwise(",".join(_COLUMNS))
-    first = rows.filter("n = 1").select("file", F.lit(0).alias("n"), head.alias("line"))
-    path = _written(s, rows.select("file", "n", line.alias("line")).unionByName(first), "import-files")
+    path = _written(s, rows.select("file", "n", line.alias("line")), "import-files", head)
     report, read = manifests.import_files(s, path)
     read = read.select("file", "row", F.col("values")["source_record_id"].alias("record_id"), F.col("values")["seafood_code"].alias("code"), F.sha2(F.col("values")["attribution"], 256).alias("text_sha256"))
     return report.join(read, "file", "left").select(_file().alias("file"), report["code"].alias("file_code"), "total", "ragged", "row", "record_id", read["code"].alias("code"), "text_sha256")

@@ -161,12 +161,12 @@ def _lines(text: DataFrame) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, pa.RecordBatch]]:
-    """Key, row and batch of each line."""
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, pa.RecordBatch, bytes]]:
+    """Key, row and batch of each line, and the line."""
     for b in batches:
-        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for i, k in enumerate(keys):
-            yield k, i, b
+        keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        for i, (k, raw) in enumerate(zip(keys, b.column(2), strict=True)):
+            yield k, i, b, raw.as_py()
 
 
 _EFFECT = "struct<end:int,records:bigint,head:bigint,closed:boolean,tail:bigint,error:string,at:bigint>"
@@ -184,12 +184,12 @@ def blocks(text: DataFrame, dialect: Dialect) -> DataFrame:
             values = [[now[0]], [now[1]], [size], [lines], [valid], [raw.endswith(b"\r")], *([asdict(x.effect())] for x in both)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), _EFFECT_ARROW, _EFFECT_ARROW), strict=True)], names=["file", "block", "bytes", "lines", "valid", "cr", "outside", "inside"])
 
-        for key, i, b in _in_blocks(batches):
+        for key, _, _, line in _in_blocks(batches):
             if key != now:
                 if now:
                     yield row()
                 now, size, lines, valid, both = key, 0, 0, True, (Scanner(dialect, OUT), Scanner(dialect, IN))
-            raw = b.column(2)[i].as_py()
+            raw = line
             size, lines = size + len(raw) + 1, lines + 1
             if valid and not raw.isascii():
                 try:
@@ -338,7 +338,7 @@ def _records(spark: SparkSession, lines: DataFrame, starts: DataFrame, files: Da
                 out = []
 
         base = 0
-        for key, i, b in _in_blocks(batches):
+        for key, i, b, raw in _in_blocks(batches):
             if key != now:
                 if now:
                     done()
@@ -347,7 +347,6 @@ def _records(spark: SparkSession, lines: DataFrame, starts: DataFrame, files: Da
                 inherited = state == IN
             if scanner.error or first >= stop:
                 continue
-            raw = b.column(2)[i].as_py()
             scanner.line(raw)
             if inherited:
                 if scanner.first < 0:
