@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from siltstone.plans import catalogue, exchange, files  # noqa: F401  they register their queries
+from siltstone.plans import catalogue, exchange, files, history  # noqa: F401  they register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
