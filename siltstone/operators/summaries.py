@@ -89,8 +89,3 @@ def filled(rows: DataFrame, source: DataFrame, key: str, columns: Sequence[str])
     """rows with null columns taken from ``source`` (one row a key): snapshots that older rows lack."""
     given = source.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     return rows.join(given, key, "left").select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
-
-
-def business_order(df: DataFrame, id_column: str) -> DataFrame:
-    """The order of full manifests: categories by their order and code, then source and id."""
-    return df.orderBy("sort_order", "code", "source", id_column)

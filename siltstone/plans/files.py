@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans import views as v
 from siltstone.plans.catalogue import query
-from siltstone.sources import manifests, scratch, strict_csv
+from siltstone.sources import manifests, ordered_csv, scratch, strict_csv
 
 #: Documents in a file.
 FILE_ROWS = 200
@@ -75,3 +75,16 @@ def strict_files(s: SparkSession, d: str) -> DataFrame:
     path = _written(s, rows.select("file", "n", line.alias("line")), "strict-files")
     found = strict_csv.read(s, path, strict_csv.Dialect(rfc=True))
     return found.files.select(_file().alias("file"), "records", "error", "error_record")
+
+
+@query("""SELECT row_number() OVER (ORDER BY coalesce(lang, ''), coalesce(source, ''), doc_id) AS place, doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents""")
+def ordered_export(s: SparkSession, d: str) -> DataFrame:
+    """Documents exported in order, and where the joined parts have them."""
+    path = scratch.folder(s, "export")
+    rows = v.table(s, d, "documents").select("doc_id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
+    ordered_csv.write(rows, path, ["doc_id", "lang", "source", "text"], ["lang", "source", "doc_id"])
+    found = strict_csv.read(s, path, strict_csv.Dialect(rfc=True, field_chars=1 << 30))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.files.select("file", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("before"))  # a row a part
+    placed = found.records.join(parts, "file").withColumn("place", F.col("before") + F.col("record") - 1).filter("place > 0")
+    return placed.select("place", F.col("fields")[0].cast("long").alias("doc_id"), F.sha2(F.col("fields")[3], 256).alias("text_sha256"))

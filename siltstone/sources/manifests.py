@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text, urls
-from siltstone.sources import strict_csv
+from siltstone.sources import ordered_csv, strict_csv
 
 #: The columns of the item manifest, the export file and the canonical manifest, in order; what an import needs.
 MANIFEST = (
@@ -209,6 +209,27 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], max_rows: int =
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("maxRecordsPerFile", max_rows).csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_export(rows: DataFrame, path: str) -> None:
+    """An export (EXPORT columns) in order of species and item, as ordered parts."""
+    ordered_csv.write(rows, path, EXPORT, ["species_code", "candidate_id", "review_version"])
+
+
+def write_manifest(rows: DataFrame, path: str, order: Sequence[str | Column]) -> None:
+    """The 30 manifest columns of ``rows`` ('' for those that they lack), other columns left out, in place of what is there."""
+    whole = rows.select("*", *[F.lit("").alias(c) for c in MANIFEST if c not in rows.columns])
+    ordered_csv.write(whole, path, MANIFEST, order, overwrite=True)
+
+
+def write_full_manifest(items: DataFrame, path: str, id_column: str) -> None:
+    """Every item as a row still to be reviewed, by the categories' order and code, source and id.
+
+    items: ``id_column``, sort_order, code, and as far as they have them the manifest's columns.
+    """
+    review = {"image_context": "REVIEW", "whole_fish": "REVIEW", "exact_species_verified": "REVIEW", "split": "UNASSIGNED", "status": "CANDIDATE"}
+    rows = items.withColumns({"image_id": F.col(id_column), "seafood_code": F.col("code")} | {k: F.lit(x) for k, x in review.items()})
+    write_manifest(rows, path, ["sort_order", "code", "source_dataset", id_column])
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Operations appended as JSON lines."""
     df.write.mode("append").json(path)
