@@ -14,7 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 #: What keys of secrets hold, in any case, and what stands for their values.
 SECRET = re.compile("password|hash|token|csrf|secret", re.IGNORECASE)
@@ -61,3 +61,22 @@ def digest(c: Column, *, ascii_only: bool = False) -> Column:
 def redacted(c: Column) -> Column:
     """The canonical text without secrets."""
     return _over(c, without_secrets, False)
+
+
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_BRACKETS = re.compile(r"[\[\]{}]")
+
+
+def _depth(text: str) -> int:
+    """The deepest nesting of brackets outside strings, found without parsing."""
+    now = most = 0
+    for m in _BRACKETS.finditer(_STRINGS.sub("", text)):
+        now += 1 if m.group() in "[{" else -1
+        most = max(most, now)
+    return most
+
+
+@F.pandas_udf(IntegerType())
+def depth(texts: pd.Series) -> pd.Series:
+    """How deep objects and arrays of a JSON text are nested."""
+    return texts.map(_depth, na_action="ignore").astype("Int64")

@@ -88,3 +88,26 @@ def ordered_export(s: SparkSession, d: str) -> DataFrame:
     parts = found.files.select("file", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("before"))  # a row a part
     placed = found.records.join(parts, "file").withColumn("place", F.col("before") + F.col("record") - 1).filter("place > 0")
     return placed.select("place", F.col("fields")[0].cast("long").alias("doc_id"), F.sha2(F.col("fields")[3], 256).alias("text_sha256"))
+
+
+_ITEM = """'{"candidate_id":"c' || CAST(doc_id AS STRING) || '","review_id":null,"review_version":' || CAST(doc_id AS STRING) || ',"status":"' || CASE WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END || '","sha256":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"x"' END || ',"relative_path":' || CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '"p [{"' END || ',"error":' || CASE WHEN doc_id % 5 = 0 THEN '"[[[[[[[[["' ELSE 'null' END || CASE WHEN doc_id % 200 = 7 AND doc_id // 200 % 4 = 1 THEN ',"more":1' WHEN doc_id % 200 = 7 AND doc_id // 200 % 4 = 2 THEN ',"more":[[[[[[1]]]]]]' ELSE '' END || '}'"""
+_BODY = f"""SELECT doc_id // 200 AS file, '{{"batch_id":"b' || CAST(doc_id // 200 AS STRING) || '","items":[' || string_agg({_ITEM}, ',' ORDER BY doc_id) || CASE WHEN doc_id // 200 % 4 = 3 THEN '' ELSE ']}}' END AS body, count(*) AS n, bool_or(doc_id % 200 = 7) AS odd FROM documents GROUP BY doc_id // 200"""
+_SHAPE = "CASE WHEN doc_id % 3 > 0 THEN CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'BAD_SUCCESS' END ELSE CASE WHEN doc_id % 5 > 0 OR doc_id % 4 > 0 THEN 'BAD_FAILURE' END END"
+
+
+@query(f"""WITH bodies AS ({_BODY}), judged AS (SELECT file, CASE WHEN file % 4 = 3 THEN 'BAD_JSON' WHEN file % 4 = 1 AND odd THEN 'UNKNOWN_KEY' WHEN file % 4 = 2 AND odd THEN 'TOO_DEEP' END AS file_problem, strlen(body) + 1 AS size, sha256(body || chr(10)) AS sha256, n FROM bodies)
+    SELECT file, CAST(size AS BIGINT) AS size, sha256, file_problem, CASE WHEN file_problem IS NULL THEN n END AS n_items, CASE WHEN file_problem IS NULL THEN 'c' || CAST(doc_id AS VARCHAR) END AS candidate_id, CASE WHEN file_problem IS NULL THEN {_SHAPE} END AS problem FROM judged LEFT JOIN (SELECT doc_id, doc_id // 200 AS file FROM documents) USING (file) WHERE file_problem IS NULL
+    UNION ALL SELECT file, size, sha256, file_problem, NULL, NULL, NULL FROM judged WHERE file_problem IS NOT NULL""")
+def receipt_files(s: SparkSession, d: str) -> DataFrame:
+    """Receipt files of documents: sound ones, and ones with an unknown key, too deep a value or an open end."""
+    file = F.expr("doc_id div 200")
+    docs = v.table(s, d, "documents").select("doc_id", file.alias("file"), F.expr(_ITEM.replace("doc_id // 200", "(doc_id div 200)")).alias("item"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), ",")
+    body = F.concat(F.lit('{"batch_id":"b'), F.col("file").cast("string"), F.lit('","items":['), F.col("items"), F.when(F.col("file") % 4 == 3, "").otherwise("]}"))
+    rows = docs.groupBy("file").agg(items.alias("items")).select("file", body.alias("body"))
+    path = scratch.folder(s, "receipts")
+    rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file").select("file", "body").write.partitionBy("file").text(path)
+    report, items = manifests.receipt_files(s, path)
+    items = items.select("file", "candidate_id", F.col("problem").alias("item_problem"))
+    joined = report.join(items, "file", "left")
+    return joined.select(_file().alias("file"), "size", "sha256", F.col("problem").alias("file_problem"), "n_items", "candidate_id", F.col("item_problem").alias("problem"))

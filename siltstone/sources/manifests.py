@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions import text, urls
+from siltstone.functions import canonical_json, text, urls
 from siltstone.sources import ordered_csv, strict_csv
 
 #: The columns of the item manifest, the export file and the canonical manifest, in order; what an import needs.
@@ -177,13 +177,45 @@ def load_export(spark: SparkSession, path: str, most_rows: int = EXPORT_ROWS, mo
     return rows.drop("_record")
 
 
-def read_receipt(spark: SparkSession, path: str) -> DataFrame:
-    """batch_id, position and the fields of each receipt item, with what is wrong with its shape."""
-    rows = spark.read.schema(RECEIPT).json(path, multiLine=True).select("batch_id", F.posexplode("items").alias("position", "item")).select("batch_id", "position", "item.*")
+def _item_shape() -> Column:
+    """What is wrong with the shape of a receipt's item."""
     done = F.col("status") == "SUCCEEDED"
     shape = F.when(done & (F.col("sha256").isNull() | F.col("relative_path").isNull() | F.col("error").isNotNull()), "BAD_SUCCESS")
     shape = shape.when(F.col("status") == "FAILED", F.when(F.col("error").isNull() | F.col("sha256").isNotNull() | F.col("relative_path").isNotNull(), "BAD_FAILURE")).when(~F.coalesce(done, F.lit(False)), "BAD_STATUS")
-    return rows.withColumn("problem", shape)
+    return shape
+
+
+def read_receipt(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, position and the fields of each receipt item, with what is wrong with its shape."""
+    rows = spark.read.schema(RECEIPT).json(path, multiLine=True).select("batch_id", F.posexplode("items").alias("position", "item")).select("batch_id", "position", "item.*")
+    return rows.withColumn("problem", _item_shape())
+
+
+#: Limits of a receipt's body.
+RECEIPT_BYTES, RECEIPT_ITEMS, RECEIPT_DEPTH = 20 * 1024 * 1024, 10_000, 8
+
+
+def receipt_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Receipt files as they would be taken one by one: a report of each, and the items of sound ones.
+
+    report: file, size, sha256 (null if too large), problem (BODY_TOO_LARGE, BAD_ENCODING, TOO_DEEP, BAD_JSON, UNKNOWN_KEY,
+    TOO_MANY_ITEMS or null), n_items. A file that is too large is never read, one that is too deep is never parsed. items:
+    file, batch_id, position, the item's fields, problem of its shape.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), "content")
+    large = files.filter(F.col("size") > RECEIPT_BYTES).select("file", "size")
+    body = F.regexp_replace(F.try_validate_utf8("content"), "^\ufeff", "")
+    rows = files.filter(F.col("size") <= RECEIPT_BYTES).select("file", "size", F.sha2("content", 256).alias("sha256"), body.alias("body"))
+    rows = rows.withColumn("deep", canonical_json.depth(F.coalesce("body", F.lit(""))) > RECEIPT_DEPTH)
+    keys = F.json_object_keys(F.when(~F.col("deep"), F.col("body")))
+    rows = rows.withColumns({"keys": keys, "receipt": F.from_json(F.when(~F.col("deep"), F.col("body")), RECEIPT, {"mode": "PERMISSIVE"}), "raw": F.from_json(F.when(~F.col("deep"), F.col("body")), "items array<map<string,string>>")})
+    known = [f.name for f in RECEIPT["items"].dataType.elementType.fields]
+    unknown = (F.size(F.array_except("keys", F.array(F.lit("batch_id"), F.lit("items")))) > 0) | F.exists("raw.items", lambda x: F.size(F.array_except(F.map_keys(x), F.array(*map(F.lit, known)))) > 0)
+    problem = F.when(F.col("body").isNull(), "BAD_ENCODING").when(F.col("deep"), "TOO_DEEP").when(F.col("keys").isNull() | F.col("receipt.items").isNull() | F.col("receipt.batch_id").isNull(), "BAD_JSON").when(F.coalesce(unknown, F.lit(False)), "UNKNOWN_KEY").when(F.size("receipt.items") > RECEIPT_ITEMS, "TOO_MANY_ITEMS")
+    judged = rows.select("file", "size", "sha256", problem.alias("problem"), F.when(problem.isNull(), F.size("receipt.items")).cast("long").alias("n_items"), "receipt")
+    report = judged.drop("receipt").unionByName(large.select("file", "size", F.lit(None).cast("string").alias("sha256"), F.lit("BODY_TOO_LARGE").alias("problem"), F.lit(None).cast("long").alias("n_items")))
+    items = judged.filter("problem IS NULL").select("file", "receipt.batch_id", F.posexplode("receipt.items").alias("position", "item")).select("file", "batch_id", "position", "item.*")
+    return report, items.withColumn("problem", _item_shape())
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators, functions, readers and streams on small cases with known results."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -223,6 +224,26 @@ def test_export_files_are_read_as_a_whole_or_not_at_all(spark, tmp_path):
     assert manifests.read_manifest(spark, str(tmp_path / "none.csv")).count() == 0
 
 
+def test_receipt_files_are_bounded_before_they_are_parsed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifests, "RECEIPT_BYTES", 3000)
+    monkeypatch.setattr(manifests, "RECEIPT_ITEMS", 3)
+    item = {"candidate_id": "1", "status": "SUCCEEDED", "sha256": "a", "relative_path": "p ]]]]]]]]]]"}
+    bodies = {
+        "good": json.dumps({"batch_id": "b", "items": [item, {"status": "FAILED", "error": "\\"}]}), "bom": "\ufeff" + json.dumps({"batch_id": "b", "items": []}), "large": json.dumps({"batch_id": "b" * 3000, "items": []}),
+        "deep": '{"batch_id": "b", "items": ' + "[" * 9 + "]" * 9 + "}", "many": json.dumps({"batch_id": "b", "items": [item] * 4}), "key": json.dumps({"batch_id": "b", "items": [], "more": 1}), "inner": json.dumps({"batch_id": "b", "items": [item | {"x": 1}]}),
+        "open": '{"batch_id": "b", "items": [', "none": "", "list": "[]",
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    (tmp_path / "bytes").write_bytes(b'{"batch_id": "\xff", "items": []}')
+    report, items = manifests.receipt_files(spark, str(tmp_path))
+    got = {x.file.rsplit("/", 1)[1]: (x.problem, x.n_items) for x in report.collect()}
+    codes = {"large": "BODY_TOO_LARGE", "deep": "TOO_DEEP", "many": "TOO_MANY_ITEMS", "key": "UNKNOWN_KEY", "inner": "UNKNOWN_KEY", "open": "BAD_JSON", "list": "BAD_JSON", "bytes": "BAD_ENCODING"}
+    assert got == {k: (c, None) for k, c in codes.items()} | {"good": (None, 2), "bom": (None, 0)}  # an empty file has no rows
+    assert {x.file.rsplit("/", 1)[1]: x.sha256 for x in report.collect()} == {k: None if k == "large" else hashlib.sha256((tmp_path / k).read_bytes()).hexdigest() for k in got}
+    assert [(x.position, x.relative_path, x.problem) for x in items.orderBy("position").collect()] == [(0, item["relative_path"], None), (1, None, None)]
+
+
 def test_receipts_and_configurations(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"batch_id": "b", "items": [{"candidate_id": "1", "status": "SUCCEEDED", "sha256": "a", "relative_path": "p"}, {"candidate_id": "2", "status": "FAILED", "sha256": "a", "error": "e"}, {"candidate_id": "3", "status": "?"}]}))
     items = manifests.read_receipt(spark, str(tmp_path / "r.json"))
