@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import rules, text, urls
+from siltstone.functions import hosts, rules, text, urls
 
 #: Fields of an import file with the characters each may have.
 FIELDS = {
@@ -41,7 +41,7 @@ def _problem(code: str | Column, counter: str, host: Column | None = None) -> Co
 
 def _address(c: Column) -> Column:
     """The address in one form, or null if it is not fit for use."""
-    return urls.normalized(F.regexp_replace(c, "^(?i:(https?)://)", "https://"))
+    return hosts.normalized(c)
 
 
 def _address_problem(raw: Column, address: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import rules
+from siltstone.functions import hosts, rules
 from siltstone.operators import batches, classify, imports, latest, summaries, sync
 from siltstone.plans import catalogue as c
 from siltstone.plans import views as v
@@ -353,3 +353,17 @@ def error_categories(s: SparkSession, d: str) -> DataFrame:
     stage = F.when(F.col("l_returnflag") == "A", "download").otherwise("operation")
     code = F.when(F.col("l_returnflag") == "A", F.when(done, "NETWORK_ERROR").otherwise("TIMED_OUT")).when(F.col("l_returnflag") == "N", F.when(done, "PATH_UNSAFE").otherwise("NEVER_HEARD_OF")).otherwise(F.when(done, "INDEX_READ_FAILED").otherwise("LOG_SETUP_FAILED"))
     return v.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rules.error_category(stage, code).alias("category"))
+
+
+# -- hosts ------------------------------------------------------------------------------------------------------------
+
+_HOSTED = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'http://10.' || CAST(page_id % 256 AS STRING) || '.0.1/' WHEN 1 THEN 'https://8.8.' || CAST(page_id % 256 AS STRING) || '.' || CAST(page_id % 300 AS STRING) || ':8080/x' WHEN 2 THEN 'http://bücher.example/' || CAST(page_id AS STRING) WHEN 3 THEN 'https://[2001:4860::' || CAST(page_id % 10000 AS STRING) || ']?q'
+    WHEN 4 THEN 'https://[fe80::' || CAST(page_id % 10000 AS STRING) || ']/' WHEN 5 THEN 'https://172.' || CAST(page_id % 64 AS STRING) || '.1.1/' WHEN 6 THEN 'https://例え.テスト#' || CAST(page_id AS STRING) WHEN 7 THEN url ELSE 'HTTPS://Host' || CAST(page_id AS STRING) || '.ORG' END AS url FROM pages"""
+
+
+@query(f"""WITH hosted AS ({_HOSTED}) SELECT page_id, url, CASE page_id % 9 WHEN 1 THEN url WHEN 2 THEN 'https://xn--bcher-kva.example/' || page_id WHEN 3 THEN replace(url, '?', '/?') WHEN 5 THEN CASE WHEN page_id % 64 NOT BETWEEN 16 AND 31 THEN url END WHEN 6 THEN 'https://xn--r8jz45g.xn--zckzah/#' || page_id WHEN 8 THEN 'https://host' || page_id || '.org/'
+    WHEN 7 THEN CASE WHEN regexp_full_match(url, 'https?://([a-z0-9-]+[.])+[a-z]+(/.*)?') AND NOT regexp_matches(url, '\\s') THEN regexp_replace(regexp_replace(url, '^https?', 'https'), '^(https://[^/]*)$', '\\1/') END END AS normalized FROM hosted""")
+def url_hosts(s: SparkSession, d: str) -> DataFrame:
+    """URLs of every page, most with hosts that are addresses or not ASCII, in one form or null."""
+    rows = s.sql(_HOSTED.replace("FROM pages", "FROM {pages}"), pages=v.table(s, d, "pages"))
+    return rows.select("page_id", "url", hosts.normalized(F.col("url")).alias("normalized"))
