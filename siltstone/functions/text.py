@@ -79,10 +79,10 @@ def is_safe_code(c: Column) -> Column:
 
 
 def is_safe_path(c: Column, most: int = 255) -> Column:
-    """A relative path of plain components: no backslash, drive, dot segment, trailing dot or space, device name."""
+    """A relative path of plain components: no backslash, drive, dot segment, trailing dot or space, device name; ``most`` UTF-16 units."""
     parts = F.split(c, "/")
     stem = lambda p: F.upper(F.element_at(F.split(p, r"\."), 1))
-    return ~c.rlike(r"[\\:]") & ~has_control(c) & (F.length(c) <= most) & F.forall(parts, lambda p: (p != "") & ~p.isin(".", "..") & ~p.rlike(r"[. ]\z") & ~stem(p).isin(*RESERVED))
+    return ~c.rlike(r"[\\:]") & ~has_control(c) & (F.octet_length(F.encode(c, "UTF-16BE")) <= 2 * most) & F.forall(parts, lambda p: (p != "") & ~p.isin(".", "..") & ~p.rlike(r"[. ]\z") & ~stem(p).isin(*RESERVED))
 
 
 def source_date(c: Column) -> Column:

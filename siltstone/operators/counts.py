@@ -18,13 +18,21 @@ def capped_counts(df: DataFrame, key: str, ordinal: str, most: int = 1000) -> Da
     return named.groupBy(F.when(F.col("_kept").isNull(), F.lit(OTHER)).otherwise(F.col(key)).alias(key)).agg(F.sum("n").alias("n"))
 
 
-def issue_groups(issues: DataFrame, most: int = 10) -> DataFrame:
-    """code, blocking: count, the first ``most`` (row, related_row) and how many more there are."""
-    group = ["code", "blocking"]
-    ranked = issues.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("row"))).filter(F.col("_n") <= most)
-    samples = ranked.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("row", "related_row"))).alias("samples"))
+def issue_groups(issues: DataFrame, most: int = 10, group: Sequence[str] = ("code", "blocking")) -> DataFrame:
+    """Columns of ``group`` (null is a value): count, the first ``most`` (row, related_row) and how many more there are.
+
+    An import's report groups by code, message, blocking and host. A group's samples are the least of what its tasks
+    keep, so a group that holds a third of all issues isn't gathered anywhere.
+    """
+    keyed = issues.select(*group, F.struct("row", "related_row").alias("_s"))
+    by = Window.partitionBy(*group).orderBy("_s")
+    ranked = keyed.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most)
+    samples = ranked.groupBy(*group).agg(F.array_sort(F.collect_list("_s")).alias("samples"))
     counted = issues.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(samples, group).withColumn("omitted", F.greatest(F.col("n") - most, F.lit(0)).cast("long"))
+    same = F.lit(True)
+    for c in group:
+        same = same & counted[c].eqNullSafe(samples[c])
+    return counted.join(samples, same).select(*[counted[c] for c in group], "n", "samples", F.greatest(F.col("n") - most, F.lit(0)).cast("long").alias("omitted"))
 
 
 def bounded_details(issues: DataFrame, most: int = 100) -> DataFrame:

@@ -24,6 +24,18 @@ def by_class(predictions: DataFrame) -> DataFrame:
     return joined.select("class", "support", ratio(F.col("tp"), F.col("said")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"))
 
 
+def overall(predictions: DataFrame, top: int = 3) -> DataFrame:
+    """One row: n, accuracy, macro_f1 (mean over the labels, 0 where a class has none) and top_rate, how often the label is among the ``top`` first of ``ranked``.
+
+    predictions: label, predicted, ranked (array of classes, likeliest first).
+    """
+    right = lambda c: F.count_if(c) / F.count(F.lit(1))
+    hit = F.array_contains(F.slice("ranked", 1, top), F.col("label"))
+    facts = predictions.agg(F.count(F.lit(1)).alias("n"), right(F.col("label") == F.col("predicted")).alias("accuracy"), right(hit).alias("top_rate"))
+    macro = by_class(predictions.select("label", "predicted")).agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("macro_f1"))
+    return facts.join(macro).select("n", "accuracy", "macro_f1", "top_rate")
+
+
 def sweep(predictions: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """threshold, n_above, coverage, precision, all thresholds in one aggregation."""
     right = F.col("predicted") == F.col("label")

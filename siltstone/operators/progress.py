@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import trimmed
+
 DECISIONS = ("APPROVED", "REJECTED", "UNSURE")
 
 
@@ -107,9 +109,14 @@ def facts(decision: Column, reason: Column) -> Column:
     )
 
 
+def decision_notes(notes: Column) -> Column:
+    """Notes as they are kept: trimmed, null if nothing is left."""
+    return F.nullif(trimmed(notes), F.lit(""))
+
+
 def decision_problem(decision: Column, reason: Column, notes: Column) -> Column:
     """What is wrong with a decision payload, or null: a reason iff rejected, notes with OTHER."""
-    blank = F.trim(F.coalesce(notes, F.lit(""))) == ""
+    blank = decision_notes(notes).isNull()
     return (
         F.when(~decision.isin(*DECISIONS), "UNKNOWN_DECISION")
         .when((decision == "REJECTED") & reason.isNull(), "REASON_REQUIRED")

@@ -308,6 +308,14 @@ def decision_facts(s: SparkSession, d: str) -> DataFrame:
     return v.review(s, d).select("review_id", F.inline(F.array(progress.facts(F.col("decision"), reason))), progress.decision_problem(F.col("decision"), reason, notes).alias("problem"))
 
 
+@query(sql(r"SELECT review_id, CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN NULL ELSE 'seen ' || decision || chr(10) || 'twice' END AS notes FROM review"))
+def kept_notes(s: SparkSession, d: str) -> DataFrame:
+    """Notes of reviews as they are kept: without white space around them, null if nothing else is in them."""
+    i = F.col("item_id")
+    raw = F.when(i % 5 == 1, " \t\n").when(i % 5 > 1, F.concat(F.lit("\n seen "), F.col("decision"), F.lit("\ntwice\u2003 \t")))
+    return v.review(s, d).select("review_id", progress.decision_notes(raw).alias("notes"))
+
+
 _HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 
@@ -377,6 +385,13 @@ def class_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.by_class(_best(s, d))
 
 
+@query(f"""WITH {_LOGITS}, {_RANKED}, {_BEST}, c AS (SELECT l.label AS class, count(*) FILTER (b.label = l.label AND predicted = l.label) AS tp, count(*) FILTER (predicted = l.label) AS said, count(*) FILTER (b.label = l.label) AS support FROM best b, (SELECT DISTINCT label FROM embeddings) l GROUP BY 1)
+    SELECT count(*) AS n, round(count(*) FILTER (predicted = label) / count(*), 9) AS accuracy, (SELECT round(avg(coalesce(2 * tp / nullif(said + support, 0), 0)), 9) FROM c) AS macro_f1, round((SELECT count(*) FROM ranked WHERE rank <= 3 AND class = label) / count(*), 9) AS top_rate FROM best""")
+def overall_metrics(s: SparkSession, d: str) -> DataFrame:
+    rows = _predictions(s, d).select("label", F.col("ranked")[0]["class"].alias("predicted"), F.transform("ranked", lambda r: r["class"].cast("long")).alias("ranked"))
+    return metrics.overall(rows.withColumn("label", F.col("label").cast("long"))).select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "top_rate")])
+
+
 _SWEEP = [round(0.105 + 0.005 * i, 3) for i in range(14)]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import hosts, rules
-from siltstone.operators import batches, classify, imports, latest, summaries, sync
+from siltstone.operators import batches, classify, counts, imports, latest, summaries, sync
 from siltstone.plans import catalogue as c
 from siltstone.plans import views as v
 from siltstone.plans.catalogue import query
@@ -367,3 +367,12 @@ def url_hosts(s: SparkSession, d: str) -> DataFrame:
     """URLs of every page, most with hosts that are addresses or not ASCII, in one form or null."""
     rows = s.sql(_HOSTED.replace("FROM pages", "FROM {pages}"), pages=v.table(s, d, "pages"))
     return rows.select("page_id", "url", hosts.normalized(F.col("url")).alias("normalized"))
+
+
+@query(sql("""SELECT code, 'Row rejected: ' || code AS message, TRUE AS blocking, host, count(*) AS n, array_to_string(list_sort(list(row))[1:10], ',') AS sample_rows, greatest(count(*) - 10, 0) AS omitted FROM (SELECT row, problem AS code, CASE WHEN problem = 'UNAPPROVED_IMAGE_HOST' THEN 'cdn.other.net' END AS host FROM checked WHERE problem IS NOT NULL) GROUP BY code, host""", *_NORMAL))
+def import_issue_groups(s: SparkSession, d: str) -> DataFrame:
+    """Problems of an import's rows by code, message, blocking and host, with the first rows of each."""
+    rows = imports.normalise(_raw(s, d), _HOSTS).filter("problem IS NOT NULL")
+    issues = rows.select(F.col("problem").alias("code"), F.concat(F.lit("Row rejected: "), F.col("problem")).alias("message"), F.lit(True).alias("blocking"), "host", "row", F.lit(None).cast("long").alias("related_row"))
+    groups = counts.issue_groups(issues, group=("code", "message", "blocking", "host"))
+    return groups.select("code", "message", "blocking", "host", "n", F.array_join(F.transform("samples", lambda x: x["row"].cast("string")), ",").alias("sample_rows"), "omitted")
