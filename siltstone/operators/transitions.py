@@ -120,6 +120,6 @@ def effective_status(batches: DataFrame, now: Column) -> DataFrame:
     return batches.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
 
 
-def newest_pending(batches: DataFrame, scope: str) -> DataFrame:
+def oldest_pending(batches: DataFrame, scope: str) -> DataFrame:
     """The oldest pending batch of each scope."""
     return first_by(batches.filter("status = 'pending'"), [scope], [F.col("created_at"), F.col("batch_id")])

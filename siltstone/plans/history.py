@@ -164,3 +164,11 @@ def submitted_marks(s: SparkSession, d: str) -> DataFrame:
     index = v.review(s, d).select("review_id", F.when(F.col("review_id") % 3 == 0, F.col("created_at")).cast("timestamp_ntz").alias("submitted_at"))
     now = index.filter("review_id % 2 = 0").select("review_id", F.lit("2000-01-01").cast("timestamp_ntz").alias("submitted_at"))
     return transitions.mark_submitted(index, now, ["review_id"])
+
+
+@query(sql("SELECT scope, batch_id, created_at FROM (SELECT review_id AS batch_id, item_id % 7 AS scope, created_at, decision FROM review) WHERE decision = 'UNSURE' QUALIFY row_number() OVER (PARTITION BY scope ORDER BY created_at, batch_id) = 1"))
+def oldest_pending(s: SparkSession, d: str) -> DataFrame:
+    """The pending batch of each scope that is the next to go out."""
+    status = F.when(F.col("decision") == "UNSURE", "pending").otherwise("completed")
+    rows = v.review(s, d).select(F.col("review_id").alias("batch_id"), (F.col("item_id") % 7).alias("scope"), "created_at", status.alias("status"))
+    return transitions.oldest_pending(rows, "scope").select("scope", "batch_id", "created_at")
