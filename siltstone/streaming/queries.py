@@ -14,8 +14,15 @@ from siltstone.sources import scratch
 from siltstone.streaming import expiry, limiter, limits
 
 
-#: State of timers and other keyed state is kept on disk.
-_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: State of timers and other keyed state is kept on disk, by changes rather than whole files, without room set aside in advance.
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
 
 
 def _drained(spark: SparkSession, out: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
