@@ -22,17 +22,16 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
     """Documents with their file, place in it, and whether they are the first there with a length of 3 modulo 7."""
     by = Window.partitionBy("file").orderBy("doc_id")
     docs = v.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.upper(F.coalesce("lang", F.lit(""))).alias("code"), F.expr(f"doc_id div {FILE_ROWS}").alias("file"))
-    docs = docs.withColumn("n", F.row_number().over(by))
+    # one shuffle for the windows and the files; with a number, as Spark may deal a repartition without one anew
+    docs = docs.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file").withColumn("n", F.row_number().over(by))
     return docs.withColumn("bad", F.coalesce(F.col("n") == F.min(F.when(F.length("text") % 7 == 3, F.col("n"))).over(Window.partitionBy("file")), F.lit(False)))
 
 
 def _written(s: SparkSession, rows: DataFrame, name: str, head: Column | None = None) -> str:
-    """A folder with the lines of each file (file, n, line) in a file of their own, ended by CRLF; ``head`` comes before the line of n = 1."""
+    """A folder with the lines of each file (file, n, line; a file in one task) in a file of their own, ended by CRLF; ``head`` comes before the line of n = 1."""
     path = scratch.folder(s, name)
     lines = F.array("line") if head is None else F.when(F.col("n") == 1, F.array(head, F.col("line"))).otherwise(F.array("line"))
-    # with a number, as Spark may deal a repartition without one anew
-    rows = rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "n")
-    rows.select("file", F.explode(lines).alias("line")).select("file", F.concat("line", F.lit("\r")).alias("line")).write.partitionBy("file").text(path)
+    rows.sortWithinPartitions("file", "n").select("file", F.explode(lines).alias("line")).select("file", F.concat("line", F.lit("\r")).alias("line")).write.partitionBy("file").text(path)
     return path
 
 

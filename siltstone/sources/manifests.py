@@ -114,7 +114,9 @@ def import_files(spark: SparkSession, path: str, block_bytes: int | None = None)
     record's number, the header being 1), values by header.
     """
     found = strict_csv.read(spark, path, block_bytes=block_bytes)
-    heads = found.records.filter("record = 1").select("file", F.col("fields").alias("header"))
+    # a header a file; records never meet them in a shuffle while files are few
+    few = F.broadcast if found.files.count() <= strict_csv.BROADCAST_BLOCKS else lambda df: df.hint("merge")
+    heads = few(found.records.filter("record = 1").select("file", F.col("fields").alias("header")))
     named = found.records.filter("record > 1").join(heads, "file").withColumn("same", F.size("fields") == F.size("header"))
     rows = found.files.join(heads, "file", "left").join(named.groupBy("file").agg(F.count_if(~F.col("same")).alias("n_ragged")), "file", "left")
     control = F.exists("header", lambda h: (text.trimmed(h) == "") | (text.trimmed(h) != h) | text.has_control(h))
@@ -126,7 +128,7 @@ def import_files(spark: SparkSession, path: str, block_bytes: int | None = None)
     code = F.coalesce("refused", F.when(F.col("error").isNotNull() | (F.col("n_ragged") > 0), "CSV_MALFORMED"))
     zero = lambda c: F.when(F.col("refused").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
     report = rows.select("file", "size", code.alias("code"), zero(total).alias("total"), zero(F.col("n_ragged")).alias("ragged"), "refused")
-    read = named.filter("same").join(report.filter("refused IS NULL").select("file"), "file", "left_semi")
+    read = named.filter("same").join(few(report.filter("refused IS NULL").select("file")), "file", "left_semi")
     return report.drop("refused"), read.select("file", F.col("record").alias("row"), F.map_from_arrays("header", "fields").alias("values"))
 
 
