@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans import views as v
 from siltstone.plans.catalogue import query
-from siltstone.sources import manifests, ordered_csv, scratch, strict_csv
+from siltstone.sources import manifests, ordered_csv, parsers, scratch, strict_csv
 
 #: Documents in a file.
 FILE_ROWS = 200
@@ -110,3 +110,18 @@ def receipt_files(s: SparkSession, d: str) -> DataFrame:
     items = items.select("file", "candidate_id", F.col("problem").alias("item_problem"))
     joined = report.join(items, "file", "left")
     return joined.select(_file().alias("file"), "size", "sha256", F.col("problem").alias("file_problem"), "n_items", "candidate_id", F.col("item_problem").alias("problem"))
+
+
+_CAPTURED = """'{"key":' || CAST(doc_id AS STRING) || ',"species":"' || CASE doc_id % 3 WHEN 0 THEN 'GADUS  morhua L.' ELSE 'Other' END || '","country":"' || CASE WHEN doc_id % 2 = 0 THEN 'NO' ELSE '' END || '","countryCode":"CC","eventDate":"2020","media":[{"identifier":"https://a.org/' || CAST(doc_id AS STRING) || '.jpg","license":"' || CASE doc_id % 4 WHEN 0 THEN 'cc-by' WHEN 1 THEN 'all rights' ELSE 'CC0' END || '","title":"' || sha256 || '"},{"type":"Sound","identifier":"s","license":"cc0"},{"type":"StillImage","references":"https://b.org","license":"CC0"}]}'"""
+
+
+@query(f"""WITH captured AS (SELECT doc_id, {_CAPTURED} AS record FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents)),
+    photos AS (SELECT doc_id, 'occ:' || doc_id || '/media:https://a.org/' || doc_id || '.jpg' AS source_record_id, 'https://a.org/' || doc_id || '.jpg' AS image_url, CASE WHEN doc_id % 4 = 0 THEN 'CC-BY' ELSE 'CC0' END AS license, CASE WHEN doc_id % 4 = 0 THEN 'cc-by' ELSE 'CC0' END AS license_url, record[strpos(record, '"title":"') + 9:strpos(record, '"title":"') + 72] AS attribution FROM captured WHERE doc_id % 4 <> 1
+        UNION ALL SELECT doc_id, 'occ:' || doc_id || '/media:2', 'https://b.org', 'CC0', 'CC0', '' FROM captured)
+    SELECT 'COD-' || substr(sha256('COD|GBIF|' || source_record_id), 1, 16) AS image_id, source_record_id, CASE WHEN doc_id % 3 = 0 THEN 'EXACT' ELSE 'QUERY_TAXON' END AS source_taxon_match, 'https://www.gbif.org/occurrence/' || doc_id AS source_url, image_url, license, license_url, attribution, CASE WHEN doc_id % 2 = 0 THEN 'NO' ELSE 'CC' END AS source_country, 'GBIF-OCC-' || doc_id AS original_group_id, 'CANDIDATE' AS status FROM photos""")
+def captured_occurrences(s: SparkSession, d: str) -> DataFrame:
+    """Manifest rows of records of one source, one a document."""
+    docs = v.table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    records = docs.select(F.from_json(F.expr(_CAPTURED), parsers.GBIF).alias("r")).select("r.*")
+    rows = parsers.gbif(records, "COD", "Gadus morhua", "Cod")
+    return rows.select("image_id", "source_record_id", "source_taxon_match", "source_url", "image_url", "license", "license_url", "attribution", "source_country", "original_group_id", "status")

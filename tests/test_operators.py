@@ -273,13 +273,56 @@ def test_source_parsers(spark):
     rows = parsed(spark, parsers.ala, parsers.ALA, [{"uuid": "u", "scientificName": "gadus  Morhua", "license": "CC-BY", "images": ["i", "j"], "imageUrl": "https://d.org/i", "recordedBy": ["P", "Q"], "eventDate": 0}], "https://proxy/")
     assert [(r.image_url, r.creator, r.source_date) for r in rows] == [("https://d.org/i", "P, Q", "1970-01-01"), ("https://proxy/j", "P, Q", "1970-01-01")]
     rows = parsed(spark, parsers.obis, parsers.OBIS, [{"id": "o", "scientificName": "Gadus morhua", "license": "CC0", "associatedMedia": "https://e.org/1.jpg|http://e.org/2.jpg;https://e.org/3.jpg"}])
-    assert [r.source_record_id for r in rows] == ["o/media:1", "o/media:3"]
+    assert [r.source_record_id for r in rows] == ["occ:o/media:1", "occ:o/media:2"]
     rows = parsed(spark, parsers.smithsonian, parsers.SMITHSONIAN, [{"id": "s", "content": {"indexedStructured": {"scientific_name": ["Gadus morhua"]}, "descriptiveNonRepeating": {"online_media": {"media": [{"type": "Images", "content": "https://f.org/1", "usage": {"access": "CC0"}}, {"type": "Images", "content": "https://f.org/2", "usage": {"access": "other"}}]}}}}])
     assert [r.image_url for r in rows] == ["https://f.org/1"]
     rows = parsed(spark, parsers.vista, parsers.VISTA, [{"standardized_species": "gadus morhua", "license": "CC BY", "file_name": "f", "original_url": "https://g.org/f.jpg", "arkid": ""}])
     assert [r.source_record_id for r in rows] == ["f"]
 
 
+def test_rows_of_sources_have_every_manifest_column(spark):
+    def row(parser, schema, record, *more, n=0):
+        rows = [x.asDict() for x in parsed(spark, parser, schema, [record], *more, "Cod")]
+        assert all(tuple(x) == manifests.MANIFEST for x in rows)
+        x = rows[n]
+        blank = {c: "" for c in manifests.MANIFEST} | {"seafood_code": "COD", "app_label": "Cod", "scientific_name": "Gadus morhua", "image_context": "REVIEW", "whole_fish": "REVIEW", "exact_species_verified": "REVIEW", "split": "UNASSIGNED", "status": "CANDIDATE"}
+        digest = hashlib.sha256(f"COD|{x['source_dataset']}|{x['source_record_id']}".encode()).hexdigest()[:16]
+        assert x["image_id"] == f"COD-{digest}"
+        return {k: v for k, v in x.items() if v != blank[k] and k != "image_id"}
+
+    name = "Gadus  MORHUA"
+    assert row(parsers.inat, parsers.INAT, {"id": 1, "taxon": {"name": name}, "quality_grade": "research", "place_guess": "P", "time_observed_at": "2020-01-02T03:04", "user": {"login": "u"}, "photos": [{"id": 2, "url": "https://x.org/2/medium.jpg?1", "license": "CC0"}]}) == {
+        "source_dataset": "INATURALIST", "source_record_id": "obs:1/photo:2", "source_taxon_match": "EXACT", "source_url": "https://www.inaturalist.org/observations/1", "image_url": "https://x.org/2/large.jpg?1", "creator": "u", "license": "CC0", "source_observation_quality": "research",
+        "source_location": "P", "source_date": "2020-01-02T03:04", "original_group_id": "INATURALIST-OBS-1",
+    }
+    assert row(parsers.gbif, parsers.GBIF, {"key": 3, "scientificName": "Other", "basisOfRecord": "B", "countryCode": "NO", "stateProvince": "S", "year": 1999, "media": [{"type": "Still Image", "references": "https://r.org/1", "title": "T <i>x</i>", "license": "cc-by-nc"}]}) == {
+        "source_dataset": "GBIF", "source_record_id": "occ:3/media:T <i>x</i>", "source_taxon_match": "QUERY_TAXON", "source_url": "https://www.gbif.org/occurrence/3", "image_url": "https://r.org/1", "license": "CC-BY-NC", "license_url": "cc-by-nc", "attribution": "T x", "source_observation_quality": "B",
+        "source_country": "NO", "source_location": "S", "source_date": "1999", "original_group_id": "GBIF-OCC-3",
+    }
+    meta = {k: {"value": v} for k, v in {"UsageTerms": "CC BY-SA", "LicenseUrl": "https://l.org", "Attribution": "by <b>A</b>", "DateTime": "2001"}.items()}
+    assert row(parsers.commons, parsers.COMMONS, {"pageid": 4, "title": "File:A b*~é.jpg", "imageinfo": [{"url": "https://c.org/x.jpg", "extmetadata": meta}]}) == {
+        "source_dataset": "WIKIMEDIA_COMMONS", "source_record_id": "page:4:File:A b*~é.jpg", "source_taxon_match": "EXACT_CATEGORY", "source_url": "https://commons.wikimedia.org/wiki/File%3AA_b%2A~%C3%A9.jpg", "image_url": "https://c.org/x.jpg", "license": "CC-BY-SA", "license_url": "https://l.org",
+        "attribution": "by A", "source_date": "2001", "original_group_id": "COMMONS-PAGE-4",
+    }
+    assert row(parsers.ala, parsers.ALA, {"id": " k ", "scientificName": name, "license": "CC-BY", "imageUrl": "https://d.org/i", "recordedBy": ["P <b>Q</b>", " ", "R"], "basisOfRecord": "B", "country": "AU", "locality": "L", "eventDate": 86400000000}, "https://proxy/") == {
+        "source_dataset": "ATLAS_OF_LIVING_AUSTRALIA", "source_record_id": "occ:k/image:primary", "source_taxon_match": "EXACT", "source_url": "https://biocache.ala.org.au/occurrences/k", "image_url": "https://d.org/i", "creator": "P Q, R", "license": "CC-BY", "license_url": "CC-BY", "attribution": "P Q, R",
+        "source_observation_quality": "B", "source_country": "AU", "source_location": "L", "source_date": "1972-09-27", "original_group_id": "ALA-OCC-k",
+    }
+    assert row(parsers.obis, parsers.OBIS, {"occurrenceID": "o", "scientificName": name, "license": "CC0", "associatedMedia": ["http://e.org/0", " https://e.org/1"], "recordedBy": "W", "eventDate": "May 2001", "references": "https://f.org"}) == {
+        "source_dataset": "OBIS", "source_record_id": "occ:o/media:1", "source_taxon_match": "EXACT", "source_url": "https://f.org", "image_url": "https://e.org/1", "creator": "W", "license": "CC0", "license_url": "CC0", "attribution": "W", "source_date": "May 2001", "original_group_id": "OBIS-OCC-o",
+    }
+    media = [{"type": "sound", "content": "https://f.org/0", "usage": {"access": "CC0"}}, {"type": "Image", "guid": "g", "content": " https://f.org/1", "usage": {"access": "cc0"}}]
+    assert row(parsers.smithsonian, parsers.SMITHSONIAN, {"id": "s", "content": {"indexedStructured": {"scientific_name": ["Other", name]}, "descriptiveNonRepeating": {"record_link": "http://r.org", "online_media": {"media": media}}}}) == {
+        "source_dataset": "SMITHSONIAN_OPEN_ACCESS", "source_record_id": "record:s/media:g", "source_taxon_match": "EXACT", "source_url": "https://r.org", "image_url": "https://f.org/1", "creator": "Smithsonian Institution", "license": "CC0", "license_url": "https://creativecommons.org/publicdomain/zero/1.0/",
+        "attribution": "Smithsonian Institution", "source_observation_quality": "MUSEUM_COLLECTION", "original_group_id": "SMITHSONIAN-RECORD-s", "image_context": "MUSEUM",
+    }
+    splits = parsers.vista_splits({k: spark.createDataFrame([(name, "CC BY", f"{k}/a b.jpg", "me")], "standardized_species string, license string, file_name string, source string") for k in ("train", "val", "test")})
+    full = spark.createDataFrame([], parsers.VISTA).unionByName(splits, allowMissingColumns=True)
+    got = {x.source_split: x for x in parsers.vista(full, "COD", "Gadus morhua", "https://repo/", "Cod").collect()}
+    assert sorted(got) == ["test", "train", "val"] and tuple(got["val"].asDict()) == manifests.MANIFEST
+    assert (got["val"].image_url, got["val"].source_record_id, got["val"].attribution, got["val"].original_group_id, got["val"].image_context) == ("https://repo/val/a%20b.jpg?download=true", "val/a b.jpg", "me", "FISH-VISTA-val/a b.jpg", "MUSEUM")
+
+
 def test_photo_pages(spark):
     block = """<div class='ngdl-photo ngdl-photo--list' data-photo-modal-id="7" id="photo-%s">
       <a href="/photos/item?q=a&amp;page=0"><div class="c-field c-field--name-media-ngdl-photo">
