@@ -118,10 +118,10 @@ def patched_items(s: SparkSession, d: str) -> DataFrame:
 
 # -- commits ----------------------------------------------------------------------------------------------------------
 
-#: An import for each source and language of documents, staged against the stored documents of the language then; both asked for twice.
+#: An import for each source, language and thousand of documents (files are bounded), staged against the stored documents of the language then; both asked for twice.
 _STAGED = """stored AS (SELECT coalesce(lang, '') AS scope, count(*) || ':' || sum(doc_id) AS fingerprint FROM documents WHERE doc_id % 5 = 0 GROUP BY 1),
     staged_against AS (SELECT coalesce(lang, '') AS scope, count(*) || ':' || sum(doc_id) AS expected FROM documents WHERE doc_id % 5 = 0 AND NOT (lang = 'de' AND doc_id % 10 = 0) GROUP BY 1),
-    staged AS (SELECT coalesce(lang, '') AS scope, coalesce(source, '') AS source, coalesce(lang, '') || '/' || coalesce(source, '') AS name, min(doc_id) AS least, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 97 <> 0 AND coalesce(source, '') NOT LIKE '%7') AS new, count(*) FILTER (doc_id % 97 = 0) AS blocked, coalesce(source, '') LIKE '%2' AS late, coalesce(source, '') LIKE '%1' AS skip FROM documents GROUP BY ALL),
+    staged AS (SELECT coalesce(lang, '') AS scope, coalesce(source, '') AS source, coalesce(lang, '') || '/' || coalesce(source, '') || '/' || CAST(doc_id // 1000 AS VARCHAR) AS name, min(doc_id) AS least, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 97 <> 0 AND coalesce(source, '') NOT LIKE '%7') AS new, count(*) FILTER (doc_id % 97 = 0) AS blocked, coalesce(source, '') LIKE '%2' AS late, coalesce(source, '') LIKE '%1' AS skip FROM documents GROUP BY ALL),
     requests AS (SELECT s.*, expected, round * 1000000000 + least AS seq FROM staged s LEFT JOIN staged_against USING (scope), (VALUES (0), (1)) AS t(round)),
     fits AS (SELECT q.*, fingerprint, source = 'src3' AS logged, CASE WHEN late THEN 'EXPIRED' WHEN blocked > 0 AND NOT skip THEN 'BLOCKED' WHEN expected IS DISTINCT FROM fingerprint THEN 'STALE' WHEN skip AND new = 0 THEN 'NO_VALID_ROWS' END AS early FROM requests q LEFT JOIN stored USING (scope)),
     turned AS (SELECT *, min(seq) FILTER (NOT logged AND early IS NULL AND new > 0) OVER (PARTITION BY scope) AS change FROM fits),
@@ -131,15 +131,15 @@ _STAGED = """stored AS (SELECT coalesce(lang, '') AS scope, count(*) || ':' || s
 
 @query(f"WITH {_STAGED} SELECT seq, name, outcome, CASE WHEN outcome = 'REPEATED' AND logged THEN 5 WHEN outcome IN ('REPEATED', 'COMMITTED') THEN new ELSE 0 END AS inserted FROM (SELECT *, CASE WHEN logged OR done < seq THEN 'REPEATED' WHEN goes THEN 'COMMITTED' WHEN early = 'NO_VALID_ROWS' AND seq > change THEN 'STALE' ELSE coalesce(early, 'STALE') END AS outcome FROM told)")
 def import_commits(s: SparkSession, d: str) -> DataFrame:
-    docs = v.table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("scope"), F.coalesce("source", F.lit("")).alias("source"))
+    docs = v.table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("scope"), F.coalesce("source", F.lit("")).alias("source"), F.expr("doc_id div 1000").alias("block"))
     i = F.col("doc_id")
     mark = F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("doc_id").cast("string"))
     states = docs.filter(i % 5 == 0).groupBy("scope").agg(mark.alias("fingerprint"))
     then = docs.filter((i % 5 == 0) & ~((F.col("scope") == "de") & (i % 10 == 0))).groupBy("scope").agg(mark.alias("expected"))
-    staged = docs.groupBy("scope", "source").agg(F.min("doc_id").alias("least"), F.count_if((i % 5 != 0) & (i % 97 != 0) & ~F.col("source").endswith("7")).alias("new"), F.count_if(i % 97 == 0).alias("blocked"))
+    staged = docs.groupBy("scope", "source", "block").agg(F.min("doc_id").alias("least"), F.count_if((i % 5 != 0) & (i % 97 != 0) & ~F.col("source").endswith("7")).alias("new"), F.count_if(i % 97 == 0).alias("blocked"))
     now = F.lit("2024-01-10").cast("timestamp_ntz")
     expires = F.when(F.col("source").endswith("2"), F.lit("2024-01-10")).otherwise("2024-01-11").cast("timestamp_ntz")
-    staged = staged.join(then, "scope", "left").withColumns({"name": F.concat_ws("/", "scope", "source"), "expires_at": expires, "skip": F.col("source").endswith("1")})
+    staged = staged.join(then, "scope", "left").withColumns({"name": F.concat_ws("/", "scope", "source", F.col("block").cast("string")), "expires_at": expires, "skip": F.col("source").endswith("1")})
     staged = staged.withColumn("digest", F.sha2("name", 256))
     requests = staged.withColumn("seq", F.explode(F.array(F.col("least"), F.col("least") + 1_000_000_000)))
     log = staged.filter("source = 'src3'").select("digest", F.lit(5).alias("inserted"))
