@@ -83,7 +83,7 @@ def _previewed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 _COUNTED = "counted AS (SELECT count(*) AS total, count(*) FILTER (outcome = 'NEW') AS new, count(*) FILTER (outcome = 'EXACT_DUPLICATE') AS exact, count(*) FILTER (outcome = 'DUPLICATE_IMAGE_URL') AS same_url, count(*) FILTER (outcome IN ('INVALID_SPECIES', 'CONFLICTING_SOURCE_IDENTITY', 'CONFLICTING_IMAGE_SPECIES')) AS blocked FROM classified)"
 
 
-@query(sql("SELECT 'COMMITTED' AS status, total, new AS inserted, exact AS skipped_exact, same_url AS skipped_url_duplicates, blocked AS skipped_blocking FROM counted", *c._IMPORT, _COUNTED))
+@query(sql("SELECT CASE WHEN new > 0 THEN 'COMMITTED' ELSE 'IMPORT_NO_VALID_ROWS' END AS status, total, new AS inserted, CASE WHEN new > 0 THEN exact ELSE 0 END AS skipped_exact, CASE WHEN new > 0 THEN same_url ELSE 0 END AS skipped_url_duplicates, CASE WHEN new > 0 THEN blocked ELSE 0 END AS skipped_blocking FROM counted", *c._IMPORT, _COUNTED))
 def import_commit(s: SparkSession, d: str) -> DataFrame:
     _, _, said = _previewed(s, d)
     return imports.commit(said, said, skip_blocking=True)

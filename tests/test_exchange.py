@@ -1,14 +1,18 @@
 """Import rows, export batches, receipts and scalar rules on small cases with known results."""
 
 import datetime
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules, text
 from siltstone.operators import batches, imports, summaries
+from siltstone.plans import catalogue, exchange
 from siltstone.sources import manifests
 
+DATA = "/root/testdata/sf0.001"
 GOOD = {
     "seafood_code": "TUNA", "source_dataset": "gbif", "source_record_id": "7", "source_url": "https://gbif.org/7", "image_url": "https://img.gbif.org/7.jpg", "creator": "Jane", "license": "CC-BY",
     "license_url": "", "attribution": "", "source_location": "", "source_date": "",
@@ -73,6 +77,21 @@ def test_commit_needs_the_preview_that_holds(spark):
     assert imports.inserted(full, rows, went, done).isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+def test_commit_without_new_rows_equals_its_sql(spark, tmp_path):
+    # the earlier import (row 0) has the only url, so no row is NEW
+    texts = ["a", "b", "c", "b"]
+    spark.createDataFrame([(i, x, "en", "web", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("nation", "customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    found = con.execute(catalogue.ORACLE["import_commit"])
+    want = [dict(zip([c[0] for c in found.description], r)) for r in found.fetchall()]
+    assert [r.asDict() for r in exchange.import_commit(spark, str(tmp_path)).collect()] == want
+    assert want == [{"status": "IMPORT_NO_VALID_ROWS", "total": 3, "inserted": 0, "skipped_exact": 0, "skipped_url_duplicates": 0, "skipped_blocking": 0}]
+
+
 def test_purge_of_expired_previews(spark):
     previews = spark.createDataFrame([(i, datetime.datetime(2024, 1, 1 + i)) for i in range(5)], "preview_id long, expires_at timestamp")
     left = imports.purge(previews, F.lit("2024-01-04").cast("timestamp"), most=2)
