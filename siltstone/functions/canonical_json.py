@@ -6,12 +6,14 @@ characters than ASCII stay or are escaped. Of equal keys in an object the last c
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -34,28 +36,37 @@ def without_secrets(value: Any) -> Any:
     return value
 
 
-def _over(c: Column, change: Callable[[Any], Any], ascii_only: bool) -> Column:
-    def one(text: str) -> str | None:
+def _over(c: Column, change: Callable[[Any], Any], ascii_only: bool, said: Callable[[str], str] = str) -> Column:
+    """``said`` of each canonical text. Texts are taken from an Arrow batch one at a time, so a batch is never held as Python objects."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
         try:
-            return dumped(change(json.loads(text)), ascii_only=ascii_only)
+            plain = dumped(change(json.loads(text)), ascii_only=ascii_only)
         except ValueError:
             return None
+        return said(plain)
 
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((one(x.as_py()) for x in texts), pa.string())
 
     return run(c)
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def canonical(c: Column, *, ascii_only: bool = False) -> Column:
     """The canonical text of a JSON text; of a variant ``v`` pass ``F.to_json(v)``."""
     return _over(c, lambda x: x, ascii_only)
 
 
 def digest(c: Column, *, ascii_only: bool = False) -> Column:
-    """SHA-256 of the canonical text in UTF-8."""
-    return F.sha2(canonical(c, ascii_only=ascii_only), 256)
+    """SHA-256 of the canonical text in UTF-8; taken in Python, so that canonical texts are neither kept nor sent back."""
+    return _over(c, lambda x: x, ascii_only, _sha256)
 
 
 def redacted(c: Column) -> Column:

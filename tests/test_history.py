@@ -1,5 +1,6 @@
 """Versions, commits and canonical JSON against plain loops and the standard library."""
 
+import hashlib
 import json
 import random
 from datetime import datetime, timedelta
@@ -107,6 +108,15 @@ def test_canonical_json(spark):
     assert [got[i].plain for i in (1000, 1001, 1002)] == [None, None, '{"a":2}']
 
 
+def test_digests_leave_python_without_the_texts(spark):
+    texts = ['{"b": "é", "a": 1}', "no json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", canonical_json.digest(F.col("t")).alias("d"), canonical_json.digest(F.col("t"), ascii_only=True).alias("a"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "ArrowEvalPython" in plan
+    want = [hashlib.sha256(x).hexdigest() for x in ('{"a":1,"b":"é"}'.encode(), rb'{"a":1,"b":"\u00e9"}')]
+    assert [(r.d, r.a) for r in df.orderBy("i").collect()] == [tuple(want), (None, None), (None, None)]
+
+
 def test_canonical_json_of_variants(spark):
     row = spark.sql("""SELECT parse_json('{"b": [1, {"z": null, "a": "é"}], "a": {"Secret": 1}}') AS v""").select(canonical_json.canonical(F.to_json("v")).alias("c"), canonical_json.redacted(F.to_json("v")).alias("r")).first()
     assert tuple(row) == ('{"a":{"Secret":1},"b":[1,{"a":"é","z":null}]}', '{"a":{"Secret":"[REDACTED]"},"b":[1,{"a":"é","z":null}]}')
