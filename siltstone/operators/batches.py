@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules
@@ -93,8 +93,10 @@ def receipt_rejections(stored: DataFrame, payload: DataFrame, keys: list[str]) -
 
     stored: keys, action, status, sha256, target, path. payload: keys, status, sha256, path.
     """
+    # repeats are told in the order that the join needs, so the payload is read and sorted once
+    same = Window.partitionBy(*keys)
     p = payload.select(*keys, F.col("status").alias("_status"), F.lower("sha256").alias("_sha"), F.col("path").alias("_path"))
-    repeated = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.lit("RECEIPT_DUPLICATE_ITEM").alias("problem"))
+    p = p.withColumns({"_n": F.count(F.lit(1)).over(same), "_nth": F.row_number().over(same.orderBy(*keys))})
     j = p.join(stored.withColumn("_known", F.lit(True)), keys, "left")
     ok, was = F.col("_status") == "SUCCEEDED", F.col("status") == "SUCCEEDED"
     problem = (
@@ -103,7 +105,8 @@ def receipt_rejections(stored: DataFrame, payload: DataFrame, keys: list[str]) -
         .when(ok & ~F.coalesce(rules.receipt_path_ok(F.col("_path"), F.col("target"), F.col("action")), F.lit(False)), "RECEIPT_PATH_INVALID")
         .when(was & (~ok | ~F.col("sha256").eqNullSafe(F.col("_sha")) | ~F.col("path").eqNullSafe(F.col("_path"))), "RECEIPT_SUCCESS_CONFLICT")
     )
-    return j.select(problem.alias("problem")).filter("problem IS NOT NULL").unionAll(repeated).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    repeated = F.when((F.col("_n") > 1) & (F.col("_nth") == 1), "RECEIPT_DUPLICATE_ITEM")
+    return j.select(F.explode(F.array_compact(F.array(problem, repeated))).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def accepted(payload: DataFrame, rejections: DataFrame) -> DataFrame:

@@ -142,6 +142,23 @@ def test_receipt_is_rejected_as_a_whole(spark):
     assert said(payload().limit(0)) == {}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+@pytest.mark.parametrize("name", ["receipt_rejections", "receipt_state", "receipt_lists"])
+def test_receipts_deal_lines_out_before_they_sort_them(spark, name):
+    plan = getattr(exchange, name)(spark, DATA)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    scans = [n for n, line in enumerate(plan) if "FileScan parquet" in line]
+    assert scans
+    for n in scans:
+        above = next(line for line in reversed(plan[:n]) if any(x in line for x in ("Exchange", "Sort", "WindowGroupLimit")))
+        assert "REPARTITION_BY_COL" in above
+
+
+def test_a_repeated_item_is_one_rejection(spark):
+    stored = spark.createDataFrame([("a", "ADD", "PENDING", None, "images/a.image", None)], "k string, action string, status string, sha256 string, target string, path string")
+    payload = spark.createDataFrame([("a", "FAILED", None, None)] * 3 + [("b", "FAILED", None, None)] * 2, "k string, status string, sha256 string, path string")
+    assert {r.problem: r.n for r in batches.receipt_rejections(stored, payload, ["k"]).collect()} == {"RECEIPT_DUPLICATE_ITEM": 2, "RECEIPT_ITEM_NOT_IN_BATCH": 2}
+
+
 def test_receipt_paths(spark):
     ok = lambda path, expected, action: spark.range(1).select(rules.receipt_path_ok(F.lit(path), F.lit(expected), F.lit(action)).alias("x")).first().x
     assert ok("images/T/1.webp", "images/T/1.image", "ADD") and ok("a/b.jpg", "a/b.jpg", "MOVE")
