@@ -89,10 +89,19 @@ def file_name(c: Column, fallback: str = "candidates.csv") -> Column:
     return F.substring(F.when(clean == "", fallback).otherwise(clean), 1, 255)
 
 
+#: From the first character that a part may start with: what makes 128 characters of it, one a plain character or run of others.
+_PART = r"\A[^A-Za-z0-9-]*+([A-Za-z0-9-](?:[^A-Za-z0-9_.-]++|[A-Za-z0-9_.-]){0,127}+)"
+
+
 def path_part(c: Column, fallback: str) -> Column:
-    """A name as one part of a path: ASCII letters, digits, dots and dashes, 128 characters at most."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9_.-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.when(clean == "", fallback).otherwise(F.substring(clean, 1, 128))
+    """A name as one part of a path: ASCII letters, digits, dots and dashes, 128 characters at most.
+
+    Dots and underscores at the end go only if nothing but such follows in the whole name.
+    """
+    name = F.coalesce(c, F.lit(""))
+    part = F.regexp_replace(F.regexp_extract(name, _PART, 1), "[^A-Za-z0-9_.-]+", "_")
+    goes_on = name.rlike(_PART + "[^A-Za-z0-9-]*+[A-Za-z0-9-]")
+    return F.when(part == "", fallback).when(goes_on, part).otherwise(F.rtrim(part, F.lit("._")))
 
 
 def receipt_path_ok(path: Column, expected: Column, action: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import datetime
 import os
+import random
+import re
 
 import duckdb
 import pytest
@@ -159,6 +161,16 @@ def test_a_repeated_item_is_one_rejection(spark):
     assert {r.problem: r.n for r in batches.receipt_rejections(stored, payload, ["k"]).collect()} == {"RECEIPT_DUPLICATE_ITEM": 2, "RECEIPT_ITEM_NOT_IN_BATCH": 2}
 
 
+def test_path_parts_of_long_names(spark):
+    # with a pattern for both ends each run of dots was searched once for each of its dots
+    rng = random.Random(5)
+    names = ["a" + "." * 200_000 + "b", "a" + "." * 200_000, "é" * 200_000 + "b", "", "._", "a" * 127 + ".", "a" * 127 + "._b", "a" * 128 + "é"]
+    names += ["".join(rng.choice("aB-._é\n 例") * rng.choice((1, 1, 3, 90)) for _ in range(rng.randrange(12))) for _ in range(300)]
+    plain = lambda x: (re.sub("[^A-Za-z0-9_.-]+", "_", x).strip("._") or "x")[:128]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, t string").select("i", rules.path_part(F.col("t"), "x").alias("p")).orderBy("i").collect()
+    assert [r.p for r in rows] == [plain(x) for x in names]
+
+
 def test_receipt_paths(spark):
     ok = lambda path, expected, action: spark.range(1).select(rules.receipt_path_ok(F.lit(path), F.lit(expected), F.lit(action)).alias("x")).first().x
     assert ok("images/T/1.webp", "images/T/1.image", "ADD") and ok("a/b.jpg", "a/b.jpg", "MOVE")
