@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules
-from siltstone.operators import counts, sync
+from siltstone.operators import counts, latest, sync
 
 #: What one batch may hold.
 MOST_ROWS, MOST_BYTES = 10_000, 20 * 1024 * 1024
@@ -93,10 +93,7 @@ def receipt_rejections(stored: DataFrame, payload: DataFrame, keys: list[str]) -
 
     stored: keys, action, status, sha256, target, path. payload: keys, status, sha256, path.
     """
-    # repeats are told in the order that the join needs, so the payload is read and sorted once
-    same = Window.partitionBy(*keys)
-    p = payload.select(*keys, F.col("status").alias("_status"), F.lower("sha256").alias("_sha"), F.col("path").alias("_path"))
-    p = p.withColumns({"_n": F.count(F.lit(1)).over(same), "_nth": F.row_number().over(same.orderBy(*keys))})
+    p = payload.select(*keys, F.col("status").alias("_status"), F.lower("sha256").alias("_sha"), F.col("path").alias("_path"), latest.nth(keys).alias("_nth"))
     j = p.join(stored.withColumn("_known", F.lit(True)), keys, "left")
     ok, was = F.col("_status") == "SUCCEEDED", F.col("status") == "SUCCEEDED"
     problem = (
@@ -105,7 +102,7 @@ def receipt_rejections(stored: DataFrame, payload: DataFrame, keys: list[str]) -
         .when(ok & ~F.coalesce(rules.receipt_path_ok(F.col("_path"), F.col("target"), F.col("action")), F.lit(False)), "RECEIPT_PATH_INVALID")
         .when(was & (~ok | ~F.col("sha256").eqNullSafe(F.col("_sha")) | ~F.col("path").eqNullSafe(F.col("_path"))), "RECEIPT_SUCCESS_CONFLICT")
     )
-    repeated = F.when((F.col("_n") > 1) & (F.col("_nth") == 1), "RECEIPT_DUPLICATE_ITEM")
+    repeated = F.when(F.col("_nth") == 2, "RECEIPT_DUPLICATE_ITEM")
     return j.select(F.explode(F.array_compact(F.array(problem, repeated))).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +121,7 @@ def receipt_state(after: DataFrame, payload: DataFrame, batch_keys: list[str], k
 
 def receipt_lists(after: DataFrame, payload: DataFrame, keys: list[str]) -> DataFrame:
     """keys, list of the items a response names: accepted (a success in the payload) and pending, as rows."""
-    took = payload.filter("status = 'SUCCEEDED'").select(*keys).distinct().withColumn("list", F.lit("accepted"))
+    took = payload.filter("status = 'SUCCEEDED'").select(*keys, latest.nth(keys).alias("_nth")).filter("_nth = 1").select(*keys, F.lit("accepted").alias("list"))
     return took.unionByName(after.filter("status <> 'SUCCEEDED'").select(*keys).withColumn("list", F.lit("pending")))
 
 

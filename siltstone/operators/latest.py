@@ -13,6 +13,11 @@ def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def nth(keys: Sequence[str]) -> Column:
+    """1, 2 and so on within each key, in any order. It needs rows sorted by the keys and no more, so rows that are sorted for a join or by ``first_by`` aren't sorted or kept again."""
+    return F.count(F.lit(1)).over(Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """One row a key, the first by ``ordinal``. Of a wide table only ordinals are shuffled with the keys."""
     return first_by(df, keys, [F.col(ordinal)])

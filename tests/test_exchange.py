@@ -155,6 +155,21 @@ def test_receipts_deal_lines_out_before_they_sort_them(spark, name):
         assert "REPARTITION_BY_COL" in above
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+@pytest.mark.parametrize("name", ["receipt_rejections", "receipt_state", "receipt_lists"])
+def test_receipts_sort_lines_once(spark, name):
+    plan = getattr(exchange, name)(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    anew = name == "receipt_rejections"  # its payload has other keys than its lines, so it is dealt out and sorted by them
+    assert 0 < plan.count("- Sort [") == plan.count("- FileScan parquet") + anew
+    assert name != "receipt_lists" or "Aggregate" not in plan  # no task keeps the keys that it has named
+
+
+def test_receipt_lists_name_an_item_once(spark):
+    after = spark.createDataFrame([(1, 1, "SUCCEEDED"), (2, None, "SUCCEEDED"), (3, 1, "PENDING"), (4, 1, "SUCCEEDED")], "a long, b int, status string")
+    payload = spark.createDataFrame([(1, 1, "FAILED"), (1, 1, "SUCCEEDED"), (1, 1, "SUCCEEDED"), (2, None, "SUCCEEDED"), (2, None, "SUCCEEDED"), (3, 1, "FAILED")], "a long, b int, status string")
+    assert sorted((r.a, r.b, r.list) for r in batches.receipt_lists(after, payload, ["a", "b"]).collect()) == [(1, 1, "accepted"), (2, None, "accepted"), (3, 1, "pending")]
+
+
 def test_a_repeated_item_is_one_rejection(spark):
     stored = spark.createDataFrame([("a", "ADD", "PENDING", None, "images/a.image", None)], "k string, action string, status string, sha256 string, target string, path string")
     payload = spark.createDataFrame([("a", "FAILED", None, None)] * 3 + [("b", "FAILED", None, None)] * 2, "k string, status string, sha256 string, path string")
