@@ -29,6 +29,10 @@ from siltstone.llm.storage import written
 #: Shards of order m begin at m * _ORDER.
 _ORDER = 1 << 24
 _WIDTH = 8
+#: Places of text whose arcs are in one dictionary.
+STRETCH = 1 << 16
+#: Of blocks, or of a shard's requests, in an Arrow batch.
+_BATCH_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -60,74 +64,110 @@ def padded(block: bl.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[by
     size = int(block.lengths.sum()) + 2 * n
     edge = np.zeros(size, dtype=bool)
     edge[begin] = edge[begin + block.lengths + 1] = True
-    ids = np.zeros(size, dtype=np.int64)
-    ids[~edge] = block.ids.astype(np.int64) + 1
+    ids = np.zeros(size, dtype=np.int32)
+    ids[~edge] = block.ids + 1
     first = np.zeros(size, dtype=bool)
     first[begin] = True
-    return ids, first, np.repeat(np.arange(n), block.lengths + 2), [b"", *block.words]
+    return ids, first, np.repeat(np.arange(n, dtype=np.int32), block.lengths + 2), [b"", *block.words]
 
 
 def grams(block: bl.Block, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
     """The m-grams of a block for m = 1 .. order, whether each place is a document's first, and each place's document."""
     ids, first, doc, words = padded(block)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    out = [_keyed(h, np.full(len(h), -1), np.full(len(h), -1), np.arange(len(h)), ids)]
-    since = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    none = np.full(len(h), -1, dtype=np.int32)
+    out = [_keyed(h, none, none, np.arange(len(h), dtype=np.int32), ids)]
+    place = np.arange(len(ids), dtype=np.int32)
+    since = place - np.maximum.accumulate(np.where(first, place, 0))
+    del place, none
     for m in range(2, order + 1):
         low = out[-1]
-        ends = np.flatnonzero(since >= m - 1)
-        codes = low.at[ends - 1] * len(words) + ids[ends]
-        distinct, at, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        place = ends[at]
-        where = np.full(len(ids), -1, dtype=np.int64)
-        where[ends] = inverse
-        prefix, word = distinct // len(words), distinct % len(words)
-        out.append(_keyed(bl.mix(low.hashes[prefix], h[word]), prefix, low.at[place], word, where))
+        ends = np.flatnonzero(since >= m - 1).astype(np.int32)
+        codes = low.at[ends - 1].astype(np.int64)
+        codes *= len(words)
+        codes += ids[ends]
+        by = np.argsort(codes, kind="stable").astype(np.int32)
+        codes = codes[by]
+        new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+        where = np.full(len(ids), -1, dtype=np.int32)
+        where[ends[by]] = np.cumsum(new, dtype=np.int32) - 1
+        distinct, suffix = codes[new], low.at[ends[by[new]]]
+        del ends, by, codes, new
+        prefix, word = (distinct // len(words)).astype(np.int32), (distinct % len(words)).astype(np.int32)
+        del distinct
+        out.append(_keyed(bl.mix(low.hashes[prefix], h[word]), prefix, suffix, word, where))
     return out, first, doc
 
 
 def _keyed(h: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, word: np.ndarray, at: np.ndarray) -> Grams:
     keys, key = np.unique(h, return_inverse=True)
-    return Grams(h, prefix, suffix, word, at, keys, key)
+    return Grams(h, prefix, suffix, word, at, keys, key.astype(np.int32))
 
 
 class Automaton:
-    """The part of the automaton that a block's documents can reach. State 0 is the empty context."""
+    """The part of the automaton that a block's documents can reach. State 0 is the empty context.
+
+    Arcs are kept as an array of each order, by gram. The text is read a stretch at a time, with a dictionary of those arcs that
+    lie on grams of the stretch: no other arc can be taken there.
+    """
 
     def __init__(self, levels: list[Grams], counts: list[np.ndarray], total: int, distinct: int, k: float) -> None:
-        self.words = len(levels[0].hashes)
+        self.words, self.levels = len(levels[0].hashes), levels
         p = (counts[0] + 0.5) / (total + 0.5 * (distinct + 1))
-        weights, targets, keys = [np.log10(p)], [], [np.arange(self.words)]
+        # of each order, by gram: whether it is an arc, its log-probability, where it leads
+        self.seen, self.weights, self.targets = [np.ones(self.words, dtype=bool)], [np.log10(p)], []
         # contexts seen in training are states; a gram that isn't one leads to the longest suffix that is
         fail, fail_weight = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
-        down, states = [], 1
+        self.down, states = [], 1
         for m, g in enumerate(levels[:-1]):
             seen = counts[m] > 0
-            shorter = down[-1][g.suffix] if m else np.zeros(len(seen), dtype=np.int64)
+            shorter = self.down[-1][g.suffix] if m else np.zeros(len(seen), dtype=np.int64)
             number = np.where(seen, states + np.cumsum(seen) - 1, shorter)
             states += int(seen.sum())
             fail.append(shorter[seen])
             fail_weight.append(np.log10(k / (counts[m][seen] + k)))
-            down.append(number)
+            self.down.append(number)
         last = len(levels) - 1
-        targets.append(down[0] if last else np.zeros(self.words, dtype=np.int64))
+        self.targets.append(self.down[0] if last else np.zeros(self.words, dtype=np.int64))
         for m in range(1, last + 1):
             g = levels[m]
             context = counts[m - 1][g.prefix]
             p = (counts[m] + k * p[g.suffix]) / (context + k)
-            seen = counts[m] > 0
-            target = down[m] if m < last else down[m - 1][g.suffix]
-            keys.append(down[m - 1][g.prefix[seen]] * self.words + g.word[seen])
-            weights.append(np.log10(p[seen]))
-            targets.append(target[seen])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), zip(np.concatenate(weights).tolist(), np.concatenate(targets).tolist(), strict=True), strict=True))
+            self.seen.append(counts[m] > 0)
+            self.weights.append(np.log10(p))
+            self.targets.append(self.down[m] if m < last else self.down[m - 1][g.suffix])
         self.fail, self.fail_weight = np.concatenate(fail).tolist(), np.concatenate(fail_weight).tolist()
-        self.start = int(down[0][0]) if last else 0
-
-    def score(self, text: list[int]) -> float:
-        """The log10-probability of word numbers, read from the start state."""
-        arcs, fail, fail_weight, n = self.arcs, self.fail, self.fail_weight, self.words
-        state, total = self.start, 0.0
+        self.start = int(self.down[0][0]) if last else 0
+
+    def arcs(self, begin: int, end: int) -> dict[int, tuple[float, int]]:
+        """Weight and target of the arcs on grams that end at places from begin to before end; the key is the state times the words, and the word."""
+        out: dict[int, tuple[float, int]] = {}
+        for m, g in enumerate(self.levels):
+            some = np.unique(g.at[begin:end])
+            some = some[some >= 0]
+            some = some[self.seen[m][some]]
+            keys = self.down[m - 1][g.prefix[some]] * self.words + g.word[some] if m else some
+            out.update(zip(keys.tolist(), zip(self.weights[m][some].tolist(), self.targets[m][some].tolist(), strict=True), strict=True))
+        return out
+
+    def scores(self, bounds: list[int], stretch: int = STRETCH) -> list[float]:
+        """The log10-probability of each document, read from the start state. bounds: where documents begin, with their boundary word, and the end."""
+        ids, out, arcs, until = self.levels[0].at, [], {}, 0
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            state, total, at = self.start, 0.0, begin + 1
+            while at < end:
+                if at >= until:
+                    arcs.clear()  # before the next are made
+                    until = at + stretch
+                    arcs = self.arcs(at, until)
+                stop = min(end, until)
+                state, total = self._read(arcs, ids[at:stop].tolist(), state, total)
+                at = stop
+            out.append(total)
+        return out
+
+    def _read(self, arcs: dict[int, tuple[float, int]], text: list[int], state: int, total: float) -> tuple[int, float]:
+        fail, fail_weight, n = self.fail, self.fail_weight, self.words
         for w in text:
             arc = arcs.get(state * n + w)
             while arc is None:
@@ -136,7 +176,7 @@ class Automaton:
                 arc = arcs.get(state * n + w)
             total += arc[0]
             state = arc[1]
-        return total
+        return state, total
 
 
 def _shards(made: DataFrame) -> int:
@@ -162,7 +202,7 @@ def score(docs: DataFrame, held_out: Column, smoothing: Smoothing = Smoothing())
                     counts = np.bincount(g.key[g.at[used]], minlength=len(g.keys))
                     yield bl.requests(block.block_id, g.keys, counts, shards, _WIDTH, base=m * _ORDER)
 
-    found = written(bl.answers(made.mapInArrow(ask, bl.REQUEST), _WIDTH, bl.packed_counts), "ngram-counts")
+    found = written(bl.answers(made.mapInArrow(ask, bl.REQUEST), _WIDTH, bl.packed_counts), "ngram-counts", batch_bytes=_BATCH_BYTES)
     sums = found.filter(F.col("shard") < _ORDER).agg(F.sum("total"), F.sum("distinct_keys")).first()
     total, distinct = (int(x or 0) for x in sums)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -184,7 +224,7 @@ def _scored(block: bl.Block, right: pa.Table, shards: int, smoothing: Smoothing,
     base_score = np.bincount(tokens, weights=base[ids[~first]], minlength=n)
     automaton = Automaton(levels, counts, total, distinct, smoothing.k)
     bounds = np.append(np.flatnonzero(first), len(ids)).tolist()
-    score_ = [automaton.score(ids[a + 1 : b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    score_ = automaton.scores(bounds)
     return pa.table({
         "doc_id": block.doc_ids, "held_out": pa.array(block.flags), "n_tokens": pa.array(block.lengths + 1), "n_known": pa.array(known),
         "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score_, pa.float64()),
