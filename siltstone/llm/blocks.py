@@ -102,6 +102,11 @@ def opened(row: dict[str, pa.Array], i: int = 0) -> Block:
     return Block(get("block_id"), doc_ids, np.frombuffer(get("flags"), dtype=np.uint8).astype(bool), np.frombuffer(get("lengths"), dtype=np.int64), np.frombuffer(get("ids"), dtype=np.uint32), vocabulary.split(b" ") if vocabulary else [])
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed, as it waits beside tasks of other stages that need none of it."""
+    pa.system_memory_pool().release_unused()
+
+
 def columns(batch: pa.RecordBatch | pa.Table) -> dict:
     return {name: batch.column(name) for name in batch.schema.names}
 
@@ -176,10 +181,13 @@ def answers(asked: DataFrame, width: int, pack: Callable[[np.ndarray], bytes]) -
             said = np.minimum(sums, MOST).astype(np.uint32)[inverse]
             for f, i, part in zip(found, at, np.split(said, np.cumsum([len(i) for i in at])[:-1]), strict=True):
                 f[i] = part
+        del keys, counts, owner
         packed = []
         for b, f in zip(batches, found, strict=True):
             ends = np.cumsum([len(x.as_buffer()) // 4 for x in b.column(1)]).tolist()
             packed.append(pa.array([pack(f[i:j]) for i, j in zip([0, *ends], ends, strict=False)], pa.binary()))
+        del found, batches
+        give_back()
         first = lambda x: pa.array([x] + [0] * (table.num_rows - 1), pa.int64())
         return pa.table({"block_id": table.column("block_id"), "shard": table.column("shard"), "counts": pa.chunked_array(packed, pa.binary()), "total": first(total), "distinct_keys": first(distinct_keys)})
 

@@ -201,6 +201,8 @@ def score(docs: DataFrame, held_out: Column, smoothing: Smoothing = Smoothing())
                         used &= ~first  # a document's beginning is no token
                     counts = np.bincount(g.key[g.at[used]], minlength=len(g.keys))
                     yield bl.requests(block.block_id, g.keys, counts, shards, _WIDTH, base=m * _ORDER)
+                del block, levels, first, doc, train, g, used, counts
+                bl.give_back()
 
     found = written(bl.answers(made.mapInArrow(ask, bl.REQUEST), _WIDTH, bl.packed_counts), "ngram-counts", batch_bytes=_BATCH_BYTES)
     sums = found.filter(F.col("shard") < _ORDER).agg(F.sum("total"), F.sum("distinct_keys")).first()
